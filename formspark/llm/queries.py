@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from formspark.llm.jaccard import op9_jaccard
+from formspark.llm.packing import op7_packing
+from formspark.llm.repeats import op10_repeats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_packing": op7_packing,
         "op9_jaccard": op9_jaccard,
+        "op10_repeats": op10_repeats,
     }
 
 
