@@ -6,15 +6,15 @@ of each document is returned, so no list of all pairs is ever made.
 
 Method: filtering under several global token orders.
 
-1. One scan gives each document's set size and set id, and a fixed-size
-   table of how often each slot of shingle hashes occurs.
-2. The first order goes by that count, rarest first (any fixed order is
-   valid; rare-first makes shared prefixes rare).  A pair that links shares
-   a token among the first n - ceil(percent * n / 100) + 1 of either side.
-   Prefix tokens are dealt by hash as packed arrays; in each token's list,
-   sorted by size, neighbours within the size filter are linked.  The
-   classes of those links, found by distributed rounds, hold every true
-   pair together.
+1. First order: the tokens' hashes.  With c = n - ceil(percent * n / 100),
+   what a set of n can miss, linking sets share one token at least among the
+   first c + e of each and miss c at most, whatever e; here e = c.  These
+   tokens are dealt by hash as packed arrays and counted over all sets.
+2. Second order: rarest first by that count, within the first order's prefix.
+   Linking sets share one of the c + 1 rarest; tokens of one set only count
+   but are not kept, so most sets leave here.  In each token's list, sorted
+   by size, neighbours within the size filter are linked.  The classes of
+   those links, found by distributed rounds, hold every true pair together.
 3. Only texts in a class of two or more sets are fetched.  Inside a class
    the other orders (seeded hashes) must each give a shared prefix token as
    well; what is left is verified on whole sets.
@@ -42,10 +42,8 @@ from pyspark.sql import functions as F
 from formspark.llm import common
 from formspark.llm.textscan import lowered, mix64, row_sets, shingle_hashes, slices, span_hashes, word_spans
 
-#: Slots of the count table: 2**20 four-byte counts, whatever the input.
-SLOT_BITS = 20
-#: Global token orders in all; the first goes by count, the others by seed.
-ORDERS = 3
+#: Global token orders in all: by hash, by count, and by seeds.
+ORDERS = 4
 #: Shingles that one verifying task holds of a side at most.
 BLOCK_SHINGLES = 2_000_000
 
@@ -67,83 +65,128 @@ def _set_ids(tokens: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray,
     return sizes, mix64(total[bounds[1:]] - total[bounds[:-1]] + sizes.astype(np.uint64)).view(np.int64)
 
 
-def _slot(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(48 - SLOT_BITS)).astype(np.int64)
+def _missable(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """How many of its tokens a linking partner may lack."""
+    return sizes + (-percent * sizes) // 100
 
 
-def _prefix_sizes(sizes: np.ndarray, percent: int) -> np.ndarray:
-    return sizes + (-percent * sizes) // 100 + 1
+def _prefix(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens of the first order's prefix: the missable ones twice, one at least."""
+    c = _missable(sizes, percent)
+    return np.minimum(sizes, c + np.maximum(c, 1))
 
 
 def _scan(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << SLOT_BITS, dtype=np.uint32)
         for batch in batches:
             sizes, ids = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for first, n, tokens, rows in _sets(batch.column(1), width):
                 sizes[first : first + n], ids[first : first + n] = _set_ids(tokens, rows, n)
-                seen += np.bincount(_slot(tokens), minlength=len(seen)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(ids), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], ["id", "n_shingles", "set_id", "piece", "counts"])
-        pieces = np.split(seen, 16)
-        yield pa.RecordBatch.from_arrays([pa.nulls(16, pa.int64()), pa.nulls(16, pa.int64()), pa.nulls(16, pa.int64()), pa.array(range(16), pa.int32()), pa.array([common.pack(x) for x in pieces], pa.binary())], ["id", "n_shingles", "set_id", "piece", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(ids)], ["id", "n_shingles", "set_id"])
 
     return run
 
 
-def _add_counts(t: pa.Table) -> pa.Table:
-    total = np.zeros((1 << SLOT_BITS) // 16, dtype=np.uint64)
-    for blob in t.column("counts").to_pylist():
-        total += common.unpack(blob, "uint32")
-    return pa.table({"piece": t.column("piece")[:1], "counts": pa.array([common.pack(total)], pa.binary())})
+def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(bounds)):
+        yield int(p), order[bounds[p] : bounds[p + 1]]
 
 
-def _postings(width: int, percent: int, parts: int, ranks) -> object:
-    """Packed prefix tokens under the first order.
+def _batch(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(columns)], names)
 
-    A key is a token and, in its low 16 bits, the set's size class.  Of the
-    sets of a batch with equal keys one goes on, linked here to the others,
-    so that a token or a family of copies in any number of documents gives a
-    row for each batch at most.
-    """
+
+def _postings(width: int, percent: int, parts: int):
+    """Packed prefix tokens under the first order, of each distinct set of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.frombuffer(ranks.value, dtype=np.uint8)
         for batch in batches:
-            keys, sets, every = [], [], set()
+            found, every = [], set()
             for _, n, tokens, rows in _sets(batch.column(0), width):
                 sizes, ids = _set_ids(tokens, rows, n)
-                fresh = np.zeros(n, bool)
-                for i, x in enumerate(ids):
-                    if sizes[i] and x not in every:
-                        every.add(x)
-                        fresh[i] = True
-                keep = fresh[rows]
-                tokens, rows = tokens[keep], rows[keep]
-                order = np.lexsort((mix64(tokens), rank[_slot(tokens)], rows))
-                tokens, rows = tokens[order], rows[order]
+                fresh = np.array([x not in every and not every.add(x) for x in ids.tolist()], bool) & (sizes > 0)
                 bounds = np.searchsorted(rows, np.arange(n))
-                keep = np.arange(len(rows)) - bounds[rows] < _prefix_sizes(sizes, percent)[rows]
-                keys.append((tokens[keep] << np.uint64(16)) | _size_class(sizes, percent)[rows[keep]].astype(np.uint64))
-                sets.append(ids[rows[keep]])
-            if not keys:
+                keep = (np.arange(len(rows)) - bounds[rows] < _prefix(sizes, percent)[rows]) & fresh[rows]
+                found.append((tokens[keep], ids[rows[keep]], sizes[rows[keep]]))
+            if not found:
                 continue
-            keys, sets = np.concatenate(keys), np.concatenate(sets)
-            order = np.argsort(keys, kind="stable")
-            keys, sets = keys[order], sets[order]
-            first = np.ones(len(keys), bool)
-            first[1:] = keys[1:] != keys[:-1]
-            lead = sets[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-            a, b = common.forest(sets[~first], lead[~first])
-            keys, sets = keys[first], sets[first]
-            part = (mix64(keys >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            rows_out = [(p, common.pack(keys[o]), common.pack(sets[o]), None, None) for p in range(parts) if len(o := order[bounds[p] : bounds[p + 1]])]
-            if len(a):
-                rows_out.append((int(a[0]) % parts, None, None, common.pack(a), common.pack(b)))
-            if rows_out:
-                p, k, s, x, y = zip(*rows_out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), *(pa.array(c, pa.binary()) for c in (k, s, x, y))], ["part", "keys", "sets", "src", "dst"])
+            tokens, sets, sizes = map(np.concatenate, zip(*found, strict=True))
+            rows = []
+            for p, own in _by_part((mix64(tokens) % np.uint64(parts)).astype(np.int64), parts):
+                first = np.concatenate(([True], sets[own][1:] != sets[own][:-1]))
+                lead = own[first]
+                rows.append((p, *map(common.pack, (tokens[own], first, sets[lead], sizes[lead].astype(np.uint32)))))
+            if rows:
+                yield _batch(["part", "tokens", "fresh", "sets", "sizes"], rows)
+
+    return run
+
+
+def _count(percent: int, blocks: int):
+    """Tokens that two sets or more share, with their counts, for the sets' blocks."""
+
+    def run(t: pa.Table) -> pa.Table:
+        tokens = common.blobs(t, "tokens", "uint64")
+        place = np.cumsum(common.blobs(t, "fresh", "bool")) - 1
+        sets, sizes = common.blobs(t, "sets", "int64")[place], common.blobs(t, "sizes", "uint32")[place]
+        order = np.argsort(tokens, kind="stable")
+        same = tokens[order][1:] == tokens[order][:-1]
+        together = np.zeros(len(order), bool)
+        together[:-1] |= same
+        together[1:] |= same
+        order = order[together]
+        order = order[np.lexsort((sets[order], tokens[order]))]
+        tokens, sets, sizes = tokens[order], sets[order], sizes[order]
+        fresh = np.ones(len(order), bool)  # equal sets of several batches are one
+        fresh[1:] = (tokens[1:] != tokens[:-1]) | (sets[1:] != sets[:-1])
+        tokens, sets, sizes = tokens[fresh], sets[fresh], sizes[fresh]
+        _, back, count = np.unique(tokens, return_inverse=True, return_counts=True)
+        count = count[back]
+        shared = count > 1
+        tokens, sets, sizes, count = (x[shared] for x in (tokens, sets, sizes, count))
+        rows = []
+        for block, own in _by_part((mix64(sets.view(np.uint64)) % np.uint64(blocks)).astype(np.int64), blocks):
+            rows.append((block, *map(common.pack, (tokens[own], sets[own], sizes[own], count[own].astype(np.uint32)))))
+        return pa.Table.from_batches([_batch(["block", "tokens", "sets", "sizes", "counts"], rows)])
+
+    return run
+
+
+def _rarest(percent: int, parts: int):
+    """Each set's rarest prefix tokens.
+
+    A key is a token and, in its low 16 bits, the set's size class.  Of the
+    sets of a block with equal keys one goes on, linked here to the others,
+    so that a token gives a row for each block and class at most, in however
+    many documents it stands.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        tokens, sets = common.blobs(t, "tokens", "uint64"), common.blobs(t, "sets", "int64")
+        sizes, counts = common.blobs(t, "sizes", "uint32").astype(np.int64), common.blobs(t, "counts", "uint32")
+        _, first, whose = np.unique(sets, return_index=True, return_inverse=True)
+        order = np.lexsort((tokens, counts, whose))
+        begin = np.searchsorted(whose[order], np.arange(len(first)))
+        have = np.diff(np.append(begin, len(order)))
+        own = sizes[first]
+        alone = _prefix(own, percent) - have  # prefix tokens that no other set has are the rarest
+        wanted = _missable(own, percent) + 1 - alone
+        order = order[np.arange(len(order)) - begin[whose[order]] < wanted[whose[order]]]
+        keys = (tokens[order] << np.uint64(16)) | _size_class(sizes[order], percent).astype(np.uint64)
+        sets = sets[order]
+        order = np.argsort(keys, kind="stable")
+        keys, sets = keys[order], sets[order]
+        fresh = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+        lead = sets[np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0))] if len(keys) else sets
+        a, b = common.forest(sets[~fresh], lead[~fresh])
+        keys, sets = keys[fresh], sets[fresh]
+        rows = [(p, common.pack(keys[o]), common.pack(sets[o]), None, None) for p, o in _by_part((mix64(keys >> np.uint64(16)) % np.uint64(parts)).astype(np.int64), parts)]
+        if len(a):
+            rows.append((int(a[0]) % parts, None, None, common.pack(a), common.pack(b)))
+        return pa.Table.from_batches([_batch(["part", "keys", "sets", "src", "dst"], rows)])
 
     return run
 
@@ -169,7 +212,7 @@ def _refine(labels: np.ndarray, tokens: np.ndarray, rows: np.ndarray, sizes: np.
     order = np.lexsort((rank, rows))
     tokens, rows = tokens[order], rows[order]
     bounds = np.searchsorted(rows, np.arange(len(sizes)))
-    keep = np.arange(len(rows)) - bounds[rows] < _prefix_sizes(sizes, percent)[rows]
+    keep = np.arange(len(rows)) - bounds[rows] <= _missable(sizes, percent)[rows]
     tokens, rows = tokens[keep], rows[keep]
     kind = _size_class(sizes, percent)[rows]
     order = np.lexsort((kind, tokens, labels[rows]))
@@ -187,7 +230,7 @@ def _verified(tokens: np.ndarray, rows: np.ndarray, sizes: np.ndarray, percent:
         return 100 * shared >= percent * (a + b - shared)
 
     labels = np.zeros(len(sizes), np.int64)
-    for seed in range(1, ORDERS):
+    for seed in range(2, ORDERS):
         labels = _refine(labels, tokens, rows, sizes, percent, seed)
     out_a, out_b = [], []
     order = np.lexsort((sizes, labels))
@@ -249,15 +292,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("percent must be in 1..100 and width at least 1")
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scanned = common.cut(base.mapInArrow(_scan(width), "id long, n_shingles long, set_id long, piece int, counts binary"))
-    sizes = scanned.where("piece is null").select("id", "n_shingles", "set_id")
-    counts = {r["piece"]: common.unpack(r["counts"], "uint64") for r in scanned.where("piece is not null").select("piece", "counts").groupBy("piece").applyInArrow(_add_counts, "piece int, counts binary").collect()}
-    seen = np.concatenate([counts[i] for i in range(16)]) if counts else np.zeros(1 << SLOT_BITS, np.uint64)
-    ranks = spark.sparkContext.broadcast(np.minimum(np.floor(np.log2(seen + 1.0) * 6), 255).astype(np.uint8).tobytes())
-    parts = common.parts_for(float(seen.sum()) * (100 - percent + 1) / 100 * 16, spark)
-
-    dealt = base.select("text").mapInArrow(_postings(width, percent, parts, ranks), "part int, keys binary, sets binary, src binary, dst binary")
-    classes = common.components(dealt.repartition(parts, "part").groupBy("part").applyInArrow(_prefix_links, "src long, dst long"))
+    sizes = common.cut(base.mapInArrow(_scan(width), "id long, n_shingles long, set_id long"))
+    shingles = sizes.agg(F.sum("n_shingles")).first()[0] or 0
+    parts = common.parts_for(shingles * min(1.0, (100 - percent) / 50) * 16, spark)
+
+    dealt = base.select("text").mapInArrow(_postings(width, percent, parts), "part int, tokens binary, fresh binary, sets binary, sizes binary")
+    counted = dealt.groupBy("part").applyInArrow(_count(percent, parts), "block int, tokens binary, sets binary, sizes binary, counts binary")
+    rare = counted.groupBy("block").applyInArrow(_rarest(percent, parts), "part int, keys binary, sets binary, src binary, dst binary")
+    classes = common.components(rare.groupBy("part").applyInArrow(_prefix_links, "src long, dst long"))
     classes = classes.unionByName(classes.select(F.col("root").alias("node"), "root").distinct())
 
     sets = sizes.where("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"))
