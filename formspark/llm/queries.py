@@ -7,17 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from formspark.llm.jaccard import op9_jaccard
+from formspark.llm.mixing import op1_mixing
 from formspark.llm.packing import op7_packing
 from formspark.llm.repeats import op10_repeats
+from formspark.llm.sharding import op4_sharding
+from formspark.llm.vectors import op2_neardup, op3_neighbours
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
+        "op2_neardup": op2_neardup,
+        "op3_neighbours": op3_neighbours,
+        "op4_sharding": op4_sharding,
         "op7_packing": op7_packing,
         "op9_jaccard": op9_jaccard,
         "op10_repeats": op10_repeats,
     }
 
 
+#: SQL that gives a query's rows; the others are held against brute force in tests/llm.
+ORACLE: dict[str, str] = {
+    "op2_neardup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+            AND list_cosine_similarity(a.e, b.e) >= 0.9
+        ), r(node, seen) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen
+        ), c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN c ON node = vec_id LEFT JOIN n ON a = vec_id
+    """,
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

@@ -292,7 +292,8 @@ def _removed(length: int, with_text: bool, whole_characters: bool):
             place = block.begin[block.rows(doc, tie)] + common.unpack(s, "uint32")
             np.add.at(cover, place, 1)
             np.add.at(cover, place + common.unpack(c, "int32") + length - 1, -1)
-        gone = np.cumsum(cover[:-1]) > 0
+        gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
+        del cover
         if whole_characters and len(gone):
             heads = np.flatnonzero((block.data & 0xC0) != 0x80)
             if len(heads):
@@ -301,11 +302,11 @@ def _removed(length: int, with_text: bool, whole_characters: bool):
         head[1:] &= ~gone[:-1]
         inner = block.begin[(block.size > 0)]
         head[inner] = gone[inner]
-        total, spans = (np.concatenate(([0], np.cumsum(x))) for x in (gone, head))
+        total, spans = (np.concatenate(([0], np.cumsum(x, dtype=np.int32))) for x in (gone, head))
         end = block.begin + block.size
         removed, n_spans = total[end] - total[block.begin], spans[end] - spans[block.begin]
         kept = block.data[~gone].tobytes()
-        left = np.concatenate(([0], np.cumsum(~gone)))
+        left = np.concatenate(([0], np.cumsum(~gone, dtype=np.int32)))
         pieces = {int(i): kept[left[block.begin[i]] : left[end[i]]] for i in np.unique(block.same())}
         same = block.same()
         columns = [pa.array(x) for x in (block.doc, block.tie, block.size[same], removed[same], n_spans[same])]
