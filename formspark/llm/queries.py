@@ -12,6 +12,7 @@ from formspark.llm.packing import op7_packing
 from formspark.llm.repeats import op10_repeats
 from formspark.llm.sharding import op4_sharding
 from formspark.llm.vectors import op2_neardup, op3_neighbours
+from formspark.llm.warc import op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_neighbours": op3_neighbours,
         "op4_sharding": op4_sharding,
         "op7_packing": op7_packing,
+        "op8_warc": op8_warc,
         "op9_jaccard": op9_jaccard,
         "op10_repeats": op10_repeats,
     }
@@ -42,6 +44,30 @@ ORACLE: dict[str, str] = {
         SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
         FROM embeddings JOIN c ON node = vec_id LEFT JOIN n ON a = vec_id
     """,
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+        d AS (SELECT *, sha1(html) AS hex FROM p)
+        SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+            array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + list_sum(list_transform(range(0, 5),
+                j -> (((strpos('0123456789abcdef', substr(hex, (1 + (i * 5 + j) // 4)::INT, 1)) - 1) >> (3 - (i * 5 + j) % 4)::INT) & 1) << (4 - j)::INT)))::INT, 1)), '') AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM d
+    """,
+    "op9_jaccard": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), g AS (
+            SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS g FROM w
+        ), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        s AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM s JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+        r(node, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen),
+        c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id
+        FROM documents d JOIN c ON node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+    """,
 }
 
 
