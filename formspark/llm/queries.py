@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from formspark.llm.jaccard import op9_jaccard
+from formspark.llm.langid import op6_langid
 from formspark.llm.mixing import op1_mixing
 from formspark.llm.packing import op7_packing
+from formspark.llm.quality import op5_quality
 from formspark.llm.repeats import op10_repeats
 from formspark.llm.sharding import op4_sharding
 from formspark.llm.vectors import op2_neardup, op3_neighbours
@@ -21,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_neardup": op2_neardup,
         "op3_neighbours": op3_neighbours,
         "op4_sharding": op4_sharding,
+        "op5_quality": op5_quality,
+        "op6_langid": op6_langid,
         "op7_packing": op7_packing,
         "op8_warc": op8_warc,
         "op9_jaccard": op9_jaccard,

@@ -103,7 +103,7 @@ def _anchors(length: int, parts: int):
             found = []
             for first, data, offsets in slices(batch.column(2)):
                 gram, segment, row, start, count = segments(data, offsets, length)
-                found.append((gram, segment, row + first, start.astype(np.uint32), count.astype(np.uint8)))
+                found.append((gram, segment, row + first, start.astype(np.uint32), count.astype(np.uint16)))
             if not found:
                 continue
             gram, segment, row, start, count = map(np.concatenate, zip(*found, strict=True))
@@ -134,7 +134,7 @@ def _second_digit(parts: int):
             docs.append(common.unpack(d, "int64")[whose])
             ties.append(common.unpack(e, "int64")[whose])
         doc, tie = np.concatenate(docs), np.concatenate(ties)
-        gram, segment, start, count = _columns(t, {"gram": "uint32", "segment": "uint64", "start": "uint32", "count": "uint8"})
+        gram, segment, start, count = _columns(t, {"gram": "uint32", "segment": "uint64", "start": "uint32", "count": "uint16"})
         order = np.argsort(gram, kind="stable")
         same = gram[order][1:] == gram[order][:-1]
         together = np.zeros(len(gram), bool)
