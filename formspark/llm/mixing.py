@@ -50,7 +50,7 @@ def source_targets(sizes: dict[str | None, int], weights: Sequence[float] = (1,
     """Each source's share of all words by weight, none above ``most`` times its size."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: float(weights[i % len(weights)]) for i, s in enumerate(order)}
-    cap = {s: most * sizes[s] for s in order}
+    cap = {s: float(most * sizes[s]) for s in order}
     total = float(sum(sizes.values()))
     # filled up in the order in which sources reach their caps, the water level stands where the rest share alike
     left, open_weight = total, sum(weight.values())
