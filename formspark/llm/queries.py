@@ -37,7 +37,7 @@ ORACLE: dict[str, str] = {
     "op2_neardup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
         ), l AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
             AND list_cosine_similarity(a.e, b.e) >= 0.9
@@ -52,8 +52,8 @@ ORACLE: dict[str, str] = {
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
         d AS (SELECT *, sha1(html) AS hex FROM p)
         SELECT page_id, octet_length(encode(html)) AS payload_bytes,
-            array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + list_sum(list_transform(range(0, 5),
-                j -> (((strpos('0123456789abcdef', substr(hex, (1 + (i * 5 + j) // 4)::INT, 1)) - 1) >> (3 - (i * 5 + j) % 4)::INT) & 1) << (4 - j)::INT)))::INT, 1)), '') AS payload_digest,
+            array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + list_sum(list_transform(range(0, 5),
+                lambda j: (((strpos('0123456789abcdef', substr(hex, (1 + (i * 5 + j) // 4)::INT, 1)) - 1) >> (3 - (i * 5 + j) % 4)::INT) & 1) << (4 - j)::INT)))::INT, 1)), '') AS payload_digest,
             CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
         FROM d
@@ -63,7 +63,7 @@ ORACLE: dict[str, str] = {
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
         ), g AS (
             SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-                ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS g FROM w
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS g FROM w
         ), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
         s AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
         l AS (SELECT a, b FROM s JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
