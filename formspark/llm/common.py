@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,59 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lean(spark: SparkSession) -> None:
+    """Small Arrow batches, in the session's settings: memory must not follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def gathered(batches: Iterable[pa.RecordBatch], size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes, so that what is packed by batch packs well."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, total = [], 0
+    if any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; idle Python workers would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(f: Callable) -> Callable:
+    """``f``, a function for mapInArrow or applyInArrow, that gives memory back when it is done."""
+    if inspect.isgeneratorfunction(f):
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from f(batches)
+            give_back()
+
+        return each
+    if f.__code__.co_argcount == 2:
+
+        def both(a: pa.Table, b: pa.Table) -> pa.Table:
+            out = f(a, b)
+            give_back()
+            return out
+
+        return both
+
+    def one(t: pa.Table) -> pa.Table:
+        out = f(t)
+        give_back()
+        return out
+
+    return one
+
+
 def parts_for(total_bytes: float, spark: SparkSession, per_task: int = TASK_BYTES) -> int:
     """Partitions for so many raw bytes: bounded memory each, and all cores busy."""
     return max(spark.sparkContext.defaultParallelism * 2, math.ceil(total_bytes / per_task))

@@ -84,7 +84,7 @@ def _scan(width: int):
                 sizes[first : first + n], ids[first : first + n] = _set_ids(tokens, rows, n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(ids)], ["id", "n_shingles", "set_id"])
 
-    return run
+    return common.tidy(run)
 
 
 def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -103,7 +103,7 @@ def _postings(width: int, percent: int, parts: int):
     """Packed prefix tokens under the first order, of each distinct set of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.gathered(batches):
             found, every = [], set()
             for _, n, tokens, rows in _sets(batch.column(0), width):
                 sizes, ids = _set_ids(tokens, rows, n)
@@ -122,7 +122,7 @@ def _postings(width: int, percent: int, parts: int):
             if rows:
                 yield _batch(["part", "tokens", "fresh", "sets", "sizes"], rows)
 
-    return run
+    return common.tidy(run)
 
 
 def _count(percent: int, blocks: int):
@@ -152,7 +152,7 @@ def _count(percent: int, blocks: int):
             rows.append((block, *map(common.pack, (tokens[own], sets[own], sizes[own], count[own].astype(np.uint32)))))
         return pa.Table.from_batches([_batch(["block", "tokens", "sets", "sizes", "counts"], rows)])
 
-    return run
+    return common.tidy(run)
 
 
 def _rarest(percent: int, parts: int):
@@ -188,7 +188,7 @@ def _rarest(percent: int, parts: int):
             rows.append((int(a[0]) % parts, None, None, common.pack(a), common.pack(b)))
         return pa.Table.from_batches([_batch(["part", "keys", "sets", "src", "dst"], rows)])
 
-    return run
+    return common.tidy(run)
 
 
 def _size_class(sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -283,7 +283,7 @@ def _verify(width: int, percent: int):
         ids = wanted[chosen]
         return pa.table({"src": ids[a], "dst": ids[b]})
 
-    return run
+    return common.tidy(run)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -291,6 +291,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not 0 < percent <= 100 or width < 1:
         raise ValueError("percent must be in 1..100 and width at least 1")
     spark = docs.sparkSession
+    common.lean(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sizes = common.cut(base.mapInArrow(_scan(width), "id long, n_shingles long, set_id long"))
     shingles = sizes.agg(F.sum("n_shingles")).first()[0] or 0

@@ -125,6 +125,7 @@ def _likelihoods(model):
         values = pa.array(flat.ravel())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, len(table), dtype=np.int32)), values)
         silent = pa.array(np.isnan(flat[:, 0]) if len(flat) else np.zeros(0, bool))
+        common.give_back()
         return pc.if_else(silent, pa.scalar(None, lists.type), lists)
 
     return run
@@ -140,6 +141,7 @@ def identify(docs: DataFrame, text: Column, declared: Column | None = None, host
     ``host`` is a name such as an address has; its last two labels are its
     domain and the last its suffix.  A name without dots has neither.
     """
+    common.lean(docs.sparkSession)
     none = F.lit(None).cast("string")
     declared = F.lower(F.split(F.coalesce(declared, none), "[-_]")[0]) if declared is not None else none
     host = F.lower(host) if host is not None else none

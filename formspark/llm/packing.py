@@ -23,6 +23,7 @@ are ignored, whatever their names.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -38,11 +39,13 @@ from formspark.llm import common
 from formspark.llm.textscan import hashes_of, mix64, running_sums, slices
 
 #: Distinct strings that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Pieces of a group that is packed in one task.
 GROUP = 20_000
 #: A bin filled less is emptied and packed again with those of other groups.
 WELL_FILLED = 0.97
+#: Steps of a group's search, bins that are tried as givers, and pairs of a giver's documents.
+STEPS, GIVERS, PAIRS = 2000, 8, 2000
 
 
 class Encoder:
@@ -51,13 +54,20 @@ class Encoder:
     _made: dict[str, Encoder] = {}
 
     def __init__(self, name: str) -> None:
-        self.plain = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        self.file, self.plain = public_tokenizers.path(f"{name}.json"), None
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.special = [t.content for t in self.plain.get_added_tokens_decoder().values()]
+        with open(self.file, encoding="utf-8") as lines:
+            self.special = [t["content"] for t in json.load(lines)["added_tokens"]]
         self.forget()
 
+    def special_ids(self, text: str) -> list[int]:
+        """Ids of a text with special tokens; the whole tokenizer is loaded only for such."""
+        if self.plain is None:
+            self.plain = Tokenizer.from_file(self.file)
+        return self.plain.encode(text, add_special_tokens=False).ids
+
     @classmethod
     def of(cls, name: str) -> Encoder:
         if name not in cls._made:
@@ -69,7 +79,7 @@ class Encoder:
         self.first, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        new = [self.plain.encode(t, add_special_tokens=False).ids if any(s in t for s in self.special) else self.fast.encode_ordinary(t) for t in texts]
+        new = [self.special_ids(t) if any(s in t for s in self.special) else self.fast.encode_ordinary(t) for t in texts]
         count = np.fromiter(map(len, new), np.int64, len(new))
         first = len(self.pool) + np.concatenate(([0], np.cumsum(count)[:-1]))
         self.known.update(zip(hashes, range(len(self.first), len(self.first) + len(new)), strict=True))
@@ -133,7 +143,7 @@ def _pieces(tokenizer: str, size: int, separator: int, groups: int, with_ids: bo
             group = (mix64(key + number.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(groups)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([id_values, pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc), pa.array(group), pa.array(raw, pa.binary())], names)
 
-    return run, "id long, piece int, start long, length long, ids_crc32 long, pack_group long, ids binary"
+    return common.tidy(run), "id long, piece int, start long, length long, ids_crc32 long, pack_group long, ids binary"
 
 
 def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
@@ -159,49 +169,53 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
+def _step(bins: list[list[int]], lengths: np.ndarray, fill: list[int], size: int, giver: int, others: list[int]) -> tuple[list[int], list[int], int] | None:
+    """What the giver sends, what comes back and from which bin: the change that raises the sum of squared fills most."""
+    own = sorted(bins[giver], key=lambda i: (-lengths[i], i))
+    for i in own:  # a document moves to the fullest bin that has room
+        fits = [k for k in others if size - fill[k] >= lengths[i]]
+        if fits:
+            return [i], [], max(fits, key=lambda k: (fill[k], -k))
+    there = [(i, k) for k in others for i in bins[k]]
+    length = np.array([lengths[i] for i, _ in there])
+    room = np.array([size - fill[k] for _, k in there])
+    gives = [([i], int(lengths[i])) for i in own] + [([i, j], int(lengths[i] + lengths[j])) for x, i in enumerate(own) for j in own[x + 1 :]][:PAIRS]
+    best, step = 0, None
+    for chosen, n in gives:
+        gain = n - length
+        gain = np.where((gain > 0) & (gain <= room), gain, 0)
+        at = int(np.argmax(gain))
+        if gain[at] > best:
+            best, step = int(gain[at]), (chosen, [there[at][0]], there[at][1])
+    return step
+
+
 def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
     """Bins after moves that raise the sum of squared fills; never more of them.
 
-    The emptiest bin gives.  Its documents move to a fuller bin with room,
-    change place with one shorter document there, or two of them with one.
+    Of the underfull bins one of the emptiest gives to a fuller one: a
+    document moves there, or one or two change place with a shorter one.  It
+    ends when no such step is left, when the room of all others is less than
+    the emptiest bin holds, or after STEPS steps.
     """
+    bins = [list(b) for b in bins]
     fill = [int(sum(lengths[i] for i in b)) for b in bins]
-    open_bins = [k for k in range(len(bins)) if fill[k] < size]
-    while len(open_bins) > 1:
-        open_bins.sort(key=lambda k: fill[k])
-        giver, others = open_bins[0], open_bins[1:]
-        if sum(size - fill[k] for k in others) < fill[giver]:
-            break  # no room for all of it, wherever it goes
-        docs = [(int(lengths[i]), i, k) for k in others for i in bins[k]]
-        length = np.array([d[0] for d in docs])
-        room = np.array([size - fill[d[2]] for d in docs])
-        step = None
-        for i in sorted(bins[giver], key=lambda i: -lengths[i]):
-            n = int(lengths[i])
-            fits = [k for k in others if size - fill[k] >= n]
-            if fits:
-                step = ([i], [], max(fits, key=lambda k: fill[k]))
+    for _ in range(STEPS):
+        under = sorted((k for k in range(len(bins)) if 0 < fill[k] < size), key=lambda k: (fill[k], k))
+        if len(under) < 2 or sum(size - fill[k] for k in under[1:]) < fill[under[0]]:
+            break
+        for g, giver in enumerate(under[: min(GIVERS, len(under) - 1)]):
+            step = _step(bins, lengths, fill, size, giver, under[g + 1 :])
+            if step is not None:
                 break
-        if step is None:
-            own = bins[giver]
-            gives = [([i], int(lengths[i])) for i in own] + [([i, j], int(lengths[i] + lengths[j])) for x, i in enumerate(own) for j in own[x + 1 :]][:2000]
-            best = 0
-            for chosen, n in gives:
-                gain = n - length
-                gain = np.where((gain > 0) & (gain <= room), gain, 0)
-                at = int(np.argmax(gain))
-                if gain[at] > best:
-                    best, step = int(gain[at]), (chosen, [docs[at][1]], docs[at][2])
-        if step is None:
-            open_bins = others  # it stays as it is
-            continue
+        else:
+            break
         out, back, k = step
         moved = int(sum(lengths[i] for i in out) - sum(lengths[i] for i in back))
         bins[giver] = [i for i in bins[giver] if i not in out] + back
         bins[k] = [i for i in bins[k] if i not in back] + out
         fill[giver] -= moved
         fill[k] += moved
-        open_bins = [k for k in open_bins if 0 < fill[k] < size]
     return [b for b in bins if b]
 
 
@@ -224,11 +238,12 @@ def _pack(size: int, last: bool, first_group: int):
         t = t.drop_columns(["pack_group"])
         return t.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    return run
+    return common.tidy(run)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, separator: int = 0, tokenizer: str = "byte_bpe_50k", with_ids: bool = False) -> DataFrame:
     """One row a piece: id, piece, start, length, ids_crc32, sequence_id, offset [, ids, little-endian 32-bit]."""
+    common.lean(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     groups = max(1, round(base.count() / GROUP))
     make, schema = _pieces(tokenizer, size, separator, groups, with_ids)

@@ -175,12 +175,14 @@ def score(model, text: Column) -> Column:
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
         out = [model.value.scores(*encode(data, offsets)) for _, data, offsets in slices(texts)]
+        common.give_back()
         return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return run(text)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.lean(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 4 == 2
     labels = common.table(spark, sf_dir, "labels").where(~held_out("doc_id")).select("doc_id", "quality")

@@ -98,7 +98,7 @@ def _anchors(length: int, parts: int):
     names = ["part", "gram", "segment", "doc", "tie", "whose", "start", "count"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.gathered(batches):
             doc, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             found = []
             for first, data, offsets in slices(batch.column(2)):
@@ -115,7 +115,7 @@ def _anchors(length: int, parts: int):
             if rows:
                 yield _batch(names, rows, 1)
 
-    return run, "part int, gram binary, segment binary, doc binary, tie binary, whose binary, start binary, count binary"
+    return common.tidy(run), "part int, gram binary, segment binary, doc binary, tie binary, whose binary, start binary, count binary"
 
 
 def _columns(t: pa.Table, names: dict[str, str]) -> list[np.ndarray]:
@@ -162,7 +162,7 @@ def _second_digit(parts: int):
                 rows.append((block, part, settled, *map(common.pack, (np.diff(doc[own], prepend=0), tie[own], start[own], count[own].astype(np.int32)))))
         return pa.Table.from_batches([_batch(names, rows, 3)])
 
-    return run, "block int, part int, settled int, doc binary, tie binary, start binary, count binary"
+    return common.tidy(run), "block int, part int, settled int, doc binary, tie binary, start binary, count binary"
 
 
 def _blocks(parts: int):
@@ -170,7 +170,7 @@ def _blocks(parts: int):
     names = ["block", "doc", "tie", "size", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.gathered(batches):
             doc, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             text = batch.column(2).cast(pa.large_binary()).fill_null(b"")
             rows = []
@@ -181,7 +181,7 @@ def _blocks(parts: int):
             if rows:
                 yield _batch(names, rows, 1)
 
-    return run, "block int, doc binary, tie binary, size binary, data binary"
+    return common.tidy(run), "block int, doc binary, tie binary, size binary, data binary"
 
 
 class _Block:
@@ -224,7 +224,7 @@ def _contexts(length: int):
                 rows.append((p, common.pack(doc), e, s, c, common.pack(data)))
         return pa.Table.from_batches([_batch(names, rows, 1)])
 
-    return run, "part int, doc binary, tie binary, start binary, count binary, data binary"
+    return common.tidy(run), "part int, doc binary, tie binary, start binary, count binary, data binary"
 
 
 def repeated_windows(data: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
@@ -276,7 +276,7 @@ def _last_digits(length: int, parts: int):
             rows.append((block, *map(common.pack, (np.diff(d[own], prepend=0), e[own], at[runs[own]].astype(np.uint32), many[own].astype(np.int32)))))
         return pa.Table.from_batches([_batch(names, rows, 1)])
 
-    return run, "block int, doc binary, tie binary, start binary, count binary"
+    return common.tidy(run), "block int, doc binary, tie binary, start binary, count binary"
 
 
 def _removed(length: int, with_text: bool, whole_characters: bool):
@@ -316,7 +316,7 @@ def _removed(length: int, with_text: bool, whole_characters: bool):
         return pa.table(columns, names)
 
     names = ["doc", "tie", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
-    return run, "doc long, tie long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    return common.tidy(run), "doc long, tie long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
 
 
 _LAST = (1 << 63) - 1
@@ -339,6 +339,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} at least")
     spark = docs.sparkSession
+    common.lean(spark)
     keyed = docs if "__doc" in docs.columns else _keyed(docs, id_col, text_col)
     base = keyed.select("__doc", "__tie", F.col(text_col).alias("__text"))
     _, size = common.text_bytes(base, "__text")

@@ -8,8 +8,8 @@ corpus; its places are cut into shards whose counts differ by one at most.
 
 The bucket's hash takes id and text, so one id or one text in a third of all
 rows does not fill a bucket; rows equal in both can.  Bucket counts (one
-number each) give each bucket its first place; they are joined, not
-collected.
+number each) give each bucket its first place; they are dealt to the
+buckets' tasks, so the records move once.
 
 Defined cases: null text has no bytes; null ids are shuffled like others;
 rows that are equal in all are interchangeable; fewer rows than shards leave
@@ -33,7 +33,9 @@ BUCKET_BYTES = 16 << 20
 
 
 def _shuffled(seed: int, id_col: str):
-    def run(t: pa.Table) -> pa.Table:
+    def run(t: pa.Table, first: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return t.drop_columns(["__hash"]).append_column("__place", pa.array([], pa.int64()))
         bucket = t.column("__bucket")[0].as_py()
         t = t.sort_by([(id_col, "ascending"), ("__hash", "ascending")])
         rng = np.random.default_rng([seed, bucket])
@@ -43,9 +45,9 @@ def _shuffled(seed: int, id_col: str):
             j = int(draws[i] * (i + 1))
             order[i], order[j] = order[j], order[i]
         t = t.take(pa.array(order)).drop_columns(["__hash"])
-        return t.append_column("__in", pa.array(np.arange(t.num_rows)))
+        return t.append_column("__place", pa.array(first.column("__before")[0].as_py() + np.arange(t.num_rows)))
 
-    return run
+    return common.tidy(run)
 
 
 def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
@@ -57,9 +59,9 @@ def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
     counts = dealt.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = counts.select("__bucket", before.alias("__before"))  # a row for each 16 MB
-    shape = T.StructType([f for f in dealt.schema if f.name != "__hash"] + [T.StructField("__in", T.LongType())])
-    shuffled = dealt.groupBy("__bucket").applyInArrow(_shuffled(seed, id_col), shape).join(first, "__bucket")
-    place = F.col("__before") + F.col("__in")
+    shape = T.StructType([f for f in dealt.schema if f.name != "__hash"] + [T.StructField("__place", T.LongType())])
+    shuffled = dealt.groupBy("__bucket").cogroup(first.groupBy("__bucket")).applyInArrow(_shuffled(seed, id_col), shape)
+    place = F.col("__place")
     # the first of `more` shards have one row more than `least`
     least, more = divmod(rows, shards)
     head = more * (least + 1)

@@ -51,7 +51,7 @@ def _batches(width: int, work, names: list[str]):
                 flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(work(batch.column(0).to_numpy(), flat.reshape(-1, width)), names)
 
-    return run
+    return common.tidy(run)
 
 
 # ---- near-duplicates: exact metric range join
@@ -143,7 +143,7 @@ def _linked(width: int, cosine: float):
         some = np.flatnonzero(count)
         return pa.table({"id": ids[some], "n": count[some], "dst": ids[labels[some]]})
 
-    return run
+    return common.tidy(run)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str, vector_col: str, cosine: float = 0.9) -> DataFrame:
@@ -327,7 +327,7 @@ def _nearest(width: int, top: int):
         query, found, score = map(np.concatenate, zip(*out, strict=True))
         return pa.table({"query_id": query, "vec_id": found, "score": score})
 
-    return run
+    return common.tidy(run)
 
 
 def nearest_neighbours(vectors: DataFrame, id_col: str, vector_col: str, every: int = 20, top: int = 20) -> DataFrame:

@@ -150,6 +150,7 @@ def train_dictionary(samples: list[bytes]) -> bytes:
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> None:
     """The pages as archives under ``path``, one for each partition of ``pages``."""
     spark = pages.sparkSession
+    common.lean(spark)
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     sample = base.select("id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload"), F.xxhash64("id", "url").alias("h")).orderBy("h", "id").limit(SAMPLE_PAGES).collect()
     dictionary = spark.sparkContext.broadcast(train_dictionary([record(r["id"], r["url"], bytes(r["payload"]), None) for r in sample]))
@@ -170,7 +171,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                 yield pa.RecordBatch.from_arrays([pa.array(([dictionary_frame(raw)] if first else []) + out, pa.binary())], ["frame"])
                 first = False
 
-    lines = marked.mapInArrow(write, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    lines = marked.mapInArrow(common.tidy(write), "frame binary").select(F.col("frame").cast("string").alias("value"))
     lines.write.option("lineSep", SEPARATOR.decode()).text(path)
 
 
@@ -195,7 +196,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 yield _rows(rows, names)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(read, "record_id string, record_type string, url string, refers_to string, payload_bytes long, payload_digest string" + ", payload binary" * payloads)
+    return files.mapInArrow(common.tidy(read), "record_id string, record_type string, url string, refers_to string, payload_bytes long, payload_digest string" + ", payload binary" * payloads)
 
 
 def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
