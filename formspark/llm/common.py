@@ -106,6 +106,18 @@ def text_bytes(df: DataFrame, text: str = "text") -> tuple[int, int]:
     return row["n"], row["b"] or 0
 
 
+def sample(df: DataFrame, n: int, keys: list[str], seed: int) -> DataFrame:
+    """``n`` rows at most, those of smallest seeded hash of the keys.
+
+    Hashes above what n rows need twice over go before the sort, so a task
+    has some rows to send and not n.
+    """
+    lot = F.xxhash64(*keys, F.lit(seed))
+    share = min(1.0, 2.0 * n / max(1, df.count()))
+    few = df.withColumn("__lot", lot).where(F.pmod(F.xxhash64("__lot"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return few.orderBy("__lot", *keys).limit(n).drop("__lot")
+
+
 def pack(array: np.ndarray) -> bytes:
     """One numpy column as a compressed blob; ``unpack`` is the way back."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(array).tobytes())

@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     """A classifier from ``labels`` (id, label 0 or 1), or from a bounded sample of them."""
     lot = F.xxhash64(F.col(id_col), F.lit(13))
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"), lot.alias("h"))
-    chosen = known.orderBy("h", "__id", "label").limit(sample_rows)
+    chosen = common.sample(known, sample_rows, ["__id", "label"], 13)
     # sample_rows rows of three numbers
     rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("h", "label", F.col(text_col).alias("text"))
     found = rows.mapInArrow(_bags, "h long, label int, bag binary").limit(2 * sample_rows).collect()  # an id may repeat

@@ -60,7 +60,7 @@ def _batches(width: int, work, names: list[str]):
 def _pivots(good: DataFrame, rows: int) -> np.ndarray:
     """A bounded, seeded sample of unit vectors as pivots."""
     n = min(MOST_PIVOTS, max(1, round(rows / CELL)))
-    sample = good.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(n).collect()
+    sample = common.sample(good, n, ["id"], 5).collect()
     out = np.array([r["vector"] for r in sample])
     return np.unique(out / np.linalg.norm(out, axis=1, keepdims=True), axis=0)
 
@@ -344,7 +344,7 @@ def nearest_neighbours(vectors: DataFrame, id_col: str, vector_col: str, every:
     empty = "query_id long, rank int, vec_id long, score double"
     if not width:
         return spark.createDataFrame([], empty)
-    sample = np.array([r["vector"] for r in good.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(SAMPLE).collect()])
+    sample = np.array([r["vector"] for r in common.sample(good, SAMPLE, ["id"], 3).collect()])
     fitted = Curves(sample)
     fitted.fit(sample, top)
     curves = spark.sparkContext.broadcast(fitted)

@@ -152,7 +152,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     spark = pages.sparkSession
     common.lean(spark)
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    sample = base.select("id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload"), F.xxhash64("id", "url").alias("h")).orderBy("h", "id").limit(SAMPLE_PAGES).collect()
+    sample = common.sample(base.select("id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload")), SAMPLE_PAGES, ["id", "url"], 3).collect()
     dictionary = spark.sparkContext.broadcast(train_dictionary([record(r["id"], r["url"], bytes(r["payload"]), None) for r in sample]))
 
     keyed = base.withColumn("sha", F.unhex(F.sha1("payload")))
