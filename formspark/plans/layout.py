@@ -135,34 +135,42 @@ def _near(t: Tables, reach: int, condition, distance) -> DataFrame:  # noqa: ANN
     return layout.nearest(left, right, ["user_id", "band"], condition, distance, ["event_id"], {"nearest": F.col("b.event_id"), "distance": distance}, ["event_id"])
 
 
-_a, _b = lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")
-_dt = _a("sec") - _b("sec")
+def _a(c: str):  # noqa: ANN202
+    return F.col(f"a.{c}")
+
+
+def _b(c: str):  # noqa: ANN202
+    return F.col(f"b.{c}")
+
+
+def _apart():  # noqa: ANN202
+    return _a("sec") - _b("sec")
 
 
 @query(_nearest_sql(f"a.event_type = b.event_type AND a.sec - b.sec > 0 AND a.sec - b.sec < {24 * HOUR}"))
 def q_nearest_above(t: Tables) -> DataFrame:
-    return _near(t, 24 * HOUR, (_a("event_type") == _b("event_type")) & (_dt > 0) & (_dt < 24 * HOUR), _dt)
+    return _near(t, 24 * HOUR, (_a("event_type") == _b("event_type")) & (_apart() > 0) & (_apart() < 24 * HOUR), _apart())
 
 
 @query(_nearest_sql(f"b.event_type <> a.event_type AND a.sec - b.sec > 0 AND a.sec - b.sec < {8 * HOUR}"))
 def q_nearest_left(t: Tables) -> DataFrame:
-    return _near(t, 8 * HOUR, (_a("event_type") != _b("event_type")) & (_dt > 0) & (_dt < 8 * HOUR), _dt)
+    return _near(t, 8 * HOUR, (_a("event_type") != _b("event_type")) & (_apart() > 0) & (_apart() < 8 * HOUR), _apart())
 
 
 @query(_nearest_sql(f"a.event_type = 'purchase' AND b.event_type = 'click' AND a.sec - b.sec > 0 AND a.sec - b.sec < {12 * HOUR}", "b.event_id"))
 def q_specify_slot(t: Tables) -> DataFrame:
-    return _near(t, 12 * HOUR, (_a("event_type") == "purchase") & (_b("event_type") == "click") & (_dt > 0) & (_dt < 12 * HOUR), _b("event_id"))
+    return _near(t, 12 * HOUR, (_a("event_type") == "purchase") & (_b("event_type") == "click") & (_apart() > 0) & (_apart() < 12 * HOUR), _b("event_id"))
 
 
 @query(_nearest_sql(f"a.event_type = b.event_type AND a.sec - b.sec > 0 AND a.sec - b.sec < {48 * HOUR} AND abs(a.value - b.value) <= 1.5", "b.event_id"))
 def q_mirror_pairs(t: Tables) -> DataFrame:
-    return _near(t, 48 * HOUR, (_a("event_type") == _b("event_type")) & (_dt > 0) & (_dt < 48 * HOUR) & (F.abs(_a("value") - _b("value")) <= 1.5), _b("event_id"))
+    return _near(t, 48 * HOUR, (_a("event_type") == _b("event_type")) & (_apart() > 0) & (_apart() < 48 * HOUR) & (F.abs(_a("value") - _b("value")) <= 1.5), _b("event_id"))
 
 
 @query(_nearest_sql(f"a.event_type = b.event_type AND a.sec - b.sec >= 0 AND a.sec - b.sec < {36 * HOUR} AND a.event_id <> b.event_id AND least(a.value, b.value) / greatest(a.value, b.value) > 0.7 AND b.value - a.value >= 5"))
 def q_continuation_links(t: Tables) -> DataFrame:
     ratio = F.least(_a("value"), _b("value")) / F.greatest(_a("value"), _b("value"))
-    return _near(t, 36 * HOUR, (_a("event_type") == _b("event_type")) & (_dt >= 0) & (_dt < 36 * HOUR) & (_a("event_id") != _b("event_id")) & (ratio > 0.7) & (_b("value") - _a("value") >= 5), _dt)
+    return _near(t, 36 * HOUR, (_a("event_type") == _b("event_type")) & (_apart() >= 0) & (_apart() < 36 * HOUR) & (_a("event_id") != _b("event_id")) & (ratio > 0.7) & (_b("value") - _a("value") >= 5), _apart())
 
 
 @query("""SELECT r_name, p_size, r_name || ' / ' || p_size AS label FROM region CROSS JOIN (SELECT DISTINCT p_size FROM part)""")
