@@ -49,7 +49,7 @@ def lean(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
-def gathered(batches: Iterable[pa.RecordBatch], size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterable[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``size`` bytes, so that what is packed by batch packs well."""
     held, total = [], 0
     for batch in batches:
@@ -62,6 +62,18 @@ def gathered(batches: Iterable[pa.RecordBatch], size: int = 16 << 20) -> Iterato
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def _frugal() -> None:
+    """Large arrays are returned to the system when they are freed: workers live long, beside a JVM."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD, which would grow otherwise
+        libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+
+
+_frugal()
+
+
 def give_back() -> None:
     """Returns freed memory to the system; idle Python workers would keep it."""
     pa.default_memory_pool().release_unused()

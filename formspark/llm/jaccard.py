@@ -45,7 +45,7 @@ from formspark.llm.textscan import lowered, mix64, row_sets, shingle_hashes, sli
 #: Global token orders in all: by hash, by count, and by seeds.
 ORDERS = 4
 #: Shingles that one verifying task holds of a side at most.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 500_000
 
 
 def _sets(column: pa.ChunkedArray | pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -114,6 +114,7 @@ def _postings(width: int, percent: int, parts: int):
             if not found:
                 continue
             tokens, sets, sizes = map(np.concatenate, zip(*found, strict=True))
+            del found
             rows = []
             for p, own in _by_part((mix64(tokens) % np.uint64(parts)).astype(np.int64), parts):
                 first = np.concatenate(([True], sets[own][1:] != sets[own][:-1]))

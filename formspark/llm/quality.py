@@ -162,7 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"), lot.alias("h"))
     chosen = common.sample(known, sample_rows, ["__id", "label"], 13)
     # sample_rows rows of three numbers
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("h", "label", F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("h", "label", "text")
     found = rows.mapInArrow(_bags, "h long, label int, bag binary").limit(2 * sample_rows).collect()  # an id may repeat
     found.sort(key=lambda r: (r["h"], r["label"], bytes(r["bag"])))
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES).astype(float) for r in found]

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; the widest temporary is 8 to 16 bytes for each.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Rows handled at a time, so that a row's number fits 16 bits.
 MOST_ROWS = 1 << 16
 
