@@ -230,18 +230,24 @@ def _contexts(length: int):
 def repeated_windows(data: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
     """Class of each window that occurs again, -1 of others, by passes of DIGIT bytes."""
     running = running_sums(data)
-    alive, kind = np.arange(len(windows)), np.zeros(len(windows), np.uint64)
+    alive, kind = np.arange(len(windows), dtype=np.int32), np.zeros(len(windows), np.uint64)
     for depth in range(0, length, DIGIT):
         at = windows[alive] + depth
-        kind = mix64(kind * np.uint64(5) + hashes_of(running, at, at + min(DIGIT, length - depth)))
+        digit = hashes_of(running, at, at + min(DIGIT, length - depth))
+        del at
+        kind *= np.uint64(5)
+        kind += digit
+        del digit
+        kind = mix64(kind)
         order = np.argsort(kind, kind="stable")
-        same = kind[order][1:] == kind[order][:-1]
-        stay = np.zeros(len(order), bool)
+        kind, alive = kind[order], alive[order]
+        del order
+        same = kind[1:] == kind[:-1]
+        stay = np.zeros(len(kind), bool)
         stay[:-1] |= same
         stay[1:] |= same
-        order = order[stay]
-        alive, kind = alive[order], kind[order]
-    out = np.full(len(windows), -1)
+        alive, kind = alive[stay], kind[stay]
+    out = np.full(len(windows), -1, np.int32)
     if len(alive):
         out[alive] = np.cumsum(np.concatenate(([0], kind[1:] != kind[:-1])))
     return out
@@ -255,9 +261,10 @@ def _last_digits(length: int, parts: int):
         start, count = start.astype(np.int64), count.astype(np.int64)
         sizes = count + length - 1
         place = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-        whose = np.repeat(np.arange(len(count)), count)
-        at = common.ranges(start, count)
-        kind = repeated_windows(data, common.ranges(place, count), length)
+        kind = repeated_windows(data, common.ranges(place, count).astype(np.int32), length)
+        del data
+        whose = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        at = common.ranges(start, count).astype(np.int32)
         found = np.flatnonzero(kind >= 0)
         rank = np.empty(len(doc), np.int64)
         by_doc = np.lexsort((tie, doc))

@@ -26,11 +26,14 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser: close inputs give unrelated 64-bit values."""
     x = x.astype(np.uint64)
-    x ^= x >> np.uint64(30)
+    t = x >> np.uint64(30)
+    x ^= t
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
+    np.right_shift(x, np.uint64(27), out=t)
+    x ^= t
     x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    np.right_shift(x, np.uint64(31), out=t)
+    x ^= t
     return x
 
 
