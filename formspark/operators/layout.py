@@ -160,7 +160,7 @@ def first_in(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataF
 
 def table_cells(rows: DataFrame, columns: DataFrame) -> DataFrame:
     """Every row with every column: the cells of one ruled table, whose size is the result's."""
-    return rows.crossJoin(F.broadcast(columns))
+    return rows.crossJoin(columns)
 
 
 def owners(points: DataFrame, boxes: list[tuple[str, float, float, float, float]], x: str = "x", y: str = "y", inset: float = 1.0) -> DataFrame:
