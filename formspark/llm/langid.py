@@ -192,15 +192,23 @@ def identify(docs: DataFrame, text: Column, declared: Column | None = None, host
     return out.select(*docs.columns, "__language", "__confidence", "__text_language", "__accepted")
 
 
+def _page_parts(html: Column, url: Column) -> tuple[Column, Column, Column]:
+    """A web page's text without tags, the html element's lang, and the address's host."""
+    text = F.regexp_replace(F.regexp_replace(html, "(?is)<(script|style)\\b.*?</\\1>|<!--.*?-->", " "), "<[^>]*>", " ")
+    lang = F.nullif(F.regexp_extract(html, "(?i)<html[^>]*\\blang=[\"']?([A-Za-z]+)", 1), F.lit(""))
+    host = F.nullif(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
+    return text, lang, host
+
+
 def identify_pages(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """``identify`` for web pages: text without tags, the html element's lang, and the address's host."""
-    text = F.regexp_replace(F.regexp_replace(F.col(html_col), "(?is)<(script|style)\\b.*?</\\1>|<!--.*?-->", " "), "<[^>]*>", " ")
-    lang = F.nullif(F.regexp_extract(F.col(html_col), "(?i)<html[^>]*\\blang=[\"']?([A-Za-z]+)", 1), F.lit(""))
-    host = F.nullif(F.regexp_extract(F.col(url_col), "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
-    return identify(pages, text, lang, host)
+    """``identify`` for web pages."""
+    return identify(pages, *_page_parts(F.col(html_col), F.col(url_col)))
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    found = identify(docs, F.col("text"), F.col("lang"), F.col("source"))
-    return found.select("doc_id", F.col("__language").alias("language"), F.round("__confidence", 6).alias("confidence"), F.col("__text_language").alias("text_language"), F.col("__accepted").alias("accepted"))
+    """All rows of ``documents`` (doc_id) and of ``pages`` (page_id), identified as one table."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    text, lang, host = _page_parts(F.col("html"), F.col("url"))
+    pages = common.table(spark, sf_dir, "pages").select("page_id", text.alias("text"), lang.alias("declared"), host.alias("host"))
+    found = identify(docs.unionByName(pages, allowMissingColumns=True), F.col("text"), F.col("declared"), F.col("host"))
+    return found.select("doc_id", "page_id", F.col("__language").alias("language"), F.round("__confidence", 6).alias("confidence"), F.col("__text_language").alias("text_language"), F.col("__accepted").alias("accepted"))

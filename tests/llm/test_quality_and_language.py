@@ -87,3 +87,14 @@ def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = langid.identify_pages(pages).select("__language", F.regexp_extract("html", 'lang="([a-z]+)', 1).alias("declared")).collect()
     assert len(got) == pages.count() and np.mean([r["__language"] == r["declared"] for r in got]) > 0.98
+
+
+def test_query_reads_documents_and_pages(spark):
+    pages, docs = spark.read.parquet(f"{SF}/pages.parquet"), spark.read.parquet(f"{SF}/documents.parquet")
+    got = langid.op6_langid(spark, SF).toPandas()
+    assert len(got) == docs.count() + pages.count()
+    assert set(got.doc_id.dropna()) == {r[0] for r in docs.select("doc_id").collect()}
+    declared = {r["page_id"]: r["declared"] for r in pages.select("page_id", F.regexp_extract("html", 'lang="([a-z]+)', 1).alias("declared")).collect()}
+    of_pages = got[got.page_id.notna()]
+    assert set(of_pages.page_id) == set(declared)
+    assert np.mean([declared[i] == x and ok for i, x, ok in zip(of_pages.page_id, of_pages.language, of_pages.accepted)]) > 0.98
