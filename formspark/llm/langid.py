@@ -10,8 +10,11 @@ row of a join, and the tables joined are broadcast only where Spark finds
 them small.
 
 The gram model is trained on a bounded sample of rows with a declared
-language, SAMPLE_ROWS of each, chosen by hash.  A further class, "und", has
-all grams alike; it wins where a text looks like no language known.
+language, SAMPLE_ROWS of each, chosen by hash.  Every declared language that
+has letters in its texts gets a model; models travel as the grams that occur,
+packed, and workers spread BLOCK of them at a time.  A row holds one number a
+language.  A further class, "und", has all grams alike; it wins where a text
+looks like no language known.
 
 Defined cases: null or empty texts, and texts without letters, have no text
 evidence and are rejected; null declarations and hosts say nothing; without
@@ -33,8 +36,10 @@ from pyspark.sql import functions as F
 from formspark.llm import common
 from formspark.llm.textscan import lowered, slices
 
-#: Training rows of a language, languages, and hashed grams.
-SAMPLE_ROWS, MOST_LANGUAGES, GRAM_BITS = 400, 64, 15
+#: Training rows of a language, and hashed grams.
+SAMPLE_ROWS, GRAM_BITS = 400, 15
+#: Languages whose dense tables a worker holds at a time.
+BLOCK = 64
 #: Grams that a text's evidence counts for at most, and in proportion.
 MOST_GRAMS, TEMPER = 400.0, 0.5
 #: Rows that a level of the host hierarchy counts for in the level below it.
@@ -65,65 +70,85 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[str, np.ndarray] = {}
     for batch in batches:
-        languages = batch.column(0).to_pylist()
+        languages, slots, counts = [], [], []
+        names = batch.column(0).to_pylist()
         for first, data, offsets in slices(batch.column(1)):
             slot, row = _grams(data, offsets)
             bounds = np.searchsorted(row, np.arange(len(offsets)))
             for i in range(len(offsets) - 1):
-                counts = total.setdefault(languages[first + i], np.zeros(1 << GRAM_BITS))
                 own = slot[bounds[i] : bounds[i + 1]]
                 if len(own):
-                    counts += np.bincount(own, minlength=len(counts)) * min(1.0, 2000 / len(own))  # no text rules the model
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["language", "counts"])
+                    grams, n = np.unique(own, return_counts=True)
+                    languages.append(names[first + i])
+                    slots.append(grams.astype(np.uint16).tobytes())
+                    counts.append((n * min(1.0, 2000 / len(own))).tobytes())  # no text rules the model
+        yield pa.RecordBatch.from_arrays([pa.array(languages, pa.string()), pa.array(slots, pa.binary()), pa.array(counts, pa.binary())], ["language", "slots", "counts"])
 
 
 def _add(t: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x) for x in t.column("counts").to_pylist())
-    return pa.table({"language": t.column("language")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    total = np.zeros(1 << GRAM_BITS)
+    for slots, counts in zip(t.column("slots").to_pylist(), t.column("counts").to_pylist()):
+        total[np.frombuffer(slots, np.uint16)] += np.frombuffer(counts)
+    some = np.flatnonzero(total)
+    return pa.table({"language": t.column("language")[:1], "slots": pa.array([common.pack(some.astype(np.uint16))], pa.binary()), "counts": pa.array([common.pack(total[some])], pa.binary())})
 
 
-def train(docs: DataFrame, text: Column, declared: Column, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages, "und" last, and their log-probabilities of grams, from a bounded sample."""
+def _dense(slots: bytes, counts: bytes) -> np.ndarray:
+    """A language's log-probabilities of grams."""
+    total = np.full(1 << GRAM_BITS, 0.1)
+    total[common.unpack(slots, "uint16")] += common.unpack(counts, "float64")
+    return np.log(total / total.sum())
+
+
+def train(docs: DataFrame, text: Column, declared: Column, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], list[tuple[bytes, bytes]]]:
+    """Languages, "und" last, and the packed grams and counts of all but "und", from a bounded sample."""
     known = docs.select(declared.alias("language"), text.alias("text")).where("language is not null and text is not null")
-    counts = known.groupBy("language").count().orderBy(F.desc("count"), "language").limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return [UNKNOWN], np.full((1, 1 << GRAM_BITS), -GRAM_BITS * math.log(2))
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("language") == r["language"], min(1.0, 2.0 * sample_rows / r["count"])).otherwise(share)
-    lot = (F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 20)) / float(1 << 20)).alias("lot")
-    found = known.select("language", "text", lot).where(F.col("lot") < share)
-    sums = found.select("language", "text").mapInArrow(_train, "language string, counts binary").groupBy("language").applyInArrow(_add, "language string, counts binary").collect()
-    model = {r["language"]: np.frombuffer(r["counts"]) for r in sums}
-    languages = sorted(model)
-    rows = [np.log((model[k] + 0.1) / (model[k] + 0.1).sum()) for k in languages]
-    return [*languages, UNKNOWN], np.array([*rows, np.full(1 << GRAM_BITS, -GRAM_BITS * math.log(2))])
+    counts = known.groupBy("language").count().withColumnRenamed("count", "__n").where(F.col("__n") > 2 * sample_rows)
+    lot = F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 20)) / float(1 << 20)
+    found = known.join(F.broadcast(counts), "language", "left").where(F.col("__n").isNull() | (lot < 2.0 * sample_rows / F.col("__n")))
+    shape = "language string, slots binary, counts binary"
+    sums = found.select("language", "text").mapInArrow(_train, shape).groupBy("language").applyInArrow(_add, shape).collect()
+    sums.sort(key=lambda r: r["language"])
+    return [*(r["language"] for r in sums), UNKNOWN], [(bytes(r["slots"]), bytes(r["counts"])) for r in sums]
 
 
 def _likelihoods(model):
+    kept = {}
+
+    def tables() -> Iterator[tuple[int, np.ndarray]]:
+        models = model.value
+        for first in range(0, len(models), BLOCK):
+            table = kept.get(first)
+            if table is None:
+                table = np.array([_dense(*x) for x in models[first : first + BLOCK]])
+                if len(models) <= BLOCK:
+                    kept[first] = table
+            yield first, table
+
     @F.arrow_udf("array<double>")
     def run(texts: pa.Array) -> pa.Array:
-        table = model.value
+        width = len(model.value) + 1
         out = []
         for _, data, offsets in slices(texts):
             slot, row = _grams(data, offsets)
             bounds = np.searchsorted(row, np.arange(len(offsets)))
             n = np.diff(bounds)
             some = n > 0
-            own = np.zeros((len(n), len(table)))
+            own = np.zeros((len(n), width))
+            own[:, -1] = n * (-GRAM_BITS * math.log(2))
             if some.any():
-                for k in range(len(table)):
-                    own[some, k] = np.add.reduceat(table[k][slot], bounds[:-1][some])
+                for first, table in tables():
+                    for k in range(len(table)):
+                        own[some, first + k] = np.add.reduceat(table[k][slot], bounds[:-1][some])
             weight = np.where(some, TEMPER * np.minimum(n, MOST_GRAMS) / np.maximum(n, 1), 0)
             own *= weight[:, None]
             own -= own.max(axis=1, keepdims=True)
             own[~some] = np.nan
             out.append(own)
-        flat = np.concatenate(out) if out else np.zeros((0, len(table)))
+        flat = np.concatenate(out) if out else np.zeros((0, width))
         values = pa.array(flat.ravel())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, len(table), dtype=np.int32)), values)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, width, dtype=np.int32)), values)
         silent = pa.array(np.isnan(flat[:, 0]) if len(flat) else np.zeros(0, bool))
         common.give_back()
         return pc.if_else(silent, pa.scalar(None, lists.type), lists)
@@ -131,8 +156,18 @@ def _likelihoods(model):
     return run
 
 
-def _best(scores: Column, languages: list[str]) -> Column:
-    return F.element_at(F.array(*map(F.lit, languages)), F.array_position(scores, F.array_max(scores)).cast("int"))
+def _numbers(values: list[float]) -> Column:
+    """One literal, however many numbers."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
+def _best(scores: Column) -> Column:
+    return F.array_position(scores, F.array_max(scores)).cast("int")
+
+
+def _named(place: Column, languages: list[str]) -> Column:
+    """Language by place; a declared name has no hyphen."""
+    return F.element_at(F.split(F.lit("-".join(languages)), "-"), place)
 
 
 def identify(docs: DataFrame, text: Column, declared: Column | None = None, host: Column | None = None, least: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -145,8 +180,8 @@ def identify(docs: DataFrame, text: Column, declared: Column | None = None, host
     none = F.lit(None).cast("string")
     declared = F.lower(F.split(F.coalesce(declared, none), "[-_]")[0]) if declared is not None else none
     host = F.lower(host) if host is not None else none
-    languages, table = train(docs, text, declared, sample_rows)
-    model = docs.sparkSession.sparkContext.broadcast(table)
+    languages, models = train(docs, text, declared, sample_rows)
+    model = docs.sparkSession.sparkContext.broadcast(models)
     n = len(languages)
     labels = F.split(F.col("__host"), "\\.")
     known = docs.withColumns({"__declared": declared, "__host": host})
@@ -155,18 +190,20 @@ def identify(docs: DataFrame, text: Column, declared: Column | None = None, host
         "__suffix": F.when(F.size(labels) > 1, F.element_at(labels, -1)),
         "__text": _likelihoods(model)(text),
     })
-    found = known.withColumn("__best", _best(F.col("__text"), languages))
+    found = known.withColumn("__best", _best(F.col("__text")))
 
     # one small table of all rows, from which all counts follow
     cells = common.cut(found.where("__best is not null").groupBy("__host", "__domain", "__suffix", "__declared", "__best").agg(F.count(F.lit(1)).alias("n")))
-    of = lambda x: F.sum(F.when(F.col("__best") == x, F.col("n")).otherwise(0)).cast("double")
-    counts = F.array(*[of(x) for x in languages])
-    every = cells.agg(counts.alias("c")).first()["c"] or [0.0] * n
-    smooth = [(c or 0.0) + 1.0 for c in every]
-    root = F.array(*[F.lit(c / sum(smooth)) for c in smooth])
+    every = [0.0] * n
+    for r in cells.groupBy("__best").agg(F.sum("n").alias("n")).collect():
+        every[r["__best"] - 1] = float(r["n"])
+    smooth = [c + 1.0 for c in every]
+    root = _numbers([c / sum(smooth) for c in smooth])
 
-    def level(keys: list[str], name: str) -> DataFrame:
-        return cells.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(counts.alias(name))
+    def level(keys: list[str], name: str, only: str = "true") -> DataFrame:
+        found = cells.where(" and ".join([only, *(f"{k} is not null" for k in keys)])).groupBy(*keys, "__best").agg(F.sum("n").cast("double").alias("n"))
+        found = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__best", "n"))).alias("m"))
+        return found.select(*keys, F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias(name))
 
     def shrink(own: Column, up: Column) -> Column:
         total = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
@@ -175,19 +212,18 @@ def identify(docs: DataFrame, text: Column, declared: Column | None = None, host
     suffixes = level(["__suffix"], "c").select("__suffix", shrink(F.col("c"), root).alias("__ps"))
     domains = level(["__suffix", "__domain"], "c").join(suffixes, "__suffix").select("__domain", shrink(F.col("c"), F.col("__ps")).alias("__pd"))
     hosts = level(["__domain", "__host"], "c").join(domains, "__domain", "left").select("__host", shrink(F.col("c"), F.coalesce("__pd", root)).alias("__prior"))
-    lone = cells.where("__domain is null and __host is not null").groupBy("__host").agg(counts.alias("c")).select("__host", shrink(F.col("c"), root).alias("__prior"))
+    lone = level(["__host"], "c", "__domain is null").select("__host", shrink(F.col("c"), root).alias("__prior"))
     # of n rows that a text calls x, how many declare d: P(d | x), smoothed
-    total = F.array(*[F.lit(c or 0.0) for c in every])
-    says = cells.where("__declared is not null").groupBy("__declared").agg(counts.alias("c"))
-    says = says.select("__declared", F.zip_with("c", total, lambda c, t: F.log((c + 0.5) / (t + 0.5 * (n + 1)))).alias("__says"))
+    total = _numbers(every)
+    says = level(["__declared"], "c").select("__declared", F.zip_with("c", total, lambda c, t: F.log((c + 0.5) / (t + 0.5 * (n + 1)))).alias("__says"))
 
     out = found.join(hosts.unionByName(lone), "__host", "left").join(says, "__declared", "left")
     prior = F.transform(F.coalesce("__prior", root), lambda p: F.log(p))
-    flat = F.array(*[F.lit(0.0)] * n)
+    flat = F.array_repeat(F.lit(0.0), n)
     score = F.zip_with(F.zip_with(F.coalesce("__text", flat), prior, lambda a, b: a + b), F.coalesce("__says", flat), lambda a, b: a + b)
     out = out.withColumn("__score", score)
     odds = F.aggregate(F.transform("__score", lambda x: F.exp(x - F.array_max("__score"))), F.lit(0.0), lambda a, x: a + x)
-    out = out.withColumns({"__language": _best(F.col("__score"), languages), "__confidence": F.lit(1.0) / odds, "__text_language": F.col("__best")})
+    out = out.withColumns({"__language": _named(_best(F.col("__score")), languages), "__confidence": F.lit(1.0) / odds, "__text_language": _named(F.col("__best"), languages)})
     out = out.withColumn("__accepted", F.col("__text").isNotNull() & (F.col("__language") != UNKNOWN) & (F.col("__confidence") >= least))
     return out.select(*docs.columns, "__language", "__confidence", "__text_language", "__accepted")
 

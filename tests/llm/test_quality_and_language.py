@@ -98,3 +98,12 @@ def test_query_reads_documents_and_pages(spark):
     of_pages = got[got.page_id.notna()]
     assert set(of_pages.page_id) == set(declared)
     assert np.mean([declared[i] == x and ok for i, x, ok in zip(of_pages.page_id, of_pages.language, of_pages.accepted)]) > 0.98
+
+
+def test_every_declared_language_has_a_model(spark):
+    rng = np.random.default_rng(1)
+    words = {f"x{chr(97 + i // 26)}{chr(97 + i % 26)}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(12)] for i in range(70)}
+    rows = [(name, " ".join(rng.permutation(own)), name if j else None) for name, own in words.items() for j in range(5)]
+    df = spark.createDataFrame(rows, "truth string, text string, lang string")
+    got = langid.identify(df, F.col("text"), F.col("lang")).collect()
+    assert len(got) == 350 and all(r["__language"] == r["truth"] and r["__accepted"] for r in got)
