@@ -9,8 +9,8 @@ grouped aggregates over all rows; a host with any share of the rows is one
 row of a join, and the tables joined are broadcast only where Spark finds
 them small.
 
-The gram model is trained on a bounded sample of rows with a declared
-language, SAMPLE_ROWS of each, chosen by hash.  Every declared language that
+The gram model is trained on a bounded sample of distinct texts with a declared
+language, the SAMPLE_ROWS of smallest hash of each; copies count once.  Every declared language that
 has letters in its texts gets a model; models travel as the grams that occur,
 packed, and workers spread BLOCK of them at a time.  A row holds one number a
 language.  A further class, "und", has all grams alike; it wins where a text
@@ -30,13 +30,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formspark.llm import common
 from formspark.llm.textscan import lowered, slices
 
-#: Training rows of a language, and hashed grams.
+#: Training texts of a language, and hashed grams.
 SAMPLE_ROWS, GRAM_BITS = 400, 15
 #: Languages whose dense tables a worker holds at a time.
 BLOCK = 64
@@ -103,10 +103,16 @@ def _dense(slots: bytes, counts: bytes) -> np.ndarray:
 
 def train(docs: DataFrame, text: Column, declared: Column, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], list[tuple[bytes, bytes]]]:
     """Languages, "und" last, and the packed grams and counts of all but "und", from a bounded sample."""
-    known = docs.select(declared.alias("language"), text.alias("text")).where("language is not null and text is not null")
-    counts = known.groupBy("language").count().withColumnRenamed("count", "__n").where(F.col("__n") > 2 * sample_rows)
-    lot = F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 20)) / float(1 << 20)
-    found = known.join(F.broadcast(counts), "language", "left").where(F.col("__n").isNull() | (lot < 2.0 * sample_rows / F.col("__n")))
+    key = F.xxhash64("text", F.lit(9)).alias("key")
+    known = docs.select(declared.alias("language"), text.alias("text")).where("language is not null and text is not null").select("language", "text", key)
+    texts = common.cut(known.select("language", "key").distinct())
+    # twice the keys wanted go to the sort, whatever a language has; the last key wanted is its bound
+    many = texts.groupBy("language").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * sample_rows)
+    place = F.col("key").cast("double") / 2.0**64 + 0.5
+    few = texts.join(F.broadcast(many), "language", "left").where(F.col("n").isNull() | (place < 2.0 * sample_rows / F.col("n")))
+    few = few.withColumn("nth", F.row_number().over(Window.partitionBy("language").orderBy("key")))
+    bounds = few.where(F.col("nth") <= sample_rows).groupBy("language").agg(F.max("key").alias("last"))
+    found = known.join(F.broadcast(bounds), "language").where("key <= last").groupBy("language", "key").agg(F.first("text").alias("text"))
     shape = "language string, slots binary, counts binary"
     sums = found.select("language", "text").mapInArrow(_train, shape).groupBy("language").applyInArrow(_add, shape).collect()
     sums.sort(key=lambda r: r["language"])

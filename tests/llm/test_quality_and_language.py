@@ -107,3 +107,15 @@ def test_every_declared_language_has_a_model(spark):
     df = spark.createDataFrame(rows, "truth string, text string, lang string")
     got = langid.identify(df, F.col("text"), F.col("lang")).collect()
     assert len(got) == 350 and all(r["__language"] == r["truth"] and r["__accepted"] for r in got)
+
+
+def test_training_takes_distinct_texts(spark):
+    few = [("xx", f"grosse {w} kleine") for w in ("haus", "baum", "stadt")]
+    many = [("yy", f"petite maison {i}") for i in range(50)]
+    copies = spark.createDataFrame(few * 3000 + many, "lang string, text string")
+    once = spark.createDataFrame(few + many, "lang string, text string")
+    got = [langid.train(x, F.col("text"), F.col("lang"), 4) for x in (copies, once)]
+    assert got[0][0] == ["xx", "yy", "und"] and got[0] == got[1]
+    # three texts of "xx" and four of "yy", each of them once
+    for (_, counts), texts in zip(got[0][1], (3, 4)):
+        assert langid.common.unpack(counts, "float64").max() == texts
