@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import inspect
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -13,7 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Raw bytes that one task should hold of what is dealt to it as packed blobs.
@@ -24,24 +25,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{top or tempfile.mkdtemp(prefix='shared-')}/{name}-{uuid.uuid4().hex}"
+_made: dict[str, str] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the checkpoint folder that all executors share.
+def _shared(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset, as in tests, a temporary folder takes its place.
+    The session's ``spark.checkpoint.dir``; only a session in one process,
+    as in tests, may do without, and gets a temporary folder.
     """
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if top:
+        return top
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _made.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="shared-"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared checkpoint folder, without its lineage."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        spark.sparkContext.setCheckpointDir(_shared(spark))
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once as a compressed table in the shared folder: for what is wide."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free(columns: Iterable[str], name: str) -> str:
+    """``name``, with underscores in front while ``columns`` have such a name (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def lean(spark: SparkSession) -> None:
     """Small Arrow batches, in the session's settings: memory must not follow the length of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
@@ -49,7 +77,7 @@ def lean(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
-def gathered(batches: Iterable[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterable[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``size`` bytes, so that what is packed by batch packs well."""
     held, total = [], 0
     for batch in batches:
@@ -62,18 +90,6 @@ def gathered(batches: Iterable[pa.RecordBatch], size: int = 8 << 20) -> Iterator
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _frugal() -> None:
-    """Large arrays are returned to the system when they are freed: workers live long, beside a JVM."""
-    pa.set_memory_pool(pa.system_memory_pool())
-    with contextlib.suppress(OSError, AttributeError):
-        libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD, which would grow otherwise
-        libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
-
-
-_frugal()
-
-
 def give_back() -> None:
     """Returns freed memory to the system; idle Python workers would keep it."""
     pa.default_memory_pool().release_unused()
@@ -178,20 +194,62 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[labels[child]]
 
 
+def numbered(df: DataFrame, order: list[str], out: str, parts: int) -> DataFrame:
+    """``df`` with ``out``: each row's place from 0 in the order of the columns, without gaps; computed once.
+
+    Rows are dealt to ``parts`` sorted ranges; the ranges' counts, a row a
+    range, come to the driver and go back as each range's first place.
+    """
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__n", F.monotonically_increasing_id())
+    placed = cut(placed.withColumns({"__range": F.shiftright("__n", 33), "__n": F.col("__n").bitwiseAND(F.lit((1 << 33) - 1))}))
+    counts = sorted(tuple(r) for r in placed.groupBy("__range").count().collect())
+    first, at = [], 0
+    for p, n in counts:
+        first.append((p, at))
+        at += n
+    firsts = df.sparkSession.createDataFrame(first, "__range long, __first long")
+    return placed.join(F.broadcast(firsts), "__range").withColumn(out, F.col("__first") + F.col("__n")).select(*df.columns, out)
+
+
+def running(counts: DataFrame, key: str, number: str, out: str, group: int = 4096) -> DataFrame:
+    """``counts`` (a key from 0 and a number a row) with ``out``: the sum over all smaller keys.
+
+    Keys are summed by groups of ``group``, so no task holds more than that
+    many rows of a group, and one row a group.
+    """
+    of = F.floor(F.col(key) / F.lit(group)).cast("long")
+    tops = counts.groupBy(of.alias("__of")).agg(F.sum(number).alias("__all"))
+    tops = tops.select("__of", F.coalesce(F.sum("__all").over(Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    inner = F.coalesce(F.sum(number).over(Window.partitionBy("__of").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.withColumn("__of", of).withColumn("__inner", inner).join(tops, "__of").withColumn(out, F.col("__base") + F.col("__inner")).select(*counts.columns, out)
+
+
+#: A node with this share of all links is a hub: there can be two thousand at most.
+HUB = 1000
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of each linked node but the roots; links are (src, dst) longs.
 
-    Alternating large-star and small-star rounds.  Each is aggregates and
-    equi-joins against one row a node, so a node with any number of
-    neighbours is never gathered in one place; lineage is cut every round.
+    Alternating large-star and small-star rounds of aggregates, combined
+    before they are dealt, and equi-joins against one row a node.  The hubs'
+    rows, which would meet in one task, are joined by a broadcast: a hub has
+    a thousandth of all links, so there are two thousand at most.  Lineage is
+    cut every round.
     """
 
-    def stars(e: DataFrame) -> DataFrame:
+    def with_low(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
+        hubs = low.where(F.col("n") * HUB >= total).select("src", F.col("low").alias("hub_low"))
+        marked = rows.join(F.broadcast(hubs), "src", "left")
+        rest = marked.where("hub_low is null").drop("hub_low").join(low.where(F.col("n") * HUB < total).select("src", "low"), "src")
+        return marked.where("hub_low is not null").withColumnRenamed("hub_low", "low").unionByName(rest)
+
+    def stars(e: DataFrame, total: int) -> DataFrame:
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        low = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("low"))
-        large = both.where("dst > src").join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-        low = large.groupBy("src").agg(F.min("dst").alias("low"))
-        small = large.join(low, "src").select(F.when(F.col("dst") > F.col("low"), F.col("dst")).otherwise(F.col("src")).alias("src"), F.col("low").alias("dst"))
+        low = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("low"), F.count(F.lit(1)).alias("n"))
+        large = with_low(both.where("dst > src"), low, total).select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+        low = large.groupBy("src").agg(F.min("dst").alias("low"), F.count(F.lit(1)).alias("n"))
+        small = with_low(large, low, total).select(F.when(F.col("dst") > F.col("low"), F.col("dst")).otherwise(F.col("src")).alias("src"), F.col("low").alias("dst"))
         return small.distinct()
 
     def state(e: DataFrame) -> tuple:
@@ -202,7 +260,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not before[0]:
             break
-        e = cut(stars(e))
+        e = cut(stars(e, before[0]))
         now = state(e)
         if now == before:
             break

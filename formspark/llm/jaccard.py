@@ -1,32 +1,42 @@
 """Near-duplicate join on word shingles (operator 9).
 
 Two texts link when their sets of distinct word shingles have a Jaccard
-similarity of ``percent`` / 100 or more.  The join is exact; only the class
-of each document is returned, so no list of all pairs is ever made.
+similarity of ``percent`` / 100 or more.  Shingles are compared by 64-bit
+hashes; given these the join is exact.  Only the class of each document is
+returned, so no list of all pairs is ever made.
 
-Method: filtering under several global token orders.
+Method: filtering under several global token orders.  With c = n -
+ceil(percent * n / 100), what a set of n can miss, linking sets share one of
+their c + 1 first tokens under any order of all tokens.
 
-1. First order: the tokens' hashes.  With c = n - ceil(percent * n / 100),
-   what a set of n can miss, linking sets share one token at least among the
-   first c + e of each and miss c at most, whatever e; here e = c.  These
+1. First order: the tokens' hashes.  Linking sets also share one token at
+   least among the first 2c of each and miss c of these at most.  These
    tokens are dealt by hash as packed arrays and counted over all sets.
+   Tokens that a sample shows to be very common are not counted: they are the
+   last of the next order, and stay with their sets.
 2. Second order: rarest first by that count, within the first order's prefix.
-   Linking sets share one of the c + 1 rarest; tokens of one set only count
-   but are not kept, so most sets leave here.  In each token's list, sorted
-   by size, neighbours within the size filter are linked.  The classes of
-   those links, found by distributed rounds, hold every true pair together.
-3. Only texts in a class of two or more sets are fetched.  Inside a class
-   the other orders (seeded hashes) must each give a shared prefix token as
-   well; what is left is verified on whole sets.
-
-A class with more sets than fit a task is dealt as pairs of blocks, so
-neither memory nor result depends on how large a class is.
+   Tokens of one set only count but are not kept, so most sets leave here.
+   In each token's list, sorted by size, neighbours within the size filter
+   are linked; the classes of those links, found by distributed rounds, hold
+   every true pair together.
+3. Only texts in a class of two sets or more are fetched, one for a set.
+   There a pair is a candidate only if it shares a prefix token under every
+   one of ORDERS orders (rarest first in its class, by hash, two seeded ones):
+   the orders' filters are intersected pair by pair.  A candidate is verified
+   on whole sets, unless links that are known already join its two sides.
+
+A class of more than BLOCK_SHINGLES shingles or BLOCK_SETS sets is verified
+by blocks: within each block, then among one set of each class that the
+blocks found, and at last the sets outside the largest class that came of
+this against every block.  A family of any size costs each of its blocks
+once; nothing is dropped.
 
 Defined cases: null and empty texts have no shingles and link with nothing;
 a text with fewer words than ``width`` has its whole sequence as one
 shingle; equal sets are collapsed before any pairing; rows that share an id
 are one node; a null id gets its size, and a null class.  Extra columns are
-ignored.
+ignored by ``jaccard_components`` and kept by ``keep_one``, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -36,25 +46,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formspark.llm import common
-from formspark.llm.textscan import lowered, mix64, row_sets, shingle_hashes, slices, span_hashes, word_spans
+from formspark.llm.textscan import mix64, shingle_sets
 
-#: Global token orders in all: by hash, by count, and by seeds.
+#: Orders whose filters a candidate pair has to pass.
 ORDERS = 4
-#: Shingles that one verifying task holds of a side at most.
-BLOCK_SHINGLES = 500_000
-
-
-def _sets(column: pa.ChunkedArray | pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, tokens, row of each token) by slices; tokens are distinct in a row."""
-    for first, data, offsets in slices(column):
-        data = lowered(data)
-        starts, ends, rows = word_spans(data, offsets)
-        n = len(offsets) - 1
-        yield first, n, *row_sets(*shingle_hashes(span_hashes(data, starts, ends), rows, n, width))
+#: Shingles and sets of a block of a large class.
+BLOCK_SHINGLES, BLOCK_SETS = 25_000, 250
+#: Rows of the sample that common tokens are found in, and the share of them that such a token is in.
+SAMPLE_ROWS, COMMON = 2048, 1 / 64
+_MOST = np.uint32(0xFFFFFFFF)
 
 
 def _set_ids(tokens: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,9 +84,9 @@ def _scan(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, ids = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for first, n, tokens, rows in _sets(batch.column(1), width):
+            for first, n, tokens, rows in shingle_sets(batch.column(2), width):
                 sizes[first : first + n], ids[first : first + n] = _set_ids(tokens, rows, n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(ids)], ["id", "n_shingles", "set_id"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(ids)], ["id", "h", "n_shingles", "set_id"])
 
     return common.tidy(run)
 
@@ -94,45 +98,94 @@ def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(p), order[bounds[p] : bounds[p + 1]]
 
 
-def _batch(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
+def _batch(names: list[str], rows: list[tuple], ints: int = 1) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(columns)], names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i >= ints else pa.int32()) for i, c in enumerate(columns)], names)
+
+
+def _of(values: np.ndarray, parts: int) -> np.ndarray:
+    return (mix64(values.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
-def _postings(width: int, percent: int, parts: int):
-    """Packed prefix tokens under the first order, of each distinct set of a batch."""
+def _prefix_tokens(width: int, percent: int):
+    """(token, set) of the first order's prefix: rows, so for a bounded sample only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, n, tokens, rows in shingle_sets(batch.column(0), width):
+                sizes, ids = _set_ids(tokens, rows, n)
+                keep = np.arange(len(rows)) - np.searchsorted(rows, np.arange(n))[rows] < _prefix(sizes, percent)[rows]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(ids[rows[keep]])], ["token", "set_id"])
+
+    return common.tidy(run)
+
+
+def _common_tokens(base: DataFrame, rows: int, width: int, percent: int) -> np.ndarray:
+    """Tokens in COMMON of a sample's distinct sets or more: 64 times the tokens of a prefix at most."""
+    share = min(1.0, SAMPLE_ROWS / max(1, rows))
+    few = base.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
+    found = few.mapInArrow(_prefix_tokens(width, percent), "token long, set_id long").distinct()
+    least = max(8, int(COMMON * min(rows, SAMPLE_ROWS)))
+    return np.sort(np.array([r["token"] for r in found.groupBy("token").count().where(F.col("count") >= least).select("token").collect()], np.int64).view(np.uint64))
+
+
+def _among(tokens: np.ndarray, some: np.ndarray) -> np.ndarray:
+    if not len(some):
+        return np.zeros(len(tokens), bool)
+    at = np.minimum(np.searchsorted(some, tokens), len(some) - 1)
+    return some[at] == tokens
+
+
+def _postings(width: int, percent: int, parts: int, frequent):
+    """Packed prefix tokens under the first order, of each distinct set of a batch: dealt by token, common ones by set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = frequent.value
         for batch in common.gathered(batches):
             found, every = [], set()
-            for _, n, tokens, rows in _sets(batch.column(0), width):
+            for _, n, tokens, rows in shingle_sets(batch.column(0), width):
                 sizes, ids = _set_ids(tokens, rows, n)
                 fresh = np.array([x not in every and not every.add(x) for x in ids.tolist()], bool) & (sizes > 0)
                 bounds = np.searchsorted(rows, np.arange(n))
                 keep = (np.arange(len(rows)) - bounds[rows] < _prefix(sizes, percent)[rows]) & fresh[rows]
-                found.append((tokens[keep], ids[rows[keep]], sizes[rows[keep]]))
+                found.append((tokens[keep], ids[rows[keep]], sizes[rows[keep]].astype(np.uint32)))
             if not found:
                 continue
             tokens, sets, sizes = map(np.concatenate, zip(*found, strict=True))
             del found
+            usual = ~_among(tokens, often)
             rows = []
-            for p, own in _by_part((mix64(tokens) % np.uint64(parts)).astype(np.int64), parts):
-                first = np.concatenate(([True], sets[own][1:] != sets[own][:-1]))
-                lead = own[first]
-                rows.append((p, *map(common.pack, (tokens[own], first, sets[lead], sizes[lead].astype(np.uint32)))))
+            for kind, chosen in ((0, np.flatnonzero(usual)), (1, np.flatnonzero(~usual))):
+                for p, own in _by_part(_of(sets[chosen] if kind else tokens[chosen], parts), parts):
+                    own = chosen[own]
+                    first = np.concatenate(([True], sets[own][1:] != sets[own][:-1]))
+                    lead = own[first]
+                    rows.append((p, kind, *map(common.pack, (tokens[own], first, sets[lead], sizes[lead]))))
             if rows:
-                yield _batch(["part", "tokens", "fresh", "sets", "sizes"], rows)
+                yield _batch(["part", "kind", "tokens", "fresh", "sets", "sizes"], rows, 2)
 
     return common.tidy(run)
 
 
-def _count(percent: int, blocks: int):
-    """Tokens that two sets or more share, with their counts, for the sets' blocks."""
+def _spread(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    place = np.cumsum(common.blobs(t, "fresh", "bool")) - 1
+    return common.blobs(t, "tokens", "uint64"), common.blobs(t, "sets", "int64")[place], common.blobs(t, "sizes", "uint32")[place]
+
+
+def _count(blocks: int):
+    """Tokens that two sets or more share, with their counts, for the sets' blocks; common tokens pass."""
 
     def run(t: pa.Table) -> pa.Table:
-        tokens = common.blobs(t, "tokens", "uint64")
-        place = np.cumsum(common.blobs(t, "fresh", "bool")) - 1
-        sets, sizes = common.blobs(t, "sets", "int64")[place], common.blobs(t, "sizes", "uint32")[place]
+        rows = []
+
+        def deal(tokens: np.ndarray, sets: np.ndarray, sizes: np.ndarray, count: np.ndarray) -> None:
+            for block, own in _by_part(_of(sets, blocks), blocks):
+                rows.append((block, *map(common.pack, (tokens[own], sets[own], sizes[own], count[own]))))
+
+        kinds = t.column("kind").to_numpy()
+        tokens, sets, sizes = _spread(t.filter(pa.array(kinds == 1)))
+        deal(tokens, sets, sizes, np.full(len(tokens), _MOST))
+        tokens, sets, sizes = _spread(t.filter(pa.array(kinds == 0)))
         order = np.argsort(tokens, kind="stable")
         same = tokens[order][1:] == tokens[order][:-1]
         together = np.zeros(len(order), bool)
@@ -145,12 +198,9 @@ def _count(percent: int, blocks: int):
         fresh[1:] = (tokens[1:] != tokens[:-1]) | (sets[1:] != sets[:-1])
         tokens, sets, sizes = tokens[fresh], sets[fresh], sizes[fresh]
         _, back, count = np.unique(tokens, return_inverse=True, return_counts=True)
-        count = count[back]
+        count = np.minimum(count, int(_MOST) - 1)[back].astype(np.uint32)
         shared = count > 1
-        tokens, sets, sizes, count = (x[shared] for x in (tokens, sets, sizes, count))
-        rows = []
-        for block, own in _by_part((mix64(sets.view(np.uint64)) % np.uint64(blocks)).astype(np.int64), blocks):
-            rows.append((block, *map(common.pack, (tokens[own], sets[own], sizes[own], count[own].astype(np.uint32)))))
+        deal(tokens[shared], sets[shared], sizes[shared], count[shared])
         return pa.Table.from_batches([_batch(["block", "tokens", "sets", "sizes", "counts"], rows)])
 
     return common.tidy(run)
@@ -159,172 +209,246 @@ def _count(percent: int, blocks: int):
 def _rarest(percent: int, parts: int):
     """Each set's rarest prefix tokens.
 
-    A key is a token and, in its low 16 bits, the set's size class.  Of the
-    sets of a block with equal keys one goes on, linked here to the others,
-    so that a token gives a row for each block and class at most, in however
-    many documents it stands.
+    Of the sets of a block with the same token and size class one goes on,
+    linked here to the others, so that a token gives a row for each block and
+    class at most, in however many documents it stands.
     """
 
     def run(t: pa.Table) -> pa.Table:
         tokens, sets = common.blobs(t, "tokens", "uint64"), common.blobs(t, "sets", "int64")
         sizes, counts = common.blobs(t, "sizes", "uint32").astype(np.int64), common.blobs(t, "counts", "uint32")
-        _, first, whose = np.unique(sets, return_index=True, return_inverse=True)
-        order = np.lexsort((tokens, counts, whose))
-        begin = np.searchsorted(whose[order], np.arange(len(first)))
-        have = np.diff(np.append(begin, len(order)))
+        order = np.lexsort((tokens, counts, sets))
+        tokens, sets, sizes = tokens[order], sets[order], sizes[order]
+        fresh = np.ones(len(order), bool)  # a common token of equal sets of several batches
+        fresh[1:] = (tokens[1:] != tokens[:-1]) | (sets[1:] != sets[:-1])
+        tokens, sets, sizes = tokens[fresh], sets[fresh], sizes[fresh]
+        _, first, whose, have = np.unique(sets, return_index=True, return_inverse=True, return_counts=True)
         own = sizes[first]
         alone = _prefix(own, percent) - have  # prefix tokens that no other set has are the rarest
         wanted = _missable(own, percent) + 1 - alone
-        order = order[np.arange(len(order)) - begin[whose[order]] < wanted[whose[order]]]
-        keys = (tokens[order] << np.uint64(16)) | _size_class(sizes[order], percent).astype(np.uint64)
-        sets = sets[order]
-        order = np.argsort(keys, kind="stable")
-        keys, sets = keys[order], sets[order]
-        fresh = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
-        lead = sets[np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0))] if len(keys) else sets
+        keep = np.arange(len(sets)) - first[whose] < wanted[whose]
+        tokens, sets, kinds = tokens[keep], sets[keep], _size_class(sizes[keep], percent).astype(np.uint16)
+        order = np.lexsort((kinds, tokens))
+        tokens, sets, kinds = tokens[order], sets[order], kinds[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (tokens[1:] != tokens[:-1]) | (kinds[1:] != kinds[:-1])
+        lead = sets[np.maximum.accumulate(np.where(fresh, np.arange(len(sets)), 0))] if len(sets) else sets
         a, b = common.forest(sets[~fresh], lead[~fresh])
-        keys, sets = keys[fresh], sets[fresh]
-        rows = [(p, common.pack(keys[o]), common.pack(sets[o]), None, None) for p, o in _by_part((mix64(keys >> np.uint64(16)) % np.uint64(parts)).astype(np.int64), parts)]
+        tokens, sets, kinds = tokens[fresh], sets[fresh], kinds[fresh]
+        rows = [(p, *map(common.pack, (tokens[o], kinds[o], sets[o])), None, None) for p, o in _by_part(_of(tokens, parts), parts)]
         if len(a):
-            rows.append((int(a[0]) % parts, None, None, common.pack(a), common.pack(b)))
-        return pa.Table.from_batches([_batch(["part", "keys", "sets", "src", "dst"], rows)])
+            rows.append((int(a[0]) % parts, None, None, None, common.pack(a), common.pack(b)))
+        return pa.Table.from_batches([_batch(["part", "tokens", "kinds", "sets", "src", "dst"], rows)])
 
     return common.tidy(run)
 
 
 def _size_class(sizes: np.ndarray, percent: int) -> np.ndarray:
     """Sizes within the ratio percent / 100 are in one class or in neighbouring ones."""
+    if percent == 100:
+        return np.zeros(len(sizes), np.int64)
     return np.floor(np.log(np.maximum(sizes, 1)) / -math.log(percent / 100) + 1e-9).astype(np.int64)
 
 
 def _prefix_links(t: pa.Table) -> pa.Table:
     """Links between sets that stand together in a token's list; the gap of one class more covers rounding."""
-    keys, sets = common.blobs(t, "keys", "uint64"), common.blobs(t, "sets", "int64")
-    order = np.argsort(keys, kind="stable")
-    keys, sets = keys[order], sets[order]
-    near = (keys[1:] >> np.uint64(16) == keys[:-1] >> np.uint64(16)) & (keys[1:] - keys[:-1] <= np.uint64(2)) & (sets[1:] != sets[:-1])
+    tokens, kinds, sets = common.blobs(t, "tokens", "uint64"), common.blobs(t, "kinds", "uint16").astype(np.int64), common.blobs(t, "sets", "int64")
+    order = np.lexsort((kinds, tokens))
+    tokens, kinds, sets = tokens[order], kinds[order], sets[order]
+    near = (tokens[1:] == tokens[:-1]) & (kinds[1:] - kinds[:-1] <= 2) & (sets[1:] != sets[:-1])
     a, b = common.forest(np.concatenate([sets[1:][near], common.blobs(t, "src", "int64")]), np.concatenate([sets[:-1][near], common.blobs(t, "dst", "int64")]))
     return pa.table({"src": a, "dst": b})
 
 
-def _refine(labels: np.ndarray, tokens: np.ndarray, rows: np.ndarray, sizes: np.ndarray, percent: int, seed: int) -> np.ndarray:
-    """Classes split further: neighbours must share a prefix token under this order too."""
-    rank = mix64(tokens + np.uint64(seed * 0x9E3779B1))
-    order = np.lexsort((rank, rows))
-    tokens, rows = tokens[order], rows[order]
-    bounds = np.searchsorted(rows, np.arange(len(sizes)))
-    keep = np.arange(len(rows)) - bounds[rows] <= _missable(sizes, percent)[rows]
-    tokens, rows = tokens[keep], rows[keep]
-    kind = _size_class(sizes, percent)[rows]
-    order = np.lexsort((kind, tokens, labels[rows]))
-    tokens, rows, kind = tokens[order], rows[order], kind[order]
-    near = (tokens[1:] == tokens[:-1]) & (labels[rows[1:]] == labels[rows[:-1]]) & (kind[1:] - kind[:-1] <= 2)
-    return common.join_labels(np.arange(len(sizes)), rows[1:][near], rows[:-1][near])
-
-
-def _verified(tokens: np.ndarray, rows: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the true links among the given sets."""
-    bounds = np.searchsorted(rows, np.arange(len(sizes) + 1))
-    own = [tokens[bounds[i] : bounds[i + 1]] for i in range(len(sizes))]
-
-    def linked(shared, a, b):
-        return 100 * shared >= percent * (a + b - shared)
-
-    labels = np.zeros(len(sizes), np.int64)
-    for seed in range(2, ORDERS):
-        labels = _refine(labels, tokens, rows, sizes, percent, seed)
-    out_a, out_b = [], []
-    order = np.lexsort((sizes, labels))
-    for members in np.split(order, np.flatnonzero(np.diff(labels[order])) + 1) if len(order) else []:
-        if len(members) < 2:
-            continue
-        flat = np.concatenate([own[i] for i in members])
-        whose = np.repeat(np.arange(len(members)), sizes[members])
-        by_token = np.argsort(flat, kind="stable")
-        flat, whose = flat[by_token], whose[by_token]
-        group = np.arange(len(members))
-        for k in range(1, len(members)):
-            i = members[k]
-            before = group[:k]
-            if (before == before[0]).all():  # one class so far: its last member settles most copies
-                j = members[k - 1]
-                if linked(len(np.intersect1d(own[i], own[j], assume_unique=True)), sizes[i], sizes[j]):
-                    group[k] = before[0]
-                    out_a.append(i)
-                    out_b.append(j)
-                    continue
-            low, high = np.searchsorted(flat, own[i]), np.searchsorted(flat, own[i], side="right")
-            shared = np.bincount(whose[common.ranges(low, high - low)], minlength=len(members))[:k]
-            for j in np.flatnonzero(linked(shared, sizes[i], sizes[members[:k]])):
-                if group[j] != group[k]:
-                    group[group == group[k]] = group[j]
-                    out_a.append(i)
-                    out_b.append(members[j])
-    return np.array(out_a, np.int64), np.array(out_b, np.int64)
+class Candidates:
+    """The pairs of some sets that share a prefix token under every order."""
+
+    def __init__(self, own: list[np.ndarray], percent: int) -> None:
+        self.sizes = np.array([len(x) for x in own], np.int64)
+        whose = np.repeat(np.arange(len(own)), self.sizes)
+        every, token, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        self.orders = []
+        wanted = _missable(self.sizes, percent) + 1
+        begin = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+        for k in range(ORDERS):
+            if k == 0:
+                by = np.lexsort((every, count))
+            else:
+                by = np.arange(len(every)) if k == 1 else np.argsort(mix64(every + np.uint64(k * 0x9E3779B1)))
+            rank = np.empty(len(every), np.int64)
+            rank[by] = np.arange(len(every))
+            order = np.lexsort((rank[token], whose))
+            order = order[np.arange(len(order)) - begin[whose[order]] < wanted[whose[order]]]
+            tokens, sets = token[order], whose[order]
+            firsts = np.searchsorted(sets, np.arange(len(own) + 1))
+            by = np.argsort(tokens, kind="stable")
+            lists = np.searchsorted(tokens[by], np.arange(len(every) + 1))
+            self.orders.append((tokens, firsts, sets[by], lists))
+
+    def shared(self, k: int) -> np.ndarray:
+        """For each set, in how many prefix tokens it meets set k, over all orders; 0 unless it does under each."""
+        out, all_orders = np.zeros(len(self.sizes), np.int64), None
+        for tokens, firsts, sets, lists in self.orders:
+            own = tokens[firsts[k] : firsts[k + 1]]
+            n = np.bincount(sets[common.ranges(lists[own], lists[own + 1] - lists[own])], minlength=len(out))
+            out += n
+            all_orders = n > 0 if all_orders is None else all_orders & (n > 0)
+        return np.where(all_orders, out, 0)
+
+
+def verified(own: list[np.ndarray], percent: int, labels: np.ndarray | None = None, guest: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """True links that join all sets that links join, given sorted token arrays.
+
+    Sets with equal ``labels`` are joined already.  With guests among them
+    only pairs of a guest and another set count.
+    """
+    sizes = np.array([len(x) for x in own], np.int64)
+    group = np.arange(len(own)) if labels is None else np.unique(labels, return_inverse=True)[1]
+    mixed = guest is not None and guest.any()
+    found: list[tuple[int, int]] = []
+    if len(own) < 2:
+        return found
+    pairs = Candidates(own, percent)
+    place = np.empty(len(own), np.int64)
+    order = np.lexsort((np.arange(len(own)), sizes))
+    place[order] = np.arange(len(own))
+    for k in order[1:].tolist():
+        shared = pairs.shared(k)
+        open_ = (shared > 0) & (place < place[k]) & (100 * sizes >= percent * sizes[k])
+        if mixed:
+            open_ &= guest != guest[k]
+        tried = np.flatnonzero(open_)
+        tried = tried[np.argsort(-shared[tried], kind="stable")]
+        for j in tried.tolist():  # the likeliest first: a link closes its whole class
+            if group[j] == group[k]:
+                continue
+            n = len(np.intersect1d(own[k], own[j], assume_unique=True))
+            if 100 * n >= percent * (sizes[k] + sizes[j] - n):
+                group[group == group[j]] = group[k]
+                found.append((k, j))
+    return found
 
 
 def _verify(width: int, percent: int):
     def run(t: pa.Table) -> pa.Table:
-        tokens, rows, base = [], [], 0
-        wanted = t.column("set_id").to_numpy()
-        texts = t.column("text").combine_chunks()
-        for first, n, tok, row in _sets(texts, width):
-            _, ids = _set_ids(tok, row, n)
-            right = ids == wanted[first : first + n]  # a repeated id may bring another text
-            tokens.append(tok[right[row]])
-            rows.append(row[right[row]] + first)
-        tokens, rows = np.concatenate(tokens), np.concatenate(rows)
-        _, one = np.unique(wanted[np.unique(rows)], return_index=True)  # each set once
-        chosen = np.sort(np.unique(rows)[one])
-        renumber = np.full(len(wanted), -1)
-        renumber[chosen] = np.arange(len(chosen))
-        keep = renumber[rows] >= 0
-        tokens, rows = tokens[keep], renumber[rows[keep]]
-        a, b = _verified(tokens, rows, np.bincount(rows, minlength=len(chosen)), percent)
-        ids = wanted[chosen]
-        return pa.table({"src": ids[a], "dst": ids[b]})
+        wanted, label, guest = (t.column(c).to_numpy() for c in ("set_id", "label", "guest"))
+        sets: list[np.ndarray | None] = [None] * t.num_rows
+        for first, n, tokens, rows in shingle_sets(t.column("text"), width):
+            _, ids = _set_ids(tokens, rows, n)
+            bounds = np.searchsorted(rows, np.arange(n + 1))
+            for i in np.flatnonzero(ids == wanted[first : first + n]):  # else another text of equal hash
+                sets[first + i] = tokens[bounds[i] : bounds[i + 1]].copy()
+        root, block = t.column("root").to_numpy(), t.column("block").to_numpy()
+        rows = np.array([i for i, s in enumerate(sets) if s is not None], np.int64)
+        rows = rows[np.lexsort((guest[rows], wanted[rows], block[rows], root[rows]))]
+        key = np.stack([root[rows], block[rows], wanted[rows], guest[rows].astype(np.int64)])
+        rows = rows[np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0)))] if len(rows) else rows
+        edges = np.flatnonzero((root[rows][1:] != root[rows][:-1]) | (block[rows][1:] != block[rows][:-1])) + 1
+        a, b = [], []
+        for own in np.split(rows, edges):
+            for i, j in verified([sets[x] for x in own], percent, label[own], guest[own]):
+                a.append(wanted[own[i]])
+                b.append(wanted[own[j]])
+        a, b = common.forest(np.array(a, np.int64), np.array(b, np.int64))
+        return pa.table({"src": a, "dst": b})
 
     return common.tidy(run)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id) of every row; see the module's head."""
+def _row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, h, n_shingles, set_id) of every row, and (node, root) of the sets that links join."""
     if not 0 < percent <= 100 or width < 1:
         raise ValueError("percent must be in 1..100 and width at least 1")
     spark = docs.sparkSession
     common.lean(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sizes = common.cut(base.mapInArrow(_scan(width), "id long, n_shingles long, set_id long"))
-    shingles = sizes.agg(F.sum("n_shingles")).first()[0] or 0
+    base = docs.select(F.col(id_col).cast("long").alias("id"), _row_key(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
+    sizes = common.cut(base.mapInArrow(_scan(width), "id long, h long, n_shingles long, set_id long"))
+    rows, shingles = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     parts = common.parts_for(shingles * min(1.0, (100 - percent) / 50) * 16, spark)
+    frequent = spark.sparkContext.broadcast(_common_tokens(base, rows, width, percent))
 
-    dealt = base.select("text").mapInArrow(_postings(width, percent, parts), "part int, tokens binary, fresh binary, sets binary, sizes binary")
-    counted = dealt.groupBy("part").applyInArrow(_count(percent, parts), "block int, tokens binary, sets binary, sizes binary, counts binary")
-    rare = counted.groupBy("block").applyInArrow(_rarest(percent, parts), "part int, keys binary, sets binary, src binary, dst binary")
+    dealt = base.select("text").mapInArrow(_postings(width, percent, parts, frequent), "part int, kind int, tokens binary, fresh binary, sets binary, sizes binary")
+    counted = dealt.groupBy("part").applyInArrow(_count(parts), "block int, tokens binary, sets binary, sizes binary, counts binary")
+    rare = counted.groupBy("block").applyInArrow(_rarest(percent, parts), "part int, tokens binary, kinds binary, sets binary, src binary, dst binary")
     classes = common.components(rare.groupBy("part").applyInArrow(_prefix_links, "src long, dst long"))
     classes = classes.unionByName(classes.select(F.col("root").alias("node"), "root").distinct())
 
-    sets = sizes.where("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"))
+    sets = sizes.where("n_shingles > 0").groupBy("set_id").agg(F.min("h").alias("h"), F.first("n_shingles").alias("n"))
     members = sets.join(classes.withColumnRenamed("node", "set_id"), "set_id")
-    blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).alias("blocks"))
-    members = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks"))
-    # a set takes part in each pair of blocks that holds its own: in one task where there is one block
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    members = members.select("root", "id", "set_id", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    texts = base.where("id is not null").join(members, "id").select("root", "low", "high", "set_id", "text")
-    links = texts.groupBy("root", "low", "high").applyInArrow(_verify(width, percent), "src long, dst long")
-    found = common.components(links)
+    blocks = F.ceil(F.greatest(F.sum("n") / F.lit(BLOCK_SHINGLES), F.count(F.lit(1)) / F.lit(BLOCK_SETS)))
+    large = common.cut(members.groupBy("root").agg(blocks.alias("blocks"), F.sum("n").alias("weight")).where("blocks > 1"))
+    members = common.cut(members.join(large.drop("weight"), "root", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("set_id"), "blocks"), F.lit(0)).cast("int")))
+    weight = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = common.parts_for(8 * weight, spark)  # a shingle for a word of some eight bytes
+
+    # one row of each text that is wanted, found before texts are dealt
+    texts = base.groupBy("h").agg(F.first("text").alias("text")).join(members, "h").select("root", "block", "blocks", "set_id", "text")
+    several = large.count()
+    if several:
+        texts = common.stored(texts, "near-copies")
+
+    def links(rows: DataFrame, label: Column, guest: Column) -> DataFrame:
+        dealt = rows.select(F.pmod(F.xxhash64("root", "block"), F.lit(tasks)).alias("part"), "root", "block", "set_id", label.alias("label"), guest.alias("guest"), "text")
+        return dealt.groupBy("part").applyInArrow(_verify(width, percent), "src long, dst long")
+
+    found = common.cut(links(texts, F.col("set_id"), F.lit(False)))
+    if several:
+        whole = texts.where("blocks is not null")
+        # a set of each class that a block found; classes with more of these than a block takes go on to the last step as they are
+        leads = whole.join(found.select(F.col("src").alias("set_id")).distinct(), "set_id", "left_anti")
+        few = leads.groupBy("root").agg(F.count(F.lit(1)).alias("leads")).where(F.col("leads") <= BLOCK_SETS)
+        found = common.cut(found.unionByName(links(leads.join(few, "root", "left_semi").withColumn("block", F.lit(-1)), F.col("set_id"), F.lit(False))))
+        joined = common.components(found)
+        told = whole.select("root", "set_id").join(joined, whole.set_id == joined.node, "left").select(whole.root.alias("of"), "set_id", F.coalesce(joined.root, "set_id").alias("label"))
+        told = common.cut(told)
+        most = told.groupBy("of", "label").count().groupBy("of").agg(F.max_by("label", F.struct("count", "label")).alias("label"))
+        rest = common.cut(told.join(most, ["of", "label"], "left_anti"))
+        if rest.limit(1).count():
+            # classes with sets outside their largest part: these meet every block
+            native = whole.join(rest.select(F.col("of").alias("root")).distinct(), "root", "left_semi").join(told.select("set_id", "label"), "set_id").withColumn("guest", F.lit(False))
+            guests = whole.join(rest.select("set_id", "label"), "set_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))).withColumn("guest", F.lit(True))
+            found = found.unionByName(links(native.unionByName(guests), F.col("label"), F.col("guest")))
+    # rows that share an id are one node
+    twice = sizes.where("id is not null and n_shingles > 0").groupBy("id").agg(F.min("set_id").alias("dst"), F.max("set_id").alias("other")).where("dst <> other")
+    same = sizes.where("n_shingles > 0").join(twice.select("id", "dst"), "id").select(F.col("set_id").alias("src"), "dst")
+    return sizes, common.components(found.unionByName(same))
 
-    labelled = sizes.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "set_id")))
-    least = labelled.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    out = labelled.join(least, "root", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id"))
-    return out.withColumnRenamed("id", id_col)
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """(id, n_shingles, component_id) of every row; see the module's head."""
+    sizes, found = _classes(docs, id_col, text_col, width, percent)
+    sets = sizes.where("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    sets = sets.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    roots = sets.groupBy("root").agg(F.min("least").alias("component"), F.sum("rows").alias("all")).where(F.col("all") > 1)
+    named = sets.join(roots, "root").select("set_id", "component")
+    out = sizes.join(named, "set_id", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")))
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without all but one document, that of the smallest id, of each class."""
-    gone = jaccard_components(docs, id_col, text_col, width, percent).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone.distinct(), F.col(id_col) == F.col("__gone"), "left_anti")
+    """``docs`` without all but one row of each class: that of the smallest id, null last, then of the smallest hash.
+
+    Rows without shingles all stay.  Of rows equal in id and text the one
+    with the smallest other columns stays.
+    """
+    sizes, found = _classes(docs, id_col, text_col, width, percent)
+    sets = sizes.where("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("least"), F.count(F.lit(1)).alias("rows"))
+    sets = sets.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    roots = sets.groupBy("root").agg(F.min("least").alias("first"), F.sum("rows").alias("all")).where(F.col("all") > 1)
+    named = sets.join(roots, "root").select("set_id", F.col("first.h").alias("stays"))
+    judged = common.cut(sizes.where("n_shingles > 0").join(named, "set_id").select("h", (F.col("h") == F.col("stays")).alias("stays")).groupBy("h", "stays").agg(F.count(F.lit(1)).alias("rows")))
+    key = common.free(docs.columns, "__h")
+    keyed = docs.withColumn(key, _row_key(id_col, text_col))
+    gone, twice = judged.where("not stays").select(F.col("h").alias(key)), judged.where("stays and rows > 1").select(F.col("h").alias(key))
+    kept = keyed.join(gone, key, "left_anti")
+    if not twice.limit(1).count():
+        return kept.select(docs.columns)
+    one = kept.join(twice, key, "left_semi").groupBy(key).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.join(twice, key, "left_anti").select(docs.columns).unionByName(one)
 
 
 def op9_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 A document is its token ids and one separator id.  Only documents longer
 than a sequence are cut: full pieces from the end, so that the first piece
-may be shorter.  Full pieces are sequences by themselves; the others are
-packed by best fit, longest first, and then by local search among underfull
-bins: a document moves, changes place with one document or with two, where
-that raises the sum of squared fills, until bins fall empty.
+may be shorter.  Full pieces are sequences by themselves.  The others are
+dealt one after the other into bins, and local search alone makes that plain
+deal good: documents of one of the emptiest bins move to the fullest bin that
+has room, or one or two of them change place with a shorter one, so that the
+sum of squared fills rises with every step, until bins are empty and no step
+is left, or the room of all bins is less than one more bin would give.
 
 Pieces are dealt by hash to groups of some thousands, which pack on their
 own; what is left in badly filled bins of all groups is packed again.
@@ -13,11 +15,11 @@ own; what is left in badly filled bins of all groups is packed again.
 Ids come from the byte-level BPE file given.  A text is cut before each
 white space that follows a character that is surely none, where no token
 can reach across; each distinct cut string is encoded once and remembered
-in a bounded cache.
+in a bounded cache.  A long text is encoded in runs between such places.
 
 Defined cases: null text is empty, and an empty document is its separator
 alone; null and repeated ids are packed like any other row; extra columns
-are ignored, whatever their names.
+are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,16 +38,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from formspark.llm import common
-from formspark.llm.textscan import hashes_of, mix64, running_sums, slices
+from formspark.llm.textscan import hashes_of, mix64, pieces, running_sums
 
 #: Distinct strings that a worker remembers before it starts afresh.
 REMEMBERED = 200_000
 #: Pieces of a group that is packed in one task.
-GROUP = 20_000
+GROUP = 8192
 #: A bin filled less is emptied and packed again with those of other groups.
 WELL_FILLED = 0.97
-#: Steps of a group's search, bins that are tried as givers, and pairs of a giver's documents.
-STEPS, GIVERS, PAIRS = 2000, 8, 2000
 
 
 class Encoder:
@@ -86,17 +86,14 @@ class Encoder:
         self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, count])
         self.pool = np.concatenate([self.pool, np.fromiter((i for ids in new for i in ids), np.uint32, int(count.sum()))])
 
-    def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first row, ids, bounds of each row's ids) by slices."""
-        for row, data, offsets in slices(column):
+    def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, ids, bounds of each row's ids) by runs; a long text is several runs of one row."""
+        for rows, data, offsets in pieces(column, may_cut=_may_cut):
             if not len(data):
-                yield row, np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+                yield rows, np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
                 continue
-            space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
-            sure = (data > 0x20) & (data < 0x7F)
-            sure[1:] |= (data[1:] >= 0x80) & (data[:-1] >= 0xC3) & (data[:-1] <= 0xDF)  # two-byte letters from U+00C0
             cut = np.zeros(len(data) + 1, bool)
-            cut[1:-1] = space[1:] & sure[:-1]
+            cut[1:-1] = _may_cut(data, 1, len(data))
             cut[offsets] = True
             bounds = np.flatnonzero(cut)
             starts, ends = bounds[:-1], bounds[1:]
@@ -112,7 +109,17 @@ class Encoder:
             entry = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))[back]
             ids = self.pool[common.ranges(self.first[entry], self.count[entry])]
             total = np.concatenate(([0], np.cumsum(self.count[entry])))
-            yield row, ids, total[np.searchsorted(starts, offsets)]
+            yield rows, ids, total[np.searchsorted(starts, offsets)]
+
+
+def _may_cut(data: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Places from ``first`` to before ``last`` that no token reaches across: a white space after a sure character."""
+    here, before = data[first:last], data[first - 1 : last - 1]
+    space = (here == 0x20) | ((here >= 0x09) & (here <= 0x0D))
+    sure = (before > 0x20) & (before < 0x7F)
+    lead = data[max(first - 2, 0) : last - 2] if last > 1 else data[:0]
+    lead = np.concatenate([np.zeros(len(before) - len(lead), np.uint8), lead])
+    return space & (sure | ((before >= 0x80) & (lead >= 0xC3) & (lead <= 0xDF)))  # or two-byte letters from U+00C0
 
 
 def _pieces(tokenizer: str, size: int, separator: int, groups: int, with_ids: bool):
@@ -120,15 +127,27 @@ def _pieces(tokenizer: str, size: int, separator: int, groups: int, with_ids: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
+        end = np.array([separator], np.uint32)
         for batch in batches:
-            out = []
-            for row, ids, bounds in encoder.encode(batch.column(1)):
-                for i in range(len(bounds) - 1):
-                    own = np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(separator)).astype("<u4")
-                    edges = [0, *range(len(own) % size or size, len(own) + 1, size)] if len(own) > size else [0, len(own)]
-                    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                        raw = own[a:b].tobytes()
-                        out.append((row + i, k, a, b - a, zlib.crc32(raw), raw if with_ids else None))
+            out: list[tuple] = []
+
+            def add(row: int, parts: list[np.ndarray]) -> None:
+                own = np.concatenate([*parts, end]).astype("<u4")
+                edges = [0, *range(len(own) % size or size, len(own) + 1, size)] if len(own) > size else [0, len(own)]
+                for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                    raw = own[a:b].tobytes()
+                    out.append((row, k, a, b - a, zlib.crc32(raw), raw if with_ids else None))
+
+            held, of = [], 0  # ids of the row that the last run ended with
+            for rows, ids, bounds in encoder.encode(batch.column(1)):
+                for i, row in enumerate(rows.tolist()):
+                    if held and row != of:
+                        add(of, held)
+                        held = []
+                    held.append(ids[bounds[i] : bounds[i + 1]])
+                    of = row
+            if held:
+                add(of, held)
             if not out:
                 continue
             rows, piece, start, length, crc, raw = zip(*out, strict=True)
@@ -146,94 +165,149 @@ def _pieces(tokenizer: str, size: int, separator: int, groups: int, with_ids: bo
     return common.tidy(run), "id long, piece int, start long, length long, ids_crc32 long, pack_group long, ids binary"
 
 
-def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
-    """Bins of positions: each length, longest first, goes where it leaves least room."""
+def plain_deal(lengths: np.ndarray, size: int) -> list[list[int]]:
+    """Bins of positions, in the order given: a new bin where the next piece doesn't fit the last one."""
     bins: list[list[int]] = []
-    by_gap: list[list[int]] = [[] for _ in range(size + 1)]
-    gaps = 0  # bit g: some bin has a gap of g
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        n = int(lengths[i])
-        fitting = gaps >> n
-        if fitting:
-            gap = n + (fitting & -fitting).bit_length() - 1
-            b = by_gap[gap].pop()
-            if not by_gap[gap]:
-                gaps &= ~(1 << gap)
-            bins[b].append(i)
-        else:
-            b, gap = len(bins), size
-            bins.append([i])
-        if gap > n:
-            by_gap[gap - n].append(b)
-            gaps |= 1 << (gap - n)
+    room = 0
+    for i, n in enumerate(lengths.tolist()):
+        if n > room:
+            bins.append([])
+            room = size
+        bins[-1].append(i)
+        room -= n
     return bins
 
 
-def _step(bins: list[list[int]], lengths: np.ndarray, fill: list[int], size: int, giver: int, others: list[int]) -> tuple[list[int], list[int], int] | None:
-    """What the giver sends, what comes back and from which bin: the change that raises the sum of squared fills most."""
-    own = sorted(bins[giver], key=lambda i: (-lengths[i], i))
-    for i in own:  # a document moves to the fullest bin that has room
-        fits = [k for k in others if size - fill[k] >= lengths[i]]
-        if fits:
-            return [i], [], max(fits, key=lambda k: (fill[k], -k))
-    there = [(i, k) for k in others for i in bins[k]]
-    length = np.array([lengths[i] for i, _ in there])
-    room = np.array([size - fill[k] for _, k in there])
-    gives = [([i], int(lengths[i])) for i in own] + [([i, j], int(lengths[i] + lengths[j])) for x, i in enumerate(own) for j in own[x + 1 :]][:PAIRS]
-    best, step = 0, None
-    for chosen, n in gives:
-        gain = n - length
-        gain = np.where((gain > 0) & (gain <= room), gain, 0)
-        at = int(np.argmax(gain))
-        if gain[at] > best:
-            best, step = int(gain[at]), (chosen, [there[at][0]], there[at][1])
-    return step
+class _Search:
+    """Bins under local search, with what a step has to find fast.
+
+    ``room`` has each piece's bin's gap, so the best exchange for a piece or
+    two is one look over arrays; bins by gap, as bits of one number, give the
+    fullest bin that a piece fits.
+    """
+
+    def __init__(self, bins: list[list[int]], lengths: np.ndarray, size: int) -> None:
+        self.size, self.lengths, self.length = size, lengths.astype(np.int64), lengths.tolist()
+        self.bins = [list(b) for b in bins if b]
+        self.home, self.room = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        self.gap = [0] * len(self.bins)
+        self.by_gap: list[set[int]] = [set() for _ in range(size + 1)]
+        self.gaps = 0  # bit g: some bin has a gap of g
+        for k, b in enumerate(self.bins):
+            self.home[b] = k
+            self._place(k)
+
+    def _place(self, k: int) -> None:
+        gap = self.size - sum(self.length[i] for i in self.bins[k])
+        self.gap[k] = gap
+        self.room[self.bins[k]] = gap
+        if self.bins[k]:
+            self.by_gap[gap].add(k)
+            self.gaps |= 1 << gap
+
+    def _lift(self, k: int) -> None:
+        gap = self.gap[k]
+        self.by_gap[gap].discard(k)
+        if not self.by_gap[gap]:
+            self.gaps &= ~(1 << gap)
+
+    def free(self) -> int:
+        """Room of all bins."""
+        return sum(gap * len(own) for gap, own in enumerate(self.by_gap) if own)
+
+    def step(self, giver: int) -> bool:
+        """The giver's best step, if it has one; the giver is lifted out meanwhile."""
+        self._lift(giver)
+        found = self._move(giver) or self._exchange(giver)
+        if found:
+            out, back, k = found
+            self._lift(k)
+            self.bins[giver] = [i for i in self.bins[giver] if i not in out] + back
+            self.bins[k] = [i for i in self.bins[k] if i not in back] + out
+            self.home[out], self.home[back] = k, giver
+            self._place(k)
+        self._place(giver)
+        return bool(found)
+
+    def _move(self, giver: int) -> tuple[list[int], list[int], int] | None:
+        """Its longest piece that fits a bin as full as itself or fuller, to the fullest such."""
+        for i in sorted(self.bins[giver], key=lambda i: (-self.length[i], i)):
+            n = self.length[i]
+            fitting = self.gaps >> n
+            if fitting:
+                gap = n + (fitting & -fitting).bit_length() - 1
+                if gap - n < self.gap[giver]:  # else the squares don't rise
+                    return [i], [], min(self.by_gap[gap])
+        return None
+
+    def _exchange(self, giver: int) -> tuple[list[int], list[int], int] | None:
+        """One or two of its pieces for a shorter one: what raises the other bin most, and the squares."""
+        by_length: dict[int, list[int]] = {}
+        for i in sorted(self.bins[giver]):
+            by_length.setdefault(self.length[i], []).append(i)
+        some = sorted(by_length, reverse=True)
+        gives = [(n, [by_length[n][0]]) for n in some]
+        gives += [(n + m, [by_length[n][0], by_length[m][0] if m != n else by_length[n][1]]) for x, n in enumerate(some) for m in some[x:] if m != n or len(by_length[n]) > 1]
+        room, best, step = self.room.copy(), 0, None
+        room[self.bins[giver]] = -1
+        there = np.flatnonzero(room > 0)
+        lengths, room = self.lengths[there], room[there]
+        rises = np.maximum(room - self.gap[giver], 0)  # by more than this, or the squares don't rise
+        for n, chosen in gives:
+            gain = n - lengths
+            gain[(gain > room) | (gain <= rises)] = 0
+            at = int(np.argmax(gain)) if len(gain) else 0
+            if len(gain) and gain[at] > best:
+                best, step = int(gain[at]), (chosen, [int(there[at])], int(self.home[there[at]]))
+        return step
 
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
-    """Bins after moves that raise the sum of squared fills; never more of them.
+    """Bins after steps that raise the sum of squared fills, until none is left; never more of them.
 
-    Of the underfull bins one of the emptiest gives to a fuller one: a
-    document moves there, or one or two change place with a shorter one.  It
-    ends when no such step is left, when the room of all others is less than
-    the emptiest bin holds, or after STEPS steps.
+    The emptiest bin gives as long as it can, then the next emptiest, and so
+    on, and again while anything changed.  It may end sooner only where no
+    bin can be saved: the room of all but the emptiest is less than that holds.
     """
-    bins = [list(b) for b in bins]
-    fill = [int(sum(lengths[i] for i in b)) for b in bins]
-    for _ in range(STEPS):
-        under = sorted((k for k in range(len(bins)) if 0 < fill[k] < size), key=lambda k: (fill[k], k))
-        if len(under) < 2 or sum(size - fill[k] for k in under[1:]) < fill[under[0]]:
-            break
-        for g, giver in enumerate(under[: min(GIVERS, len(under) - 1)]):
-            step = _step(bins, lengths, fill, size, giver, under[g + 1 :])
-            if step is not None:
-                break
-        else:
+    search = _Search(bins, lengths, size)
+
+    def done(k: int) -> bool:
+        return search.free() - search.gap[k] < size - search.gap[k]
+
+    changed = True
+    while changed:
+        changed = False
+        order = sorted((k for k, b in enumerate(search.bins) if b and search.gap[k]), key=lambda k: (-search.gap[k], k))
+        if len(order) < 2 or done(order[0]):
             break
-        out, back, k = step
-        moved = int(sum(lengths[i] for i in out) - sum(lengths[i] for i in back))
-        bins[giver] = [i for i in bins[giver] if i not in out] + back
-        bins[k] = [i for i in bins[k] if i not in back] + out
-        fill[giver] -= moved
-        fill[k] += moved
-    return [b for b in bins if b]
+        for giver in order:
+            while search.bins[giver] and search.gap[giver] and search.step(giver):
+                changed = True
+            if not search.bins[giver]:
+                emptiest = max((g for g in range(size, 0, -1) if search.by_gap[g]), default=0)
+                if not emptiest or done(min(search.by_gap[emptiest])):
+                    return [b for b in search.bins if b]
+    return [b for b in search.bins if b]
 
 
 def pack_lengths(lengths: np.ndarray, size: int) -> list[list[int]]:
-    return local_search(best_fit(lengths, size), lengths, size)
+    return local_search(plain_deal(lengths, size), lengths, size)
 
 
 def _pack(size: int, last: bool, first_group: int):
     """Sequence and offset of the pieces of a group; unless ``last``, none for those of badly filled bins."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([(c, "ascending") for c in ("length", "id", "piece", "ids_crc32", "start")])
+        t = t.sort_by([(c, "ascending") for c in ("ids_crc32", "id", "piece", "start", "length")])
         lengths = t.column("length").to_numpy()
         group = t.column("pack_group")[0].as_py() + first_group
         sequence, offset = np.full(len(lengths), -1), np.zeros(len(lengths), np.int64)
-        for k, own in enumerate(pack_lengths(lengths, size)):
+        full, rest = np.flatnonzero(lengths >= size), np.flatnonzero(lengths < size)
+        sequence[full] = (group << 32) + np.arange(len(full))
+        for k, own in enumerate(pack_lengths(lengths[rest], size)):
+            own = rest[own]
             if last or lengths[own].sum() >= WELL_FILLED * size:
-                sequence[own] = (group << 32) + k
+                sequence[own] = (group << 32) + len(full) + k
                 offset[own] = np.concatenate(([0], np.cumsum(lengths[own])[:-1]))
         t = t.drop_columns(["pack_group"])
         return t.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))

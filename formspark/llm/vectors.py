@@ -1,10 +1,12 @@
 """Embedding near-duplicates (operator 2) and approximate nearest neighbours (operator 3).
 
-Vectors that are null, zero, of another length than most, or hold null or
-non-finite components link with nothing and take no part in a search.  Equal
-vectors link like any others.  Null ids are left out of searches; as rows of
-``near_duplicates`` they have no links and a null component.  Rows that share
-an id are one node.  Empty tables give no rows.  Extra columns are ignored.
+Vectors that are null, zero, or hold null or non-finite components link with
+nothing and take no part in a search.  Vectors of several lengths are joined
+and searched length by length: only those of one length have a cosine or an
+inner product.  Equal vectors link like any others.  Null ids are left out of
+searches; as rows of ``near_duplicates`` they have no links and a null
+component.  Rows that share an id are one node.  Empty tables give no rows.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +24,11 @@ from formspark.llm.textscan import mix64
 
 #: Vectors that a cell has on average, and those of a block of a large cell.
 CELL, BLOCK = 4096, 8192
-#: Most pivots: they, and so many distances for a vector, go to every task.
-MOST_PIVOTS = 2048
+#: Most pivots: they, and so many distances for a vector, go to every task.  Cells of more than BLOCK
+#: vectors, which come of more rows than these can part, are joined block by block, so the result is the same.
+MOST_PIVOTS = 8192
+#: Bytes of what a task gives on at a time, copies of vectors included.
+CHUNK_BYTES = 4 << 20
 #: Rows compared at a time.
 STRIP = 1024
 
@@ -33,27 +38,41 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(-1, width) if len(column) else np.zeros((0, width))
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """(id, vector) of the vectors that count, as arrays of doubles, and their length."""
+def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, list[int]]:
+    """(id, vector) of the vectors that count, as arrays of doubles, and the lengths that they have."""
     v = F.col(vector_col).cast("array<double>")
     sound = F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)) & F.exists(v, lambda x: x != 0)
     good = vectors.where(sound).select(F.col(id_col).cast("long").alias("id"), v.alias("vector"))
-    width = good.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return (good.where(F.size("vector") == width["n"]), width["n"]) if width else (good, 0)
+    return good, sorted(r[0] for r in good.select(F.size("vector")).distinct().collect())
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _batches(width: int, work, names: list[str]):
-    """mapInArrow of ``work`` over (ids, unit or plain rows)."""
+    """mapInArrow of ``work``, which gives one or more lists of columns, over (ids, rows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(work(batch.column(0).to_numpy(), flat.reshape(-1, width)), names)
+                for columns in work(batch.column(0).to_numpy(), flat.reshape(-1, width)):
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
     return common.tidy(run)
 
 
+def _blobs(x: np.ndarray) -> pa.Array:
+    """Rows of doubles as binary values."""
+    x = np.ascontiguousarray(x, np.float64)
+    offsets = np.arange(0, x.size * 8 + 1, 8 * x.shape[1], dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(x)])
+
+
 # ---- near-duplicates: exact metric range join
 
 
@@ -71,13 +90,16 @@ def _units(x: np.ndarray) -> np.ndarray:
 
 
 def _radii(pivots, width: int):
-    def work(ids: np.ndarray, x: np.ndarray) -> list:
+    def work(ids: np.ndarray, x: np.ndarray) -> Iterator[list]:
         p = pivots.value
         near = np.clip(_units(x) @ p.T, -1, 1)
         cell = near.argmax(axis=1)
         reach = np.arccos(near[np.arange(len(cell)), cell])
-        found = np.unique(cell)
-        return [pa.array(found), pa.array([reach[cell == c].max() for c in found]), pa.array(np.bincount(cell)[found])]
+        most = np.full(len(p), -1.0)
+        np.maximum.at(most, cell, reach)
+        n = np.bincount(cell, minlength=len(p))
+        found = np.flatnonzero(n)
+        yield [pa.array(found), pa.array(most[found]), pa.array(n[found])]
 
     return _batches(width, work, ["cell", "reach", "own"])
 
@@ -92,8 +114,13 @@ def _replicas(pivots, reach, blocks, width: int, angle: float):
     are enough: the pair meets where the smaller one's vector is at home.
     """
 
-    def work(ids: np.ndarray, x: np.ndarray) -> list:
-        u, p = _units(x), pivots.value
+    def work(ids: np.ndarray, x: np.ndarray) -> Iterator[list]:
+        p = pivots.value
+        few = max(1, CHUNK_BYTES // (8 * len(p)))  # distances to all pivots at a time
+        for a in range(0, len(ids), few):
+            yield from some(ids[a : a + few], _units(x[a : a + few]), p)
+
+    def some(ids: np.ndarray, u: np.ndarray, p: np.ndarray) -> Iterator[list]:
         far = np.arccos(np.clip(u @ p.T, -1, 1))
         home = far.argmin(axis=1)
         slack = 1e-9
@@ -107,12 +134,17 @@ def _replicas(pivots, reach, blocks, width: int, angle: float):
         # a native meets its block and the blocks after it, a guest all of the cell's blocks
         many = np.where(native, parts - own, parts)
         first = np.where(native, own, 0)
-        again = np.repeat(np.arange(len(row)), many)
-        block = common.ranges(first, many)
-        home_here = native[again] & (block == own[again])
-        data = u[row[again]].tobytes()
-        step = 8 * width
-        return [pa.array(ids[row[again]]), pa.array(cell[again].astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(home_here), pa.array([data[i : i + step] for i in range(0, len(data), step)], pa.binary())]
+        step = max(1, CHUNK_BYTES // (8 * width + 32))  # copies at a time
+        edges = np.searchsorted(np.cumsum(many), np.arange(step, int(many.sum()) + step, step))
+        begin = 0
+        for end in np.minimum(edges + 1, len(many)):
+            at = slice(begin, end)
+            begin = end
+            again = np.repeat(np.arange(at.start, at.stop), many[at])
+            block = common.ranges(first[at], many[at])
+            home_here = native[again] & (block == own[again])
+            if len(again):
+                yield [pa.array(ids[row[again]]), pa.array(cell[again].astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(home_here), _blobs(u[row[again]])]
 
     return _batches(width, work, ["id", "cell", "block", "home", "vector"])
 
@@ -155,26 +187,30 @@ def near_duplicates(vectors: DataFrame, id_col: str, vector_col: str, cosine: fl
     links of a spanning forest, so a family of k copies costs k rows, not
     its k * k pairs.
     """
-    spark = vectors.sparkSession
-    good, width = usable(vectors, id_col, vector_col)
-    rows = good.count()
+    common.lean(vectors.sparkSession)
+    good, widths = usable(vectors, id_col, vector_col)
     ids = vectors.select(F.col(id_col).cast("long").alias("id"))
-    if not rows:
+    if not widths:
         return ids.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    angle = math.acos(cosine)
-    pivots = spark.sparkContext.broadcast(_pivots(good, rows))
+    links = _united([_links(good.where(F.size("vector") == w), w, cosine) for w in widths])
+    roots = common.components(links.select(F.col("id").alias("src"), "dst"))
+    counts = links.groupBy("id").agg(F.sum("n").alias("n_links"))
+    out = ids.join(counts, "id", "left").join(roots, F.col("id") == F.col("node"), "left")
+    component = F.coalesce("root", "id")
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+def _links(good: DataFrame, width: int, cosine: float) -> DataFrame:
+    """(id, n, dst) of vectors of one length: how many links a block found for it, and one of a spanning forest."""
+    spark, angle = good.sparkSession, math.acos(cosine)
+    pivots = spark.sparkContext.broadcast(_pivots(good, good.count()))
     cells = good.mapInArrow(_radii(pivots, width), "cell long, reach double, own long").groupBy("cell").agg(F.max("reach"), F.sum("own")).collect()  # a row a pivot
     reach, blocks = np.full(len(pivots.value), -1.0), np.ones(len(pivots.value), np.int64)
     for c, r, n in cells:
         reach[c], blocks[c] = r, math.ceil(n / BLOCK)
     reach, blocks = spark.sparkContext.broadcast(reach), spark.sparkContext.broadcast(blocks)
     dealt = good.mapInArrow(_replicas(pivots, reach, blocks, width, angle), "id long, cell int, block int, home boolean, vector binary")
-    links = common.cut(dealt.groupBy("cell", "block").applyInArrow(_linked(width, cosine), "id long, n long, dst long"))
-    roots = common.components(links.select(F.col("id").alias("src"), "dst"))
-    counts = links.groupBy("id").agg(F.sum("n").alias("n_links"))
-    out = ids.join(counts, "id", "left").join(roots, F.col("id") == F.col("node"), "left")
-    component = F.coalesce("root", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    return common.cut(dealt.groupBy("cell", "block").applyInArrow(_linked(width, cosine), "id long, n long, dst long"))
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,12 +219,12 @@ def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- nearest neighbours: shifted space-filling curves
 
-#: Orderings, projected axes and bits of an axis.
+#: Most orderings, projected axes and bits of an axis.
 CURVES, AXES, BITS = 12, 4, 3
-#: Rows and queries of the bounded sample that the window is fitted on, and the recall asked for there.
-SAMPLE, SAMPLE_QUERIES, RECALL = 4096, 512, 0.93
-#: Slices of a curve: the unit in which windows are counted.
-SLICES = 64
+#: Rows of the bounded sample that scales come from, queries whose true neighbours tell the window, and the recall asked for on these.
+SAMPLE, SAMPLE_QUERIES, RECALL = 4096, 128, 0.93
+#: Rows of a sorted range, and rows of a block, the unit in which a window is dealt.
+RANGE_ROWS, LEAST_BLOCK, MOST_BLOCK = 1 << 20, 256, 8192
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -221,7 +257,7 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Curves:
-    """Seeded projections, shifts and key bounds of several curves, fitted on a sample."""
+    """Seeded projections and shifts of several curves; their scales are fitted on a sample."""
 
     def __init__(self, sample: np.ndarray, seed: int = 23) -> None:
         rng = np.random.default_rng(seed)
@@ -230,102 +266,196 @@ class Curves:
         self.center = sample.mean(axis=0)
         self.turn = [np.linalg.qr(rng.normal(size=(width, axes)))[0] for _ in range(CURVES)]
         self.shift = rng.random((CURVES, axes))
-        self.low, self.high, self.bounds = [], [], []
+        self.low, self.high = [], []
         for k in range(CURVES):
             y = (sample - self.center) @ self.turn[k]
             low, high = np.quantile(y, 0.002, axis=0), np.quantile(y, 0.998, axis=0)
             self.low.append(low)
             self.high.append(np.where(high > low, high, low + 1))
-        for k in range(CURVES):
-            keys = self.keys(sample, k)
-            self.bounds.append(np.quantile(keys, np.arange(1, SLICES) / SLICES, method="nearest"))
-        self.window = SLICES
 
     def keys(self, x: np.ndarray, k: int) -> np.ndarray:
         y = ((x - self.center) @ self.turn[k] - self.low[k]) / (self.high[k] - self.low[k])
         y = (np.clip(y, 0, 1) + self.shift[k]) / 2  # shifted inside a grid of twice the side
         return hilbert(np.minimum((y * (1 << BITS + 1)).astype(np.int64), (1 << BITS + 1) - 1), BITS + 1)
 
-    def slice_of(self, x: np.ndarray, k: int) -> np.ndarray:
-        return np.searchsorted(self.bounds[k], self.keys(x, k), side="right")
 
-    def fit(self, sample: np.ndarray, top: int) -> None:
-        """The least window, in slices to either side, that has the recall on the sample.
+def fitted_window(places: np.ndarray, queries: np.ndarray, rows: int, recall: float = RECALL) -> tuple[int, int, float]:
+    """(curves, window, recall): the least work that finds so many of some queries' true neighbours.
+
+    places (queries, neighbours, curves) and queries (queries, curves) are
+    places on the curves; the window counts rows to either side.  Work is
+    rows looked at, and two curves are used at least.
+    """
+    apart = np.abs(places - queries[:, None, :]).reshape(-1, places.shape[2])
+    best = (2, rows, 1.0)
+    for n in range(2, places.shape[2] + 1):
+        near = np.sort(apart[:, :n].min(axis=1))
+        if len(near):
+            window = int(near[min(len(near) - 1, math.ceil(recall * len(near)) - 1)])
+            found = float((near <= window).mean())
+            if n * min(2 * window + 1, rows) < best[0] * min(2 * best[1] + 1, rows):
+                best = (n, max(window, 1), found)
+    return best
+
+
+def _exact(queries, width: int, top: int):
+    """(q, id, score): the ``top`` rows of a partition for each of a few queries."""
 
-        A sample's neighbours are farther than all rows' and so harder to
-        find: the recall over all rows is higher.
-        """
-        queries = sample[:SAMPLE_QUERIES]
-        score = queries @ sample.T
-        score[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
-        near = np.argsort(-score, axis=1, kind="stable")[:, :top]
-        apart = np.full(near.shape, SLICES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = queries.value
+        kept = [(np.zeros(0, np.int64), np.zeros(0))] * len(own)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, x = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            score = q @ x.T
+            for j in range(len(own)):
+                mine = np.where(ids == own[j], -np.inf, score[j])
+                if len(ids) > top:
+                    near = np.flatnonzero((mine >= np.partition(mine, len(mine) - top)[len(mine) - top]) & (mine > -np.inf))
+                else:
+                    near = np.flatnonzero(mine > -np.inf)
+                both, at = np.concatenate([kept[j][0], ids[near]]), np.concatenate([kept[j][1], mine[near]])
+                best = np.lexsort((both, -at))[:top]
+                kept[j] = both[best], at[best]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(i), j) for j, (i, _) in enumerate(kept)] or [np.zeros(0, np.int64)])), pa.array(np.concatenate([i for i, _ in kept] or [np.zeros(0, np.int64)])), pa.array(np.concatenate([s for _, s in kept] or [np.zeros(0)]))], ["q", "id", "score"])
+
+    return common.tidy(run)
+
+
+def _keyed(curves, width: int):
+    """(curve, key, id, h) of each row on each curve."""
+
+    def work(ids: np.ndarray, x: np.ndarray) -> Iterator[list]:
+        h = _row_hash(x)
         for k in range(CURVES):
-            s = self.slice_of(sample, k)
-            apart = np.minimum(apart, np.abs(s[near] - s[: len(queries), None]))
-        self.window = next((w for w in range(SLICES) if (apart <= w).mean() >= RECALL), SLICES)
+            yield [pa.array(np.full(len(ids), k, np.int32)), pa.array(curves.value.keys(x, k)), pa.array(ids), pa.array(h)]
 
+    return _batches(width, work, ["curve", "key", "id", "h"])
 
-def _slice_counts(curves, width: int):
-    def work(ids: np.ndarray, x: np.ndarray) -> list:
-        at = np.concatenate([curves.value.slice_of(x, k) + k * SLICES for k in range(CURVES)])
-        found, n = np.unique(at, return_counts=True)
-        return [pa.array(found), pa.array(n)]
 
-    return _batches(width, work, ["slice", "n"])
+def _row_hash(x: np.ndarray) -> np.ndarray:
+    bits = np.ascontiguousarray(x, np.float64).view(np.uint64)
+    out = np.zeros(len(x), np.uint64)
+    for k in range(bits.shape[1]):
+        out = mix64(out + bits[:, k] + np.uint64(k))
+    return out.view(np.int64)
 
 
-def _dealt_slices(curves, blocks, width: int, every: int):
-    """Rows by slice of each curve; queries also go to the slices around their own.
+def _dealt_blocks(width: int, every: int, curves: int, window: int, block: int, rows: int):
+    """Rows to their block of each curve; queries also to the blocks that their window reaches.
 
-    A slice with many rows is several blocks, each of which gets the queries.
+    A block's queries come in chunks of about four blocks' size, each with a
+    copy of the block's rows, however wide the window is.
     """
+    chunk, last = 4 * block * every, rows - 1
 
-    def work(ids: np.ndarray, x: np.ndarray) -> list:
-        c, asks, columns = curves.value, np.flatnonzero(ids % every == 0), []
-        for k in range(CURVES):
-            own = c.slice_of(x, k) + k * SLICES
-            block = (mix64(ids.view(np.uint64)) % blocks.value[own].astype(np.uint64)).astype(np.int64)
-            columns.append((np.arange(len(ids)), own, block, np.zeros(len(ids), bool)))
-            at = own[asks] - k * SLICES
-            low, high = np.maximum(at - c.window, 0), np.minimum(at + c.window, SLICES - 1)
-            row = np.repeat(asks, high - low + 1)
-            there = common.ranges(low, high - low + 1) + k * SLICES
-            many = blocks.value[there]
-            columns.append((np.repeat(row, many), np.repeat(there, many), common.ranges(np.zeros(len(there), np.int64), many), np.ones(int(many.sum()), bool)))
-        row, at, block, ask = map(np.concatenate, zip(*columns, strict=True))
-        data = x.astype(np.float64).tobytes()
-        step = 8 * width
-        packed = pa.array([data[i : i + step] for i in range(0, len(data), step)], pa.binary())
-        return [pa.array(ids[row]), pa.array(at.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(ask), packed.take(pa.array(row))]
-
-    return _batches(width, work, ["id", "slice", "block", "ask", "vector"])
-
-
-def _nearest(width: int, top: int):
-    """The ``top`` rows of a block for each query that came to it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, CHUNK_BYTES // (8 * width + 40))
+        for whole in batches:
+            for a in range(0, whole.num_rows, step):
+                batch = whole.slice(a, step)
+                ids = batch.column(0).to_numpy()
+                data = _blobs(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
+                places = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, CURVES)
+                asks = np.flatnonzero(ids % every == 0)
+                for k in range(curves):
+                    own = places[:, k] // block
+                    low, high = np.maximum(own * block - window, 0) // chunk, np.minimum((own + 1) * block - 1 + window, last) // chunk
+                    row = np.repeat(np.arange(len(ids)), high - low + 1)
+                    yield from dealt(k, ids, data, places, row, own[row], common.ranges(low, high - low + 1), False, step)
+                    at = places[asks, k]
+                    low, high = np.maximum(at - window, 0) // block, np.minimum(at + window, last) // block
+                    row = np.repeat(asks, high - low + 1)
+                    yield from dealt(k, ids, data, places, row, common.ranges(low, high - low + 1), places[row, k] // chunk, True, step)
+
+    def dealt(k: int, ids: np.ndarray, data: pa.Array, places: np.ndarray, row: np.ndarray, block: np.ndarray, chunk: np.ndarray, ask: bool, step: int) -> Iterator[pa.RecordBatch]:
+        for b in range(0, len(row), step):
+            r = row[b : b + step]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(np.full(len(r), k, np.int32)), pa.array(block[b : b + step]), pa.array(chunk[b : b + step]), pa.array(np.full(len(r), ask)), pa.array(places[r, k]), data.take(pa.array(r))], names)
+
+    names = ["id", "curve", "block", "chunk", "ask", "place", "vector"]
+    return common.tidy(run)
+
+
+def _nearest(width: int, top: int, window: int):
+    """The ``top`` rows of a block's windows for each query that came to it, and how many rows were looked at."""
 
     def run(t: pa.Table) -> pa.Table:
-        ids, ask = t.column("id").to_numpy(), t.column("ask").to_numpy()
+        t = t.sort_by([("place", "ascending"), ("id", "ascending")])
+        ids, ask, place = t.column("id").to_numpy(), t.column("ask").to_numpy(), t.column("place").to_numpy()
         x = _matrix(t.column("vector").combine_chunks(), width)
         queries, rows = np.flatnonzero(ask), np.flatnonzero(~ask)
-        rows = rows[np.argsort(ids[rows], kind="stable")]
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for a in range(0, len(queries) if len(rows) else 0, 512):
-            q = queries[a : a + 512]
-            score = x[q] @ x[rows].T
-            score[ids[q][:, None] == ids[rows][None, :]] = -np.inf
-            k = min(top, len(rows))
-            least = np.partition(score, len(rows) - k, axis=1)[:, len(rows) - k]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+        for a in range(0, len(queries) if len(rows) else 0, 256):
+            q = queries[a : a + 256]
+            # the queries follow each other on the curve, so their windows are one run of rows
+            low, high = np.searchsorted(place[rows], place[q[0]] - window), np.searchsorted(place[rows], place[q[-1]] + window, side="right")
+            near = rows[low:high]
+            if not len(near):
+                continue
+            score = x[q] @ x[near].T
+            score[(ids[q][:, None] == ids[near][None, :]) | (np.abs(place[q][:, None] - place[near][None, :]) > window)] = -np.inf
+            k = min(top, len(near))
+            least = np.partition(score, len(near) - k, axis=1)[:, len(near) - k]
             i, j = np.nonzero((score >= least[:, None] - 1e-9 * (1 + np.abs(least[:, None]))) & (score > -np.inf))
-            exact = (x[q[i]] * x[rows[j]]).sum(axis=1)  # sums in one order, so that equal vectors tie
-            order = np.lexsort((ids[rows[j]], -exact, i))
+            exact = (x[q[i]] * x[near[j]]).sum(axis=1)  # sums in one order, so that equal vectors tie
+            order = np.lexsort((ids[near[j]], -exact, i))
             i, j, exact = i[order], j[order], exact[order]
-            place = np.arange(len(i)) - np.searchsorted(i, i)
-            keep = place < top
-            out.append((ids[q[i[keep]]], ids[rows[j[keep]]], exact[keep]))
-        query, found, score = map(np.concatenate, zip(*out, strict=True))
-        return pa.table({"query_id": query, "vec_id": found, "score": score})
+            nth = np.arange(len(i)) - np.searchsorted(i, i)
+            keep = nth < top
+            seen = (score > -np.inf).sum(axis=1)
+            out.append((ids[q[i[keep]]], ids[near[j[keep]]], exact[keep], np.where(nth[keep] == 0, seen[i[keep]], 0)))
+        query, found, score, seen = map(np.concatenate, zip(*out, strict=True))
+        return pa.table({"query_id": query, "vec_id": found, "score": score, "seen": seen})
+
+    return common.tidy(run)
+
+
+def candidates(good: DataFrame, width: int, every: int, top: int) -> DataFrame:
+    """(query_id, vec_id, score, seen) that the curves' windows find among vectors of one length.
+
+    seen adds up to the rows that a query was compared with.
+    """
+    spark = good.sparkSession
+    rows = good.count()
+    sample = np.array([r["vector"] for r in common.sample(good, SAMPLE, ["id"], 3).collect()])
+    curves = spark.sparkContext.broadcast(Curves(sample))
+    keyed = good.mapInArrow(_keyed(curves, width), "curve int, key long, id long, h long")
+    ranges = max(2 * CURVES, math.ceil(rows * CURVES / RANGE_ROWS))
+    placed = common.numbered(keyed, ["curve", "key", "id", "h"], "place", ranges)
+    # all curves end to end: a curve's first place is its number times the rows
+    places = placed.withColumn("place", F.col("place") - F.col("curve") * F.lit(rows)).groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("curve", "place"))).alias("at"))
+    # rows equal in id and vector stand side by side: one place is enough
+    places = common.cut(places.select("id", "h", F.transform(F.sequence(F.lit(0), F.lit(CURVES - 1)), lambda k: F.array_min(F.transform(F.filter("at", lambda x: x["curve"] == k), lambda x: x["place"]))).alias("places")))
+
+    # true neighbours of a few queries, from one pass over all rows; where they stand tells the window
+    asked = common.sample(good.where(F.col("id") % every == 0), SAMPLE_QUERIES, ["id"], 7).dropDuplicates(["id"]).collect()
+    queries = spark.sparkContext.broadcast((np.array([r["id"] for r in asked], np.int64), np.array([r["vector"] for r in asked]).reshape(-1, width)))
+    first = good.mapInArrow(_exact(queries, width, top), "q long, id long, score double")
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    true = first.distinct().withColumn("n", nth).where(F.col("n") <= top).select("q", "id").collect() if asked else []
+    of = sorted({r["id"] for r in true} | {r["id"] for r in asked})
+    known = spark.createDataFrame([(i,) for i in of], "id long")  # SAMPLE_QUERIES times top + 1 ids at most
+    where = {r["id"]: r["places"] for r in places.join(F.broadcast(known), "id").groupBy("id").agg(F.min("places").alias("places")).collect()}
+    own = np.array([where[asked[r["q"]]["id"]] for r in true], np.int64).reshape(-1, CURVES)
+    there = np.array([where[r["id"]] for r in true], np.int64).reshape(-1, 1, CURVES)
+    many, window, _ = fitted_window(there, own, rows)
+    if rows <= top + 1:
+        window = rows
+    block = max(LEAST_BLOCK, min(MOST_BLOCK, window // 2))
+
+    joined = good.mapInArrow(_hashed(width), "id long, h long, vector array<double>").join(places, ["id", "h"]).select("id", "vector", "places")
+    dealt = joined.mapInArrow(_dealt_blocks(width, every, many, window, block, rows), "id long, curve int, block long, chunk long, ask boolean, place long, vector binary")
+    return dealt.groupBy("curve", "block", "chunk").applyInArrow(_nearest(width, top, window), "query_id long, vec_id long, score double, seen long")
+
+
+def _hashed(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_row_hash(x)), batch.column(1)], ["id", "h", "vector"])
 
     return common.tidy(run)
 
@@ -334,25 +464,19 @@ def nearest_neighbours(vectors: DataFrame, id_col: str, vector_col: str, every:
     """(query_id, rank, vec_id, score): the ``top`` rows of largest inner product found for each query.
 
     Queries are rows whose id ``every`` divides.  Several Hilbert curves, each
-    of a seeded projection and shift, order all rows; every curve is dealt in
-    slices by bounds of its keys.  A query looks into its own slice and those
-    around it on every curve, as many as a bounded sample asks for; what the
-    curves find is merged and ranked by the exact product.
+    of a seeded projection and shift, order all rows: Spark deals (curve, key)
+    to sorted ranges, whose counts give each row its place.  A query is
+    compared with the rows whose places are within a window of its own on
+    each curve; the window counts rows and crosses the ranges' borders.  How
+    many curves and how wide a window the data ask for is measured on the
+    true neighbours of a few queries.  What the curves find is merged and
+    ranked by the exact product.
     """
-    spark = vectors.sparkSession
-    good, width = usable(vectors, id_col, vector_col)
-    empty = "query_id long, rank int, vec_id long, score double"
-    if not width:
-        return spark.createDataFrame([], empty)
-    sample = np.array([r["vector"] for r in common.sample(good, SAMPLE, ["id"], 3).collect()])
-    fitted = Curves(sample)
-    fitted.fit(sample, top)
-    curves = spark.sparkContext.broadcast(fitted)
-    blocks = np.ones(CURVES * SLICES, np.int64)
-    for at, n in good.mapInArrow(_slice_counts(curves, width), "slice long, n long").groupBy("slice").agg(F.sum("n")).collect():  # a row a slice
-        blocks[at] = math.ceil(n / BLOCK)
-    dealt = good.mapInArrow(_dealt_slices(curves, spark.sparkContext.broadcast(blocks), width, every), "id long, slice int, block int, ask boolean, vector binary")
-    found = dealt.groupBy("slice", "block").applyInArrow(_nearest(width, top), "query_id long, vec_id long, score double")
+    common.lean(vectors.sparkSession)
+    good, widths = usable(vectors, id_col, vector_col)
+    if not widths:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = _united([candidates(good.where(F.size("vector") == w), w, every, top) for w in widths])
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -82,7 +82,55 @@ def test_local_search_never_loses(lengths):
     assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
     assert all(lengths[b].sum() <= 100 for b in bins)
     assert sum(lengths[b].sum() ** 2 for b in bins) >= sum(lengths[b].sum() ** 2 for b in first)
-    assert len(packing.pack_lengths(lengths, 100)) <= len(packing.best_fit(lengths, 100))
+
+
+def best_fit(lengths, size):
+    """A yardstick: longest first, each to the fullest bin that has room."""
+    bins = []
+    for n in sorted(lengths.tolist(), reverse=True):
+        fits = [k for k, f in enumerate(bins) if f + n <= size]
+        if fits:
+            bins[max(fits, key=bins.__getitem__)] += n
+        else:
+            bins.append(n)
+    return len(bins)
+
+
+def test_search_alone_makes_a_plain_deal_good():
+    rng = np.random.default_rng(0)
+    for lengths in (rng.integers(1, 900, 600), rng.integers(300, 1400, 500), rng.integers(1025, 1500, 60), np.array([700] * 40 + [640] * 60)):
+        plain = packing.plain_deal(lengths, 2048)
+        assert [i for b in plain for i in b] == list(range(len(lengths))) and all(lengths[b].sum() <= 2048 for b in plain)
+        bins = packing.pack_lengths(lengths, 2048)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and all(lengths[b].sum() <= 2048 for b in bins)
+        assert len(bins) <= best_fit(lengths, 2048) + 2
+    lengths = rng.integers(1, 900, 600)
+    assert len(packing.pack_lengths(lengths, 2048)) <= -(-lengths.sum() // 2048) + 1 < len(packing.plain_deal(lengths, 2048)) - 20
+
+
+def test_a_long_text_is_encoded_in_runs(monkeypatch):
+    import functools
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "pieces", functools.partial(packing.pieces, size=64))
+    texts = ["été 12 34!! 'tis we'll  漢字 a\n\n  b " * 40, "x" * 500, "short"]
+    got = {}
+    for rows, ids, bounds in packing.Encoder.of("byte_bpe_50k").encode(pa.array(texts)):
+        for i, r in enumerate(rows.tolist()):
+            got.setdefault(r, []).extend(ids[bounds[i] : bounds[i + 1]].tolist())
+    assert got == {i: PLAIN.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
+def test_query_covers_every_document(spark):
+    sf = "/root/testdata/sf0.001"
+    out = packing.op7_packing(spark, sf).toPandas()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for i, own in out.groupby("doc_id"):
+        ids, own = ids_of(texts[i]), own.sort_values("piece")
+        assert own.length.sum() == len(ids) and own.length.max() <= 2048
+        assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(own.start, own.length, strict=True)] == own.ids_crc32.tolist()
+    assert set(out.doc_id) == set(texts) and out.groupby("sequence_id").length.sum().max() <= 2048
 
 
 def test_search_swaps_where_nothing_fits():
