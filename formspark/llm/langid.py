@@ -19,13 +19,15 @@ looks like no language known.
 Defined cases: null or empty texts, and texts without letters, have no text
 evidence and are rejected; null declarations and hosts say nothing; without
 any declared row all is "und" and rejected; repeated and null ids play no
-part; extra columns are kept.
+part; a text over SLICE_BYTES is scanned in runs, and grams across their
+borders don't count; an empty table gives no rows; extra columns are kept,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formspark.llm import common
-from formspark.llm.textscan import lowered, slices
+from formspark.llm.textscan import lowered, pieces
 
 #: Training texts of a language, and hashed grams.
 SAMPLE_ROWS, GRAM_BITS = 400, 15
@@ -71,19 +73,25 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        languages, slots, counts = [], [], []
-        names = batch.column(0).to_pylist()
-        for first, data, offsets in slices(batch.column(1)):
+        names, held = batch.column(0).to_pylist(), {}
+        for rows, data, offsets in pieces(batch.column(1)):
             slot, row = _grams(data, offsets)
             bounds = np.searchsorted(row, np.arange(len(offsets)))
-            for i in range(len(offsets) - 1):
+            for i, r in enumerate(rows.tolist()):
                 own = slot[bounds[i] : bounds[i + 1]]
-                if len(own):
-                    grams, n = np.unique(own, return_counts=True)
-                    languages.append(names[first + i])
-                    slots.append(grams.astype(np.uint16).tobytes())
-                    counts.append((n * min(1.0, 2000 / len(own))).tobytes())  # no text rules the model
-        yield pa.RecordBatch.from_arrays([pa.array(languages, pa.string()), pa.array(slots, pa.binary()), pa.array(counts, pa.binary())], ["language", "slots", "counts"])
+                if r in held:
+                    held[r] += np.bincount(own, minlength=1 << GRAM_BITS)  # a text of several runs
+                elif len(rows) == 1:
+                    held[r] = np.bincount(own, minlength=1 << GRAM_BITS)
+                elif len(own):
+                    held[r] = np.unique(own, return_counts=True)
+        out = []
+        for r, own in held.items():
+            grams, n = own if isinstance(own, tuple) else (np.flatnonzero(own), own[own > 0])
+            if len(grams):
+                out.append((names[r], grams.astype(np.uint16).tobytes(), (n * min(1.0, 2000 / n.sum())).tobytes()))  # no text rules the model
+        columns = zip(*out, strict=True) if out else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.binary(), pa.binary()), strict=True)], ["language", "slots", "counts"])
 
 
 def _add(t: pa.Table) -> pa.Table:
@@ -135,29 +143,23 @@ def _likelihoods(model):
     @F.arrow_udf("array<double>")
     def run(texts: pa.Array) -> pa.Array:
         width = len(model.value) + 1
-        out = []
-        for _, data, offsets in slices(texts):
+        flat, grams = np.zeros((len(texts), width)), np.zeros(len(texts), np.int64)
+        for rows, data, offsets in pieces(texts):
             slot, row = _grams(data, offsets)
             bounds = np.searchsorted(row, np.arange(len(offsets)))
             n = np.diff(bounds)
+            grams[rows] += n
             some = n > 0
-            own = np.zeros((len(n), width))
-            own[:, -1] = n * (-GRAM_BITS * math.log(2))
             if some.any():
                 for first, table in tables():
                     for k in range(len(table)):
-                        own[some, first + k] = np.add.reduceat(table[k][slot], bounds[:-1][some])
-            weight = np.where(some, TEMPER * np.minimum(n, MOST_GRAMS) / np.maximum(n, 1), 0)
-            own *= weight[:, None]
-            own -= own.max(axis=1, keepdims=True)
-            own[~some] = np.nan
-            out.append(own)
-        flat = np.concatenate(out) if out else np.zeros((0, width))
-        values = pa.array(flat.ravel())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, width, dtype=np.int32)), values)
-        silent = pa.array(np.isnan(flat[:, 0]) if len(flat) else np.zeros(0, bool))
+                        flat[rows[some], first + k] += np.add.reduceat(table[k][slot], bounds[:-1][some])
+        flat[:, -1] = grams * (-GRAM_BITS * math.log(2))
+        flat *= np.where(grams > 0, TEMPER * np.minimum(grams, MOST_GRAMS) / np.maximum(grams, 1), 0)[:, None]
+        flat -= flat.max(axis=1, keepdims=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, width, dtype=np.int32)), pa.array(flat.ravel()))
         common.give_back()
-        return pc.if_else(silent, pa.scalar(None, lists.type), lists)
+        return pc.if_else(pa.array(grams == 0), pa.scalar(None, lists.type), lists)
 
     return run
 
@@ -176,13 +178,21 @@ def _named(place: Column, languages: list[str]) -> Column:
     return F.element_at(F.split(F.lit("-".join(languages)), "-"), place)
 
 
-def identify(docs: DataFrame, text: Column, declared: Column | None = None, host: Column | None = None, least: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` with __language, __confidence (its posterior), __text_language and __accepted.
+def result_names(columns: Sequence[str]) -> list[str]:
+    """What ``identify`` calls its four results beside these columns: with underscores in front of taken names."""
+    return [common.free(columns, x) for x in ("__language", "__confidence", "__text_language", "__accepted")]
+
+
+def identify(docs: DataFrame, text: Column, declared: Column | None = None, host: Column | None = None, least: float = 0.5, sample_rows: int = SAMPLE_ROWS, keep: Sequence[str] | None = None) -> DataFrame:
+    """``docs``, or its columns ``keep``, with __language, __confidence (its posterior), __text_language and __accepted.
 
     ``host`` is a name such as an address has; its last two labels are its
-    domain and the last its suffix.  A name without dots has neither.
+    domain and the last its suffix.  A name without dots has neither.  Each
+    text is scored once, into a table in the shared folder.  See
+    ``result_names`` for inputs that have such columns.
     """
     common.lean(docs.sparkSession)
+    keep = docs.columns if keep is None else list(keep)
     none = F.lit(None).cast("string")
     declared = F.lower(F.split(F.coalesce(declared, none), "[-_]")[0]) if declared is not None else none
     host = F.lower(host) if host is not None else none
@@ -190,13 +200,13 @@ def identify(docs: DataFrame, text: Column, declared: Column | None = None, host
     model = docs.sparkSession.sparkContext.broadcast(models)
     n = len(languages)
     labels = F.split(F.col("__host"), "\\.")
-    known = docs.withColumns({"__declared": declared, "__host": host})
+    known = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), declared.alias("__declared"), host.alias("__host"), _likelihoods(model)(text).alias("__text"))
     known = known.withColumns({
         "__domain": F.when(F.size(labels) > 1, F.array_join(F.slice(labels, -2, 2), ".")),
         "__suffix": F.when(F.size(labels) > 1, F.element_at(labels, -1)),
-        "__text": _likelihoods(model)(text),
+        "__best": _best(F.col("__text")),
     })
-    found = known.withColumn("__best", _best(F.col("__text")))
+    found = common.stored(known, "scores")
 
     # one small table of all rows, from which all counts follow
     cells = common.cut(found.where("__best is not null").groupBy("__host", "__domain", "__suffix", "__declared", "__best").agg(F.count(F.lit(1)).alias("n")))
@@ -229,9 +239,11 @@ def identify(docs: DataFrame, text: Column, declared: Column | None = None, host
     score = F.zip_with(F.zip_with(F.coalesce("__text", flat), prior, lambda a, b: a + b), F.coalesce("__says", flat), lambda a, b: a + b)
     out = out.withColumn("__score", score)
     odds = F.aggregate(F.transform("__score", lambda x: F.exp(x - F.array_max("__score"))), F.lit(0.0), lambda a, x: a + x)
-    out = out.withColumns({"__language": _named(_best(F.col("__score")), languages), "__confidence": F.lit(1.0) / odds, "__text_language": _named(F.col("__best"), languages)})
-    out = out.withColumn("__accepted", F.col("__text").isNotNull() & (F.col("__language") != UNKNOWN) & (F.col("__confidence") >= least))
-    return out.select(*docs.columns, "__language", "__confidence", "__text_language", "__accepted")
+    best = _named(_best(F.col("__score")), languages)
+    sure = F.lit(1.0) / odds
+    accepted = F.col("__text").isNotNull() & (best != UNKNOWN) & (sure >= least)
+    names = result_names(keep)
+    return out.select("row.*", *(c.alias(x) for c, x in zip((best, sure, _named(F.col("__best"), languages), accepted), names, strict=True)))
 
 
 def _page_parts(html: Column, url: Column) -> tuple[Column, Column, Column]:
@@ -252,5 +264,5 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
     text, lang, host = _page_parts(F.col("html"), F.col("url"))
     pages = common.table(spark, sf_dir, "pages").select("page_id", text.alias("text"), lang.alias("declared"), host.alias("host"))
-    found = identify(docs.unionByName(pages, allowMissingColumns=True), F.col("text"), F.col("declared"), F.col("host"))
+    found = identify(docs.unionByName(pages, allowMissingColumns=True), F.col("text"), F.col("declared"), F.col("host"), keep=["doc_id", "page_id"])
     return found.select("doc_id", "page_id", F.col("__language").alias("language"), F.round("__confidence", 6).alias("confidence"), F.col("__text_language").alias("text_language"), F.col("__accepted").alias("accepted"))

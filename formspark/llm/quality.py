@@ -1,18 +1,21 @@
 """Quality classifier by attention-based multiple-instance learning (operator 5).
 
 A document is a bag of passages of PASSAGE words.  Every passage of the
-whole text is encoded from its surface (word shapes, marks, repetition); a
-hidden layer and gated attention, learned from document labels alone, weigh
-the passages, and the weighted representation is scored.
+whole text is encoded from its words, by learned vectors of their hashes, and
+from its surface (word shapes, marks, repetition); a hidden layer and gated
+attention, learned together with the word vectors from document labels alone,
+weigh the passages, and the weighted representation is scored.
 
 Training takes a bounded sample of labelled rows, SAMPLE_ROWS at most, those
-of smallest seeded hash; everything else covers all rows.  Same sample, same
-weights: training is seeded and single-threaded.
+of smallest seeded hash, and of a long one some passages, SAMPLE_PASSAGES at
+most, evenly spread; scoring covers all passages of all rows.  Same sample,
+same weights: training is seeded and single-threaded.
 
 Defined cases: null, empty and wordless texts are one passage of zeros and
 get the score that it has; without labelled rows of both kinds the score is
-the labels' mean, 0.5 without labels; repeated ids are scored row by row;
-extra columns are kept.
+the labels' mean, 0.5 without labels; repeated ids are scored row by row; a
+text over SLICE_BYTES is cut into runs at white space, and a run's last
+passage may be shorter; an empty table gives no rows; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -23,12 +26,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formspark.llm import common
-from formspark.llm.textscan import hashes_of, lowered, running_sums, slices, word_spans
+from formspark.llm.textscan import hashes_of, lowered, pieces, running_sums, spaces, word_spans
 
 PASSAGE = 48
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS, SAMPLE_PASSAGES = 6000, 32
+#: Hashed words, and the numbers of a word's vector.
+WORDS, WIDE = 2048, 8
 HIDDEN, GATE = 24, 16
-EPOCHS, BATCH, RATE, DECAY = 30, 64, 4e-3, 1e-4
+EPOCHS, BATCH, RATE, DECAY = 16, 64, 6e-3, 1e-4
 
 # byte classes that are counted: lower, upper, digit, sentence marks, other marks, beyond ASCII
 _KIND = np.full(256, 4, np.int64)
@@ -38,8 +43,8 @@ _KIND[[0x20, *range(0x09, 0x0E)]] = -1
 FEATURES = 18
 
 
-def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Passages' features, and each row's first passage (one more entry than rows)."""
+def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Passages' surface, each row's first passage (one more entry than rows), hashed words, and each one's passage."""
     n_rows = len(offsets) - 1
     starts, ends, rows = word_spans(data, offsets)
     words = np.bincount(rows, minlength=n_rows)
@@ -47,7 +52,7 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first = np.concatenate(([0], np.cumsum(passages)))
     out = np.zeros((int(first[-1]), FEATURES))
     if not len(starts):
-        return out, first
+        return out, first, np.zeros(0, np.int64), np.zeros(0, np.int64)
     place = np.arange(len(starts)) - np.concatenate(([0], np.cumsum(words)[:-1]))[rows]
     passage = first[rows] + place // PASSAGE
 
@@ -77,20 +82,51 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     out[:, 1] = np.sqrt(np.maximum(out[:, 1] - out[:, 0] ** 2, 0))
     out[:, 16] = np.bincount((key[fresh] >> np.uint64(40)).astype(np.int64), minlength=len(out)) / some
     out[:, 17] = np.log1p(count)
-    return out, first
+    return out, first, (low >> np.uint64(64 - WORDS.bit_length() + 1)).astype(np.int64), passage
+
+
+def bags(texts: pa.Array):
+    """(surface, first passages, words, passage of each word, rows) by runs of whole rows."""
+    held: list[tuple] = []
+
+    def whole(parts: list[tuple]) -> tuple:
+        x = np.concatenate([p[0] for p in parts])
+        shift = np.cumsum([0, *(len(p[0]) for p in parts)])
+        return x, np.array([0, len(x)]), np.concatenate([p[2] for p in parts]), np.concatenate([p[3] + s for p, s in zip(parts, shift, strict=False)]), parts[0][4]
+
+    for rows, data, offsets in pieces(texts, may_cut=spaces):
+        part = (*encode(data, offsets), rows)
+        if held and rows[0] != held[0][4][0]:
+            yield whole(held)
+            held = []
+        if len(rows) == 1:
+            held.append(part)
+        else:
+            yield part
+    if held:
+        yield whole(held)
 
 
 class Attention:
-    """h = tanh(Ax); weights softmax of w.(tanh(Vh) * sigmoid(Uh)); score sigmoid(c.sum + b)."""
+    """h = tanh(A[x, mean of E]); weights softmax of w.(tanh(Vh) * sigmoid(Uh)); score sigmoid(c.sum + b)."""
 
     def __init__(self, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         draw = lambda *shape: rng.normal(scale=1 / np.sqrt(shape[0]), size=shape)
-        self.p = {"A": draw(FEATURES, HIDDEN), "a": np.zeros(HIDDEN), "V": draw(HIDDEN, GATE), "U": draw(HIDDEN, GATE), "w": draw(GATE, 1), "c": draw(HIDDEN, 1), "b": np.zeros(1)}
+        self.p = {"E": rng.normal(scale=0.1, size=(WORDS, WIDE)), "A": draw(FEATURES + WIDE, HIDDEN), "a": np.zeros(HIDDEN), "V": draw(HIDDEN, GATE), "U": draw(HIDDEN, GATE), "w": draw(GATE, 1), "c": draw(HIDDEN, 1), "b": np.zeros(1)}
         self.mean, self.scale, self.flat = np.zeros(FEATURES), np.ones(FEATURES), None
 
-    def _forward(self, x: np.ndarray, first: np.ndarray) -> tuple:
+    def _means(self, n: int, words: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Mean word vector of each of ``n`` passages; words follow their passages."""
+        out = np.zeros((n, WIDE))
+        if len(words):
+            begin = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            out[of[begin]] = np.add.reduceat(self.p["E"][words], begin, axis=0) / np.diff(np.concatenate((begin, [len(of)])))[:, None]
+        return out
+
+    def _forward(self, x: np.ndarray, first: np.ndarray, words: np.ndarray, of: np.ndarray) -> tuple:
         p = self.p
+        x = np.concatenate([x, self._means(len(x), words, of)], axis=1)
         h = np.tanh(x @ p["A"] + p["a"])
         t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-np.clip(h @ p["U"], -30, 30)))
         e = ((t * g) @ p["w"])[:, 0]
@@ -99,31 +135,32 @@ class Attention:
         weight = e / np.add.reduceat(e, first[:-1])[bag]
         z = np.add.reduceat(h * weight[:, None], first[:-1], axis=0)
         score = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["b"], -30, 30)))[:, 0]
-        return h, t, g, weight, bag, z, score
+        return x, h, t, g, weight, bag, z, score
 
-    def scores(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def scores(self, x: np.ndarray, first: np.ndarray, words: np.ndarray, of: np.ndarray) -> np.ndarray:
         if self.flat is not None or len(first) < 2:
             return np.full(len(first) - 1, 0.5 if self.flat is None else self.flat)
-        return self._forward((x - self.mean) / self.scale, first)[-1]
+        return self._forward((x - self.mean) / self.scale, first, words, of)[-1]
 
-    def fit(self, bags: list[np.ndarray], labels: np.ndarray) -> Attention:
-        """Logistic loss by Adam, seeded."""
+    def fit(self, bags: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray) -> Attention:
+        """Logistic loss by Adam, seeded; a bag is its passages' surface, its words and their passages."""
         if len(set(labels.tolist())) < 2:
             self.flat = float(labels.mean()) if len(labels) else 0.5
             return self
-        every = np.concatenate(bags)
+        every = np.concatenate([x for x, _, _ in bags])
         self.mean, self.scale = every.mean(axis=0), every.std(axis=0) + 1e-6
-        bags = [(b - self.mean) / self.scale for b in bags]
+        bags = [((x - self.mean) / self.scale, words, of) for x, words, of in bags]
         rng = np.random.default_rng(1)
         m, v, step = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
         for epoch in range(EPOCHS):
             rate = RATE * (1 - epoch / EPOCHS) + 1e-4
             order = rng.permutation(len(bags))
             for a in range(0, len(order), BATCH):
-                own = order[a : a + BATCH]
-                x = np.concatenate([bags[i] for i in own])
-                first = np.concatenate(([0], np.cumsum([len(bags[i]) for i in own])))
-                grad = self._gradient(x, first, labels[own])
+                own = [bags[i] for i in order[a : a + BATCH]]
+                first = np.concatenate(([0], np.cumsum([len(x) for x, _, _ in own])))
+                words = np.concatenate([w for _, w, _ in own])
+                of = np.concatenate([o + f for (_, _, o), f in zip(own, first, strict=False)])
+                grad = self._gradient(np.concatenate([x for x, _, _ in own]), first, words, of, labels[order[a : a + BATCH]])
                 step += 1
                 for k, g in grad.items():
                     g = g + DECAY * self.p[k]
@@ -132,9 +169,9 @@ class Attention:
                     self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         return self
 
-    def _gradient(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def _gradient(self, x: np.ndarray, first: np.ndarray, words: np.ndarray, of: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
-        h, t, g, weight, bag, z, score = self._forward(x, first)
+        x, h, t, g, weight, bag, z, score = self._forward(x, first, words, of)
         ds = (score - y)[:, None] / len(y)
         dz = ds @ p["c"].T
         dh = weight[:, None] * dz[bag]
@@ -144,16 +181,24 @@ class Attention:
         dt, dg = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
         dh += dt @ p["V"].T + dg @ p["U"].T
         da = dh * (1 - h * h)
-        return {"A": x.T @ da, "a": da.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de[:, None], "c": z.T @ ds, "b": ds.sum(axis=0)}
+        vector = (da @ p["A"][FEATURES:].T) / np.maximum(np.bincount(of, minlength=len(x)), 1)[:, None]
+        vectors = np.stack([np.bincount(words, weights=vector[of, j], minlength=WORDS) for j in range(WIDE)], axis=1)
+        return {"E": vectors, "A": x.T @ da, "a": da.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de[:, None], "c": z.T @ ds, "b": ds.sum(axis=0)}
 
 
 def _bags(batches):
+    """The sample's bags: of a long text SAMPLE_PASSAGES passages, evenly spread."""
     for batch in batches:
         rows = []
-        for row, data, offsets in slices(batch.column(2)):
-            x, first = encode(data, offsets)
-            rows += [x[first[i] : first[i + 1]].astype(np.float32).tobytes() for i in range(len(first) - 1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["h", "label", "bag"])
+        for x, first, words, of, _ in bags(batch.column(2)):
+            bounds = np.searchsorted(of, first)
+            for i in range(len(first) - 1):
+                n, w, o = first[i + 1] - first[i], words[bounds[i] : bounds[i + 1]], of[bounds[i] : bounds[i + 1]] - first[i]
+                chosen = np.unique(np.linspace(0, n - 1, min(n, SAMPLE_PASSAGES)).astype(np.int64))
+                keep = np.isin(o, chosen)
+                rows.append(tuple(a.tobytes() for a in (x[first[i] : first[i + 1]][chosen].astype(np.float32), w[keep].astype(np.uint16), np.searchsorted(chosen, o[keep]).astype(np.uint16))))
+        columns = zip(*rows, strict=True) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.binary()) for c in columns)], ["h", "label", "bag", "words", "passages"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> Attention:
@@ -164,9 +209,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     # sample_rows rows of three numbers
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("h", "label", "text")
-    found = rows.mapInArrow(_bags, "h long, label int, bag binary").limit(2 * sample_rows).collect()  # an id may repeat
-    found.sort(key=lambda r: (r["h"], r["label"], bytes(r["bag"])))
-    bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES).astype(float) for r in found]
+    found = rows.mapInArrow(_bags, "h long, label int, bag binary, words binary, passages binary")
+    # an id may repeat: again the smallest, in an order that reruns share
+    found = found.orderBy("h", "label", "bag", "words").limit(sample_rows).collect()
+    bags = [(np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES).astype(float), np.frombuffer(r["words"], np.uint16).astype(np.int64), np.frombuffer(r["passages"], np.uint16).astype(np.int64)) for r in found]
     return Attention().fit(bags, np.array([r["label"] for r in found], float))
 
 
@@ -175,9 +221,11 @@ def score(model, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
-        out = [model.value.scores(*encode(data, offsets)) for _, data, offsets in slices(texts)]
+        out = np.zeros(len(texts))
+        for x, first, words, of, rows in bags(texts):
+            out[rows] = model.value.scores(x, first, words, of)
         common.give_back()
-        return pa.array(np.concatenate(out) if out else np.zeros(0))
+        return pa.array(out)
 
     return run(text)
 

@@ -7,13 +7,16 @@ gives it a seeded Fisher-Yates shuffle.  Buckets end to end are the shuffled
 corpus; its places are cut into shards whose counts differ by one at most.
 
 The bucket's hash takes id and text, so one id or one text in a third of all
-rows does not fill a bucket; rows equal in both can.  Bucket counts (one
-number each) give each bucket its first place; they are dealt to the
-buckets' tasks, so the records move once.
+rows does not fill a bucket.  Rows that are equal in both and together larger
+than a bucket are dealt to several, by a number that is written down first.
+Bucket counts (one number each, summed by groups of buckets) give each bucket
+its first place; they are dealt to the buckets' tasks, so the records move
+once.
 
 Defined cases: null text has no bytes; null ids are shuffled like others;
 rows that are equal in all are interchangeable; fewer rows than shards leave
-shards empty; extra columns stay, and may have the names of results.
+shards empty; an empty table gives no rows.  Extra columns stay, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -32,48 +35,60 @@ from formspark.llm import common
 BUCKET_BYTES = 16 << 20
 
 
-def _shuffled(seed: int, id_col: str):
+def _shuffled(seed: int):
     def run(t: pa.Table, first: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return t.drop_columns(["__hash"]).append_column("__place", pa.array([], pa.int64()))
-        bucket = t.column("__bucket")[0].as_py()
-        t = t.sort_by([(id_col, "ascending"), ("__hash", "ascending")])
+            return pa.table({"row": t.column("row"), "place": pa.array([], pa.int64())})
+        bucket = t.column("bucket")[0].as_py()
+        t = t.sort_by([("id", "ascending"), ("hash", "ascending")])
         rng = np.random.default_rng([seed, bucket])
         order = np.arange(t.num_rows)
         draws = rng.random(t.num_rows)
         for i in range(t.num_rows - 1, 0, -1):  # Fisher-Yates
             j = int(draws[i] * (i + 1))
             order[i], order[j] = order[j], order[i]
-        t = t.take(pa.array(order)).drop_columns(["__hash"])
-        return t.append_column("__place", pa.array(first.column("__before")[0].as_py() + np.arange(t.num_rows)))
+        return pa.table({"row": t.column("row").take(pa.array(order)), "place": pa.array(first.column("before")[0].as_py() + np.arange(t.num_rows))})
 
     return common.tidy(run)
 
 
+def result_names(columns: list[str]) -> list[str]:
+    """What ``shard_documents`` calls its two results beside these columns: with underscores in front of taken names."""
+    return [common.free(columns, x) for x in ("__shard", "__slot")]
+
+
 def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
     """``docs`` with __shard (0 to shards - 1) and __slot (its place there, from 0)."""
+    common.lean(docs.sparkSession)
     rows, size = common.text_bytes(docs, text_col)
     buckets = max(1, math.ceil((size + 16 * rows) / BUCKET_BYTES))
     mixed = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed))
-    dealt = docs.withColumn("__hash", mixed).withColumn("__bucket", F.pmod(F.xxhash64("__hash"), F.lit(buckets)))
-    counts = dealt.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = counts.select("__bucket", before.alias("__before"))  # a row for each 16 MB
-    shape = T.StructType([f for f in dealt.schema if f.name != "__hash"] + [T.StructField("__place", T.LongType())])
-    shuffled = dealt.groupBy("__bucket").cogroup(first.groupBy("__bucket")).applyInArrow(_shuffled(seed, id_col), shape)
-    place = F.col("__place")
+    every = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), mixed.alias("hash"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 16).alias("size"))
+    large = every.groupBy("hash").agg(F.ceil(F.sum("size") / BUCKET_BYTES).alias("copies")).where("copies > 1")
+    salt = F.lit(0).cast("long")
+    if large.limit(1).count():  # rows equal in id and text that no bucket holds: a hash is a bucket's bytes at least
+        numbered = every.join(large, "hash", "left").withColumn("salt", F.coalesce(F.pmod(F.monotonically_increasing_id(), "copies"), F.lit(0)))
+        every, salt = common.stored(numbered.drop("copies"), "scattered"), F.col("salt")
+    dealt = every.select("row", "id", "hash", F.pmod(F.xxhash64("hash", salt), F.lit(buckets)).alias("bucket"))
+    counts = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    first = common.running(counts, "bucket", "n", "before").select((F.col("bucket") + 0).alias("of"), "before")
+    shape = T.StructType([dealt.schema["row"], T.StructField("place", T.LongType())])
+    shuffled = dealt.groupBy("bucket").cogroup(first.groupBy("of")).applyInArrow(_shuffled(seed), shape)
+    place = F.col("place")
     # the first of `more` shards have one row more than `least`
     least, more = divmod(rows, shards)
     head = more * (least + 1)
     shard = F.when(place < head, F.floor(place / F.lit(least + 1))).otherwise(F.lit(more) + F.floor((place - head) / F.lit(max(least, 1))))
-    start = F.when(F.col("__shard") < more, F.col("__shard") * (least + 1)).otherwise(F.lit(head) + (F.col("__shard") - more) * least)
-    return shuffled.withColumn("__shard", shard.cast("int")).withColumn("__slot", (place - start).cast("long")).select(*docs.columns, "__shard", "__slot")
+    start = F.when(F.col("shard") < more, F.col("shard") * (least + 1)).otherwise(F.lit(head) + (F.col("shard") - more) * least)
+    names = result_names(docs.columns)
+    return shuffled.withColumn("shard", shard.cast("int")).select("row.*", F.col("shard").alias(names[0]), (place - start).cast("long").alias(names[1]))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, **options) -> None:
-    """The shards as one folder each, rows in slot order."""
+    """The shards as one folder each; a file is a run of slots in order, that of a bucket, so records move once."""
+    names = result_names(docs.columns)
     placed = shard_documents(docs, shards, **options)
-    placed.repartition(shards, "__shard").sortWithinPartitions("__shard", "__slot").write.partitionBy("__shard").parquet(path)
+    placed.sortWithinPartitions(*names).write.partitionBy(names[0]).parquet(path)
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ An archive is a leading skippable frame that holds the dictionary (itself
 compressed), then one frame for each record.  Frames are rows of a text
 table whose line end is an empty skippable frame, so Spark's own writer and
 commit protocol make the files, in any store that Spark writes to, and any
-Zstandard reader passes over the separators.
+Zstandard reader passes over the separators.  A new archive begins after
+ARCHIVE_BYTES of frames, so a file fits a reader's memory.
 
 The reader loads the dictionary, decodes a frame a record and validates:
 version line, required headers, block length against Content-Length, the
@@ -41,6 +42,10 @@ DICTIONARY_MAGIC, SKIPPABLE_LOW, SKIPPABLE_HIGH, FRAME_MAGIC = 0x184D2A5D, 0x184
 SEPARATOR = struct.pack("<II", SKIPPABLE_LOW, 0)
 #: Pages that the dictionary is trained on, and bytes of each, at most.
 SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 16_384, 65_536
+#: Compressed bytes after which a task begins another archive.
+ARCHIVE_BYTES = 32 << 20
+#: A payload that this share of all pages has is common: there can be a thousand at most.
+COMMON = 1000
 _DATE = "2024-01-01T00:00:00Z"
 _CHUNK = 1 << 16
 
@@ -148,7 +153,7 @@ def train_dictionary(samples: list[bytes]) -> bytes:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> None:
-    """The pages as archives under ``path``, one for each partition of ``pages``."""
+    """The pages as archives under ``path``, one or more for each partition."""
     spark = pages.sparkSession
     common.lean(spark)
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
@@ -157,22 +162,34 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     keyed = base.withColumn("sha", F.unhex(F.sha1("payload")))
     shared = keyed.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1 and first is not null")
-    marked = keyed.join(shared.select("sha", "first"), "sha", "left")
+    shared = common.cut(shared)
+    often = shared.where(F.col("n") * COMMON >= F.lit(base.count())).select("sha", F.col("first").alias("often"))
+    # pages with a common payload take its first page by broadcast, of COMMON rows at most, and are dealt by their own hash
+    marked = keyed.join(F.broadcast(often), "sha", "left").withColumn("key", F.when(F.col("often").isNull(), F.col("sha")).otherwise(F.unhex(F.sha1(F.concat(F.lit("often"), F.xxhash64("id", "url").cast("string"))))))
+    rare = shared.join(F.broadcast(often), "sha", "left_anti").select(F.col("sha").alias("key"), "first")
+    marked = marked.join(rare, "key", "left").withColumn("first", F.coalesce("often", "first"))
     marked = marked.select("id", "url", "payload", F.when(F.col("id").isNull() | (F.col("first") != F.col("id")), F.col("first")).alias("refers"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = dictionary.value
         packer = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
-        first = True
+        head = dictionary_frame(raw)
+        archive, place, size = 0, 0, 0
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
-                rows = batch.slice(a, 256).to_pylist()
-                out = [packer.compress(record(r["id"], r["url"], r["payload"], r["refers"])) for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(([dictionary_frame(raw)] if first else []) + out, pa.binary())], ["frame"])
-                first = False
+                rows = []
+                for r in batch.slice(a, 256).to_pylist():
+                    if size >= ARCHIVE_BYTES:
+                        archive, place, size = archive + 1, 0, 0
+                    if not place:
+                        rows.append((archive, 0, head))
+                    rows.append((archive, place + 1, packer.compress(record(r["id"], r["url"], r["payload"], r["refers"]))))
+                    place += 1
+                    size += len(rows[-1][2])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["archive", "place", "frame"])
 
-    lines = marked.mapInArrow(common.tidy(write), "frame binary").select(F.col("frame").cast("string").alias("value"))
-    lines.write.option("lineSep", SEPARATOR.decode()).text(path)
+    lines = marked.mapInArrow(common.tidy(write), "archive int, place long, frame binary").sortWithinPartitions("archive", "place")
+    lines.select("archive", F.col("frame").cast("string").alias("value")).write.partitionBy("archive").option("lineSep", SEPARATOR.decode()).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -195,7 +212,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                         rows = []
                 yield _rows(rows, names)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
     return files.mapInArrow(common.tidy(read), "record_id string, record_type string, url string, refers_to string, payload_bytes long, payload_digest string" + ", payload binary" * payloads)
 
 

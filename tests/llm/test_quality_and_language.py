@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,19 +18,25 @@ def test_held_out_accuracy(spark):
     assert auc > 0.9 and (m.predicted == y).mean() > 0.9
 
 
+def small_bags(rng):
+    first, of = np.array([0, 2, 3, 9]), np.array([0, 0, 0, 1, 3, 4, 4, 8])
+    return rng.normal(size=(9, quality.FEATURES)), first, rng.integers(0, quality.WORDS, len(of)), of
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     model = quality.Attention()
-    x, first, y = rng.normal(size=(9, quality.FEATURES)), np.array([0, 2, 3, 9]), np.array([1.0, 0.0, 1.0])
+    bags, y = small_bags(rng), np.array([1.0, 0.0, 1.0])
 
     def loss():
-        s = model._forward(x, first)[-1]
+        s = model._forward(*bags)[-1]
         return -(y * np.log(s) + (1 - y) * np.log(1 - s)).mean()
 
-    grad = model._gradient(x, first, y)
+    grad = model._gradient(*bags, y)
     for name, g in grad.items():
         flat, step = model.p[name].reshape(-1), 1e-6
-        for i in rng.choice(len(flat), min(5, len(flat)), replace=False):
+        places = rng.choice(len(flat), min(5, len(flat)), replace=False) if name != "E" else [bags[2][0] * quality.WIDE, bags[2][-1] * quality.WIDE + 3]
+        for i in places:
             keep = flat[i]
             flat[i] = keep + step
             up = loss()
@@ -39,6 +46,40 @@ def test_gradient():
             assert g.reshape(-1)[i] == pytest.approx((up - down) / (2 * step), abs=1e-5)
 
 
+def test_scores_equal_a_plain_forward_pass():
+    import math
+
+    model = quality.Attention()
+    model.mean, model.scale = np.full(quality.FEATURES, 0.1), np.full(quality.FEATURES, 2.0)
+    x, first, words, of = small_bags(np.random.default_rng(1))
+    p = {k: v.tolist() for k, v in model.p.items()}
+    dot = lambda row, m: [sum(a * m[i][j] for i, a in enumerate(row)) for j in range(len(m[0]))]
+    want = []
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        hidden, weights = [], []
+        for i in range(a, b):
+            own = [w for w, o in zip(words, of, strict=True) if o == i]
+            mean = [sum(p["E"][w][j] for w in own) / max(1, len(own)) for j in range(quality.WIDE)]
+            row = [(v - 0.1) / 2.0 for v in x[i]] + mean
+            h = [math.tanh(v + c) for v, c in zip(dot(row, p["A"]), p["a"], strict=True)]
+            gate = [math.tanh(v) / (1 + math.exp(-u)) for v, u in zip(dot(h, p["V"]), dot(h, p["U"]), strict=True)]
+            hidden.append(h)
+            weights.append(math.exp(dot(gate, p["w"])[0]))
+        z = [sum(w * h[j] for w, h in zip(weights, hidden, strict=True)) / sum(weights) for j in range(quality.HIDDEN)]
+        want.append(1 / (1 + math.exp(-dot(z, p["c"])[0] - p["b"][0])))
+    assert model.scores(x, first, words, of) == pytest.approx(want)
+
+
+def test_long_texts_are_bags_of_all_their_passages():
+    texts = pa.array(["short one", "word " * 150_000, None, "x " * 10])
+    got = {}
+    for x, first, words, of, rows in quality.bags(texts):
+        for k, r in enumerate(rows.tolist()):
+            got[r] = (first[k + 1] - first[k], int(((of >= first[k]) & (of < first[k + 1])).sum()))
+    assert [got[i][1] for i in range(4)] == [2, 150_000, 0, 10]
+    assert got[0][0] == got[2][0] == got[3][0] == 1 and 150_000 / 48 <= got[1][0] <= 150_000 / 48 + 10
+
+
 def test_quality_defined_cases(spark):
     texts = [(i, ("good words here and there. " * 30) if i % 2 else ("BAD!! " * 90), i, 0.0) for i in range(80)]
     docs = spark.createDataFrame([*texts, (None, None, 0, 0.0), (900, "", 0, 0.0), (901, "\n\t", 0, 0.0), (902, "word " * 40_000, 0, 0.0), (1, "x", 0, 0.0)], "doc_id long, text string, h long, score double")
@@ -83,6 +124,56 @@ def test_language_without_labels_or_rows(spark):
     assert langid.identify(df.limit(0), F.col("text"), F.col("lang")).count() == 0
 
 
+def test_posterior_equals_a_plain_computation(spark):
+    """The fusion, from the operator's own text likelihoods, by hand."""
+    import math
+
+    rows = [(i, t, lang, h) for i, (t, lang, h) in enumerate([("the cat and the dog were here again", "en", "a.x.com")] * 9 + [("les chats avec leurs amis dans la maison", "fr", "b.x.com")] * 5 + [("les chats avec leurs amis", "en", "c.y.fr"), ("the zz", None, "new.x.com"), ("zz zz", "fr", "lone"), ("zz cat", None, None)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, host string")
+    got = {r["doc_id"]: r for r in langid.identify(df, F.col("text"), F.col("lang"), F.col("host")).collect()}
+    names, models = langid.train(df, F.col("text"), F.col("lang"))
+    tables = [langid._dense(*m) for m in models]
+
+    def text_scores(t):
+        data = np.frombuffer(t.encode(), np.uint8)
+        slot, _ = langid._grams(data, np.array([0, len(data)]))
+        s = [float(table[slot].sum()) for table in tables] + [-len(slot) * langid.GRAM_BITS * math.log(2)]
+        s = [langid.TEMPER * min(len(slot), langid.MOST_GRAMS) / len(slot) * v for v in s]
+        return [v - max(s) for v in s]
+
+    scores = {i: text_scores(t) for i, t, _, _ in rows}
+    best = {i: int(np.argmax(s)) for i, s in scores.items()}
+    n = len(names)
+    every = [sum(b == k for b in best.values()) for k in range(n)]
+    root = [(c + 1) / (len(rows) + n) for c in every]
+
+    def shrunk(test, up):
+        own = [sum(bool(best[i] == k and test(h)) for i, _, _, h in rows) for k in range(n)]
+        return [(c + langid.STRENGTH * u) / (sum(own) + langid.STRENGTH) for c, u in zip(own, up, strict=True)]
+
+    for i, _, lang, host in rows:
+        prior = root
+        if host and "." in host:
+            suffix, domain = host.split(".")[-1], ".".join(host.split(".")[-2:])
+            prior = shrunk(lambda h: h and "." in h and h.split(".")[-1] == suffix, prior)
+            prior = shrunk(lambda h: h and "." in h and ".".join(h.split(".")[-2:]) == domain, prior)
+        if host:
+            prior = shrunk(lambda h: h == host, prior)
+        says = [math.log((sum(best[j] == k and other == lang for j, _, other, _ in rows) + 0.5) / (every[k] + 0.5 * (n + 1))) if lang else 0.0 for k in range(n)]
+        total = [a + math.log(b) + c for a, b, c in zip(scores[i], prior, says, strict=True)]
+        sure = 1 / sum(math.exp(v - max(total)) for v in total)
+        assert got[i]["__language"] == names[int(np.argmax(total))] and got[i]["__confidence"] == pytest.approx(sure)
+
+
+def test_clashing_names_and_long_texts(spark):
+    rows = [(i, "the cat and the dog were with the other ones ", "en") for i in range(30)] + [(50, "the cat and the dog were with the other ones " * 20_000, "en"), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __text string").withColumn("__language", F.lit("mine")).withColumn("__host", F.lit(None).cast("string"))
+    out = langid.identify(df, F.col("text"), F.col("__text"), F.col("__host"))
+    assert out.columns == [*df.columns, *langid.result_names(df.columns)] and "___language" in out.columns
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[50]["__language"] == "mine" and got[50]["___language"] == "en" and got[50]["__accepted"] and not got[None]["__accepted"]
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = langid.identify_pages(pages).select("__language", F.regexp_extract("html", 'lang="([a-z]+)', 1).alias("declared")).collect()

@@ -74,6 +74,40 @@ def test_cut_texts_keep_columns_and_characters(spark):
     assert out[2].asDict().keys() == set(df.columns)
 
 
+def test_common_lines_in_many_contexts(spark):
+    rng = np.random.default_rng(7)
+    line, passage = noise(rng, 70), noise(rng, 300)
+    rows = [(i, noise(rng, 130) + line + noise(rng, 110)) for i in range(60)] + [(100 + i, noise(rng, 90) + passage + noise(rng, 90)) for i in range(60)]
+    rows += [(200 + i, noise(rng, 300)) for i in range(60)] + [(300 + i, rows[5][1]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc long, text string").selectExpr("doc", "0L as tie", "text")
+    assert len(repeats._common_grams(df, len(rows), 100)) > 0
+    assert run(spark, rows) == brute(rows, 100)
+
+
+def test_long_texts_are_scanned_in_pieces(spark):
+    rng = np.random.default_rng(8)
+    long = noise(rng, 700_000)
+    rows = [(1, long), (2, noise(rng, 40) + long[100_000:400_000] + noise(rng, 30)), (3, long[262_000:262_300])]
+    assert run(spark, rows) == brute(rows, 100)
+
+
+def test_columns_with_any_names(spark):
+    rng = np.random.default_rng(9)
+    p = noise(rng, 200)
+    df = spark.createDataFrame([(1, p, 7, "a"), (2, "x" + p, 8, "b"), (2, "x" + p, 9, "c"), (None, p, None, None)], "doc_id long, text string, __doc long, __tie string")
+    out = repeats.remove_repeats(df)
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert out.columns == df.columns
+    assert got == sorted([(1, p, 7, "a"), (2, "x", 8, "b"), (2, "x", 9, "c"), (None, "", None, None)], key=str)
+    assert repeats.repeats(df).count() == 4
+
+
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert sorted(map(tuple, repeats.op10_repeats(spark, sf).collect()), key=str) == brute(rows, 100)
+
+
 def test_sample_of_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert run(spark, rows) == brute(rows, 100)

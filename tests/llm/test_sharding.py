@@ -1,6 +1,34 @@
 from formspark.llm import sharding
 
 
+def test_query_against_brute_force(spark):
+    import zlib
+
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out, by = sharding.op4_sharding(spark, sf).collect(), {}
+    for r in out:
+        raw = (texts.pop(r["doc_id"]) or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 16, zlib.crc32(raw), "rows", None)
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert not texts and sorted(by) == list(range(40)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_clashing_names_long_texts_and_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 2000)
+    rows = [(1, "same", "a", 1)] * 300 + [(i, "t" * 3000 if i % 50 == 0 else None, "b", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __shard string, place int")
+    out = sharding.shard_documents(df, 7)
+    assert out.columns == ["doc_id", "text", "__shard", "place", "___shard", "__slot"]
+    got = out.collect()
+    assert sorted(map(str, [tuple(r)[:4] for r in got])) == sorted(map(str, rows))
+    by = {}
+    for r in got:
+        by.setdefault(r["___shard"], []).append(r["__slot"])
+    assert {len(v) for v in by.values()} == {100} and all(sorted(v) == list(range(100)) for v in by.values())
+
+
 def place(spark, rows, shards, monkeypatch=None):
     df = spark.createDataFrame(rows, "doc_id long, text string, shard string, slot int")
     return sharding.shard_documents(df, shards).collect()
@@ -35,3 +63,4 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(df, str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 100 and back.groupBy("__shard").count().where("count = 25").count() == 4
+    assert {tuple(r) for r in back.select("doc_id", "__shard", "__slot").collect()} == {tuple(r) for r in sharding.shard_documents(df, 4).select("doc_id", "__shard", "__slot").collect()}

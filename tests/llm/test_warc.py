@@ -26,6 +26,34 @@ def test_write_and_read_back(spark):
     assert by["<urn:x-page:3>"][0]["payload_digest"] == warc.digest(b"x")
 
 
+def test_archives_roll_and_common_payloads_spread(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    monkeypatch.setattr(warc, "COMMON", 4)
+    rows = [(i, f"http://h/{i}", None if i % 3 == 0 else f"<p>{i % 50} {'x' * (i % 40)}</p>") for i in range(400)]
+    path = common.shared_folder(spark, "warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").collect()
+    assert len(files) > 4 and all(bytes(f["content"])[:4] == struct.pack("<I", warc.DICTIONARY_MAGIC) for f in files)
+    got = {r["record_id"]: r for r in warc.read_archives(spark, path).collect()}
+    assert len(got) == 400
+    for i, _, html in rows:
+        first = min(j for j, _, other in rows if (other or "") == (html or ""))
+        r = got[f"<urn:x-page:{i}>"]
+        assert r["refers_to"] == (None if first == i else f"<urn:x-page:{first}>") and r["payload_digest"] == warc.digest((html or "").encode())
+
+
+def test_query_agrees_with_its_sql(spark):
+    import duckdb
+
+    from formspark.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    out = warc.op8_warc(spark, sf).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(con.execute(queries.ORACLE["op8_warc"]).fetchall(), key=str)
+
+
 def test_empty_table(spark):
     path = common.shared_folder(spark, "warc")
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
