@@ -20,7 +20,7 @@ PASSAGE_BYTES = 150
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents whose language can't be told."""
     found = langid.identify(docs, F.col("text"), F.col("lang"), F.col("source"))
-    return found.where("__accepted").select(docs.columns)
+    return found.where(F.col(langid.result_names(docs.columns)[3])).select(docs.columns)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
     mixed = mixing.mix_documents(docs, mixing.word_count(F.col("text")), F.array("source"))
-    times = F.when(F.col("__size") > 0, F.col("__taken") / F.col("__size")).otherwise(0).cast("int")
-    return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)
+    size, _, _, taken = map(F.col, mixing.result_names(docs.columns))
+    times = F.when(size > 0, taken / size).otherwise(0).cast("int")
+    copy = mixing.common.free(mixed.columns, "__copy")
+    return mixed.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
