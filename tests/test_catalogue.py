@@ -42,3 +42,12 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0 and df.columns == ["source", "type", "found", "valid", "review"]
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_what_the_removable_part_needs():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['tiktoken'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.abspath(__spark_entry__.__file__)))
+    assert out.stdout.split() == [str(len(QUERIES)), str(len(ORACLES))], out.stderr
