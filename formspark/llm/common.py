@@ -224,32 +224,46 @@ def running(counts: DataFrame, key: str, number: str, out: str, group: int = 409
     return counts.withColumn("__of", of).withColumn("__inner", inner).join(tops, "__of").withColumn(out, F.col("__base") + F.col("__inner")).select(*counts.columns, out)
 
 
-#: A node with this share of all links is a hub: there can be two thousand at most.
-HUB = 1000
+#: Rows that are broadcast where their number has been checked.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, weight: int = 1) -> DataFrame:
+    """``df`` with a broadcast hint if it has few rows, each of ``weight`` numbers; else as it is."""
+    few = df.limit(BROADCAST_ROWS // weight + 1).count() <= BROADCAST_ROWS // weight
+    return F.broadcast(df) if few else df
+
+
+#: A node with this share of all links, and so many of them, is a hub: there can be two thousand at most.
+HUB, HUB_LINKS = 1000, 1000
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of each linked node but the roots; links are (src, dst) longs.
 
     Alternating large-star and small-star rounds of aggregates, combined
-    before they are dealt, and equi-joins against one row a node.  The hubs'
-    rows, which would meet in one task, are joined by a broadcast: a hub has
-    a thousandth of all links, so there are two thousand at most.  Lineage is
-    cut every round.
+    before they are dealt, and equi-joins against one row a node.  The links
+    of hubs, which would meet in one task, don't take part in the join: a hub
+    has a thousandth of all links, so two thousand hubs at most come to the
+    driver with their smallest neighbours and are broadcast.  Lineage is cut
+    every round.
     """
 
-    def with_low(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
-        hubs = low.where(F.col("n") * HUB >= total).select("src", F.col("low").alias("hub_low"))
-        marked = rows.join(F.broadcast(hubs), "src", "left")
-        rest = marked.where("hub_low is null").drop("hub_low").join(low.where(F.col("n") * HUB < total).select("src", "low"), "src")
-        return marked.where("hub_low is not null").withColumnRenamed("hub_low", "low").unionByName(rest)
-
-    def stars(e: DataFrame, total: int) -> DataFrame:
+    def large_star(e: DataFrame, total: int) -> DataFrame:
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("low"), F.count(F.lit(1)).alias("n"))
-        large = with_low(both.where("dst > src"), low, total).select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-        low = large.groupBy("src").agg(F.min("dst").alias("low"), F.count(F.lit(1)).alias("n"))
-        small = with_low(large, low, total).select(F.when(F.col("dst") > F.col("low"), F.col("dst")).otherwise(F.col("src")).alias("src"), F.col("low").alias("dst"))
+        hubs = low.where(F.col("n") >= max(HUB_LINKS, total // HUB)).select("src", "low").collect() if total >= HUB_LINKS else []
+        greater = both.where("dst > src")
+        if not hubs:
+            return greater.join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+        known = F.broadcast(e.sparkSession.createDataFrame([tuple(r) for r in hubs], "src long, hub long"))
+        marked = greater.join(known, "src", "left")
+        usual = marked.where("hub is null").join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+        return usual.unionByName(marked.where("hub is not null").select(F.col("dst").alias("src"), F.col("hub").alias("dst")))
+
+    def small_star(large: DataFrame) -> DataFrame:
+        low = large.groupBy("src").agg(F.min("dst").alias("low"))
+        small = large.join(low, "src").select(F.when(F.col("dst") > F.col("low"), F.col("dst")).otherwise(F.col("src")).alias("src"), F.col("low").alias("dst"))
         return small.distinct()
 
     def state(e: DataFrame) -> tuple:
@@ -260,7 +274,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not before[0]:
             break
-        e = cut(stars(e, before[0]))
+        e = cut(small_star(large_star(e, before[0])))
         now = state(e)
         if now == before:
             break

@@ -20,15 +20,18 @@ their c + 1 first tokens under any order of all tokens.
    are linked; the classes of those links, found by distributed rounds, hold
    every true pair together.
 3. Only texts in a class of two sets or more are fetched, one for a set.
-   There a pair is a candidate only if it shares a prefix token under every
+   Where a class is too large for a task, all tokens of its sets are counted,
+   and the second order's links drawn again under that order, which parts
+   sets that only common passages hold together.
+4. In a class a pair is a candidate only if it shares a prefix token under every
    one of ORDERS orders (rarest first in its class, by hash, two seeded ones):
    the orders' filters are intersected pair by pair.  A candidate is verified
    on whole sets, unless links that are known already join its two sides.
 
-A class of more than BLOCK_SHINGLES shingles or BLOCK_SETS sets is verified
-by blocks: within each block, then among one set of each class that the
-blocks found, and at last the sets outside the largest class that came of
-this against every block.  A family of any size costs each of its blocks
+A class that still has more than BLOCK_SHINGLES shingles or BLOCK_SETS sets
+is verified by blocks: within each block, then among one set of each class
+that the blocks found, and at last the sets outside the largest class that
+came of this against all, MERGED blocks at a time.  A family of any size costs each of its blocks
 once; nothing is dropped.
 
 Defined cases: null and empty texts have no shingles and link with nothing;
@@ -56,6 +59,8 @@ from formspark.llm.textscan import mix64, shingle_sets
 ORDERS = 4
 #: Shingles and sets of a block of a large class.
 BLOCK_SHINGLES, BLOCK_SETS = 25_000, 250
+#: Blocks that the last step takes together.
+MERGED = 8
 #: Rows of the sample that common tokens are found in, and the share of them that such a token is in.
 SAMPLE_ROWS, COMMON = 2048, 1 / 64
 _MOST = np.uint32(0xFFFFFFFF)
@@ -136,7 +141,7 @@ def _among(tokens: np.ndarray, some: np.ndarray) -> np.ndarray:
     return some[at] == tokens
 
 
-def _postings(width: int, percent: int, parts: int, frequent):
+def _postings(width: int, percent: int, parts: int, frequent, whole: bool):
     """Packed prefix tokens under the first order, of each distinct set of a batch: dealt by token, common ones by set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +152,7 @@ def _postings(width: int, percent: int, parts: int, frequent):
                 sizes, ids = _set_ids(tokens, rows, n)
                 fresh = np.array([x not in every and not every.add(x) for x in ids.tolist()], bool) & (sizes > 0)
                 bounds = np.searchsorted(rows, np.arange(n))
-                keep = (np.arange(len(rows)) - bounds[rows] < _prefix(sizes, percent)[rows]) & fresh[rows]
+                keep = (np.arange(len(rows)) - bounds[rows] < (sizes if whole else _prefix(sizes, percent))[rows]) & fresh[rows]
                 found.append((tokens[keep], ids[rows[keep]], sizes[rows[keep]].astype(np.uint32)))
             if not found:
                 continue
@@ -206,7 +211,7 @@ def _count(blocks: int):
     return common.tidy(run)
 
 
-def _rarest(percent: int, parts: int):
+def _rarest(percent: int, parts: int, whole: bool):
     """Each set's rarest prefix tokens.
 
     Of the sets of a block with the same token and size class one goes on,
@@ -224,7 +229,7 @@ def _rarest(percent: int, parts: int):
         tokens, sets, sizes = tokens[fresh], sets[fresh], sizes[fresh]
         _, first, whose, have = np.unique(sets, return_index=True, return_inverse=True, return_counts=True)
         own = sizes[first]
-        alone = _prefix(own, percent) - have  # prefix tokens that no other set has are the rarest
+        alone = (own if whole else _prefix(own, percent)) - have  # prefix tokens that no other set has are the rarest
         wanted = _missable(own, percent) + 1 - alone
         keep = np.arange(len(sets)) - first[whose] < wanted[whose]
         tokens, sets, kinds = tokens[keep], sets[keep], _size_class(sizes[keep], percent).astype(np.uint16)
@@ -368,28 +373,39 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     base = docs.select(F.col(id_col).cast("long").alias("id"), _row_key(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
     sizes = common.cut(base.mapInArrow(_scan(width), "id long, h long, n_shingles long, set_id long"))
     rows, shingles = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    parts = common.parts_for(shingles * min(1.0, (100 - percent) / 50) * 16, spark)
     frequent = spark.sparkContext.broadcast(_common_tokens(base, rows, width, percent))
 
-    dealt = base.select("text").mapInArrow(_postings(width, percent, parts, frequent), "part int, kind int, tokens binary, fresh binary, sets binary, sizes binary")
-    counted = dealt.groupBy("part").applyInArrow(_count(parts), "block int, tokens binary, sets binary, sizes binary, counts binary")
-    rare = counted.groupBy("block").applyInArrow(_rarest(percent, parts), "part int, tokens binary, kinds binary, sets binary, src binary, dst binary")
-    classes = common.components(rare.groupBy("part").applyInArrow(_prefix_links, "src long, dst long"))
-    classes = classes.unionByName(classes.select(F.col("root").alias("node"), "root").distinct())
+    def classes(texts: DataFrame, tokens: int, whole: bool) -> DataFrame:
+        """(set_id, root) of the sets that prefix tokens, rarest first, hold together; prefixes are of 2c tokens or of all."""
+        parts = common.parts_for(tokens * (1.0 if whole else min(1.0, (100 - percent) / 50)) * 16, spark)
+        dealt = texts.mapInArrow(_postings(width, percent, parts, frequent, whole), "part int, kind int, tokens binary, fresh binary, sets binary, sizes binary")
+        counted = dealt.groupBy("part").applyInArrow(_count(parts), "block int, tokens binary, sets binary, sizes binary, counts binary")
+        rare = counted.groupBy("block").applyInArrow(_rarest(percent, parts, whole), "part int, tokens binary, kinds binary, sets binary, src binary, dst binary")
+        found = common.components(rare.groupBy("part").applyInArrow(_prefix_links, "src long, dst long"))
+        return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "set_id")
+
+    def sized(members: DataFrame) -> DataFrame:
+        """Members with the blocks of their class, where it is too large for a task, and their own."""
+        blocks = F.ceil(F.greatest(F.sum("n") / F.lit(BLOCK_SHINGLES), F.count(F.lit(1)) / F.lit(BLOCK_SETS)))
+        large = members.groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1")
+        return members.join(large, "root", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("set_id"), "blocks"), F.lit(0)).cast("int"))
 
     sets = sizes.where("n_shingles > 0").groupBy("set_id").agg(F.min("h").alias("h"), F.first("n_shingles").alias("n"))
-    members = sets.join(classes.withColumnRenamed("node", "set_id"), "set_id")
-    blocks = F.ceil(F.greatest(F.sum("n") / F.lit(BLOCK_SHINGLES), F.count(F.lit(1)) / F.lit(BLOCK_SETS)))
-    large = common.cut(members.groupBy("root").agg(blocks.alias("blocks"), F.sum("n").alias("weight")).where("blocks > 1"))
-    members = common.cut(members.join(large.drop("weight"), "root", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("set_id"), "blocks"), F.lit(0)).cast("int")))
-    weight = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tasks = common.parts_for(8 * weight, spark)  # a shingle for a word of some eight bytes
-
+    members = common.cut(sized(sets.join(classes(base.select("text"), shingles, False), "set_id")))
     # one row of each text that is wanted, found before texts are dealt
-    texts = base.groupBy("h").agg(F.first("text").alias("text")).join(members, "h").select("root", "block", "blocks", "set_id", "text")
-    several = large.count()
-    if several:
-        texts = common.stored(texts, "near-copies")
+    texts = base.groupBy("h").agg(F.first("text").alias("text")).join(members.select("h", "set_id"), "h").select("set_id", "text")
+    of_large = members.where("blocks is not null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if of_large:
+        texts = common.cut(texts)
+        large = members.where("blocks is not null").select("set_id", "h", "n", F.col("root").alias("of"))
+        again = large.join(classes(texts.join(large.select("set_id"), "set_id").select("text"), of_large, True), "set_id")
+        again = sized(again.withColumn("root", F.xxhash64("of", "root")).drop("of"))
+        members = common.cut(members.where("blocks is null").unionByName(again))
+    several = members.where("blocks is not null").limit(1).count() > 0
+    texts = members.join(texts, "set_id").select("root", "block", "blocks", "set_id", "text")
+    weight = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # a shingle for a word of some eight bytes; at least as many parts as a shuffle has, as classes differ in size
+    tasks = max(common.parts_for(8 * weight, spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def links(rows: DataFrame, label: Column, guest: Column) -> DataFrame:
         dealt = rows.select(F.pmod(F.xxhash64("root", "block"), F.lit(tasks)).alias("part"), "root", "block", "set_id", label.alias("label"), guest.alias("guest"), "text")
@@ -398,19 +414,22 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     found = common.cut(links(texts, F.col("set_id"), F.lit(False)))
     if several:
         whole = texts.where("blocks is not null")
-        # a set of each class that a block found; classes with more of these than a block takes go on to the last step as they are
-        leads = whole.join(found.select(F.col("src").alias("set_id")).distinct(), "set_id", "left_anti")
-        few = leads.groupBy("root").agg(F.count(F.lit(1)).alias("leads")).where(F.col("leads") <= BLOCK_SETS)
-        found = common.cut(found.unionByName(links(leads.join(few, "root", "left_semi").withColumn("block", F.lit(-1)), F.col("set_id"), F.lit(False))))
-        joined = common.components(found)
-        told = whole.select("root", "set_id").join(joined, whole.set_id == joined.node, "left").select(whole.root.alias("of"), "set_id", F.coalesce(joined.root, "set_id").alias("label"))
-        told = common.cut(told)
+        mine = members.where("blocks is not null").select("root", "set_id")
+        # a set of each class that a block found; classes with more of these than the last step takes at once go there as they are
+        leads = mine.join(found.select(F.col("src").alias("set_id")).distinct(), "set_id", "left_anti")
+        few = leads.groupBy("root").agg(F.count(F.lit(1)).alias("leads")).where(F.col("leads") <= MERGED * BLOCK_SETS).select("root")
+        chosen = leads.join(few, "root", "left_semi").select("set_id")
+        found = common.cut(found.unionByName(links(whole.join(chosen, "set_id", "left_semi").withColumn("block", F.lit(-1)), F.col("set_id"), F.lit(False))))
+        joined = common.components(found).select(F.col("node").alias("set_id"), F.col("root").alias("label"))
+        told = common.cut(mine.join(joined, "set_id", "left").select(F.col("root").alias("of"), "set_id", F.coalesce("label", "set_id").alias("label")))
         most = told.groupBy("of", "label").count().groupBy("of").agg(F.max_by("label", F.struct("count", "label")).alias("label"))
         rest = common.cut(told.join(most, ["of", "label"], "left_anti"))
         if rest.limit(1).count():
-            # classes with sets outside their largest part: these meet every block
-            native = whole.join(rest.select(F.col("of").alias("root")).distinct(), "root", "left_semi").join(told.select("set_id", "label"), "set_id").withColumn("guest", F.lit(False))
-            guests = whole.join(rest.select("set_id", "label"), "set_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))).withColumn("guest", F.lit(True))
+            # classes with sets outside their largest part: these meet all others
+            merged = whole.withColumn("block", F.floor(F.col("block") / MERGED).cast("int"))
+            native = merged.join(rest.select(F.col("of").alias("root")).distinct(), "root", "left_semi").join(told.select("set_id", "label"), "set_id").withColumn("guest", F.lit(False))
+            there = F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / MERGED).cast("int"))
+            guests = merged.join(rest.select("set_id", "label"), "set_id").withColumn("block", F.explode(there)).withColumn("guest", F.lit(True))
             found = found.unionByName(links(native.unionByName(guests), F.col("label"), F.col("guest")))
     # rows that share an id are one node
     twice = sizes.where("id is not null and n_shingles > 0").groupBy("id").agg(F.min("set_id").alias("dst"), F.max("set_id").alias("other")).where("dst <> other")

@@ -187,12 +187,15 @@ def identify(docs: DataFrame, text: Column, declared: Column | None = None, host
     """``docs``, or its columns ``keep``, with __language, __confidence (its posterior), __text_language and __accepted.
 
     ``host`` is a name such as an address has; its last two labels are its
-    domain and the last its suffix.  A name without dots has neither.  Each
-    text is scored once, into a table in the shared folder.  See
-    ``result_names`` for inputs that have such columns.
+    domain and the last its suffix.  A name without dots has neither.  With
+    ``keep`` each text is scored once, its numbers going into a checkpoint;
+    without, texts are scored for the counts and for the result, as writing
+    them down would cost the disk their size.  See ``result_names`` for
+    inputs that have such columns.
     """
     common.lean(docs.sparkSession)
-    keep = docs.columns if keep is None else list(keep)
+    narrow = keep is not None
+    keep = list(keep) if narrow else docs.columns
     none = F.lit(None).cast("string")
     declared = F.lower(F.split(F.coalesce(declared, none), "[-_]")[0]) if declared is not None else none
     host = F.lower(host) if host is not None else none
@@ -206,7 +209,7 @@ def identify(docs: DataFrame, text: Column, declared: Column | None = None, host
         "__suffix": F.when(F.size(labels) > 1, F.element_at(labels, -1)),
         "__best": _best(F.col("__text")),
     })
-    found = common.stored(known, "scores")
+    found = common.cut(known) if narrow else known
 
     # one small table of all rows, from which all counts follow
     cells = common.cut(found.where("__best is not null").groupBy("__host", "__domain", "__suffix", "__declared", "__best").agg(F.count(F.lit(1)).alias("n")))
@@ -233,7 +236,8 @@ def identify(docs: DataFrame, text: Column, declared: Column | None = None, host
     total = _numbers(every)
     says = level(["__declared"], "c").select("__declared", F.zip_with("c", total, lambda c, t: F.log((c + 0.5) / (t + 0.5 * (n + 1)))).alias("__says"))
 
-    out = found.join(hosts.unionByName(lone), "__host", "left").join(says, "__declared", "left")
+    hosts = common.small(common.cut(hosts.unionByName(lone)), n)
+    out = found.join(hosts, "__host", "left").join(common.small(common.cut(says), n), "__declared", "left")
     prior = F.transform(F.coalesce("__prior", root), lambda p: F.log(p))
     flat = F.array_repeat(F.lit(0.0), n)
     score = F.zip_with(F.zip_with(F.coalesce("__text", flat), prior, lambda a, b: a + b), F.coalesce("__says", flat), lambda a, b: a + b)
