@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import inspect
 import math
 import re
@@ -55,6 +56,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner see what is no longer used: shuffle files and checkpoints of rounds gone by."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` computed once as a compressed table in the shared folder: for what is wide."""
     path = shared_folder(df.sparkSession, name)
@@ -235,7 +242,7 @@ def small(df: DataFrame, weight: int = 1) -> DataFrame:
 
 
 #: A node with this share of all links, and so many of them, is a hub: there can be two thousand at most.
-HUB, HUB_LINKS = 1000, 1000
+HUB, HUB_LINKS = 1000, 200
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -271,9 +278,11 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     e = cut(links.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     before = state(e)
-    for _ in range(most_rounds):
+    for n in range(most_rounds):
         if not before[0]:
             break
+        if n % 2 == 0:
+            release(e.sparkSession)
         e = cut(small_star(large_star(e, before[0])))
         now = state(e)
         if now == before:

@@ -6,8 +6,8 @@ may be shorter.  Full pieces are sequences by themselves.  The others are
 dealt one after the other into bins, and local search alone makes that plain
 deal good: documents of one of the emptiest bins move to the fullest bin that
 has room, or one or two of them change place with a shorter one, so that the
-sum of squared fills rises with every step, until bins are empty and no step
-is left, or the room of all bins is less than one more bin would give.
+sum of squared fills rises with every step, until no step is left that empties
+bins, or the room of all bins is less than one bin.
 
 Pieces are dealt by hash to groups of some thousands, which pack on their
 own; what is left in badly filled bins of all groups is packed again.
@@ -44,6 +44,8 @@ from formspark.llm.textscan import hashes_of, mix64, pieces, running_sums
 REMEMBERED = 200_000
 #: Pieces of a group that is packed in one task.
 GROUP = 8192
+#: Bins that give, for each that could be saved; all others take.
+GIVERS = 4
 #: A bin filled less is emptied and packed again with those of other groups.
 WELL_FILLED = 0.97
 
@@ -263,30 +265,23 @@ class _Search:
 
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
-    """Bins after steps that raise the sum of squared fills, until none is left; never more of them.
+    """Bins after steps that raise the sum of squared fills; never more of them.
 
-    The emptiest bin gives as long as it can, then the next emptiest, and so
-    on, and again while anything changed.  It may end sooner only where no
-    bin can be saved: the room of all but the emptiest is less than that holds.
+    The room of all bins says how many could be saved at most.  GIVERS times
+    as many of the emptiest, and GIVERS more, give as long as they can, the
+    emptiest first; and again while anything changed and a bin could be saved.
     """
     search = _Search(bins, lengths, size)
-
-    def done(k: int) -> bool:
-        return search.free() - search.gap[k] < size - search.gap[k]
-
     changed = True
     while changed:
         changed = False
-        order = sorted((k for k, b in enumerate(search.bins) if b and search.gap[k]), key=lambda k: (-search.gap[k], k))
-        if len(order) < 2 or done(order[0]):
+        saved = search.free() // size  # bins that could be saved at most
+        if not saved:
             break
-        for giver in order:
+        order = sorted((k for k, b in enumerate(search.bins) if b and search.gap[k]), key=lambda k: (-search.gap[k], k))
+        for giver in order[: GIVERS * (saved + 1)]:
             while search.bins[giver] and search.gap[giver] and search.step(giver):
                 changed = True
-            if not search.bins[giver]:
-                emptiest = max((g for g in range(size, 0, -1) if search.by_gap[g]), default=0)
-                if not emptiest or done(min(search.by_gap[emptiest])):
-                    return [b for b in search.bins if b]
     return [b for b in search.bins if b]
 
 
