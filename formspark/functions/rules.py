@@ -65,3 +65,17 @@ BLANK_LABELS = [
     (r"\bas\s+on$", "Undertaking - As on Date"),
     (r"^i$", "Undertaking - Name of Applicant"),
 ]
+
+# The sentences that checks across fields give; %s is what was found.
+ISSUES = {
+    "expiry": "Date of Expiry is not after Date of Issue",
+    "birth": "Date of Birth is not before Date of Issue",
+    "year": "Date of Birth year %s looks implausible",
+    "gender": "CNIC ends in %s, which means %s, but Gender is ticked %s",
+    "title": "Title of Account '%s' matches neither First nor Last name",
+}
+LAST_BIRTH_YEAR = 2015
+
+# The columns of a CSV result, in order, and the section of fields without one.
+CSV_COLUMNS = ["page", "section", "group", "label", "kind", "type", "value", "raw", "source", "model", "confidence", "valid", "needs_review", "note", "field"]
+NO_SECTION = "(unsectioned)"

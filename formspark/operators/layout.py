@@ -92,9 +92,20 @@ def numbered_ids(df: DataFrame, base: Column, order: list[str], out: str = "id")
 
 
 def numbered_labels(df: DataFrame, keys: list[str], label: str, order: list[str], out: str = "name") -> DataFrame:
-    """label, label (2), label (3) .. in order within the keys."""
-    n = F.row_number().over(Window.partitionBy(*keys, label).orderBy(*order))
-    return df.withColumn("__n", n).withColumn(out, F.when(F.col("__n") == 1, F.col(label)).otherwise(F.format_string("%s (%d)", F.col(label), F.col("__n")))).drop("__n")
+    """Each label, in order, or label (2), label (3) .. : the first of these that its group doesn't have yet.
+
+    A group is a form's section, so the names so far are one array.
+    """
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    numbered = df.withColumn("__n", n)
+
+    def add(names: Column, one: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(1), F.size(names) + 1), lambda i: F.when(i == 1, one).otherwise(F.concat(one, F.lit(" ("), i.cast("string"), F.lit(")"))))
+        return F.concat(names, F.slice(F.filter(tries, lambda x: ~F.array_contains(names, x)), 1, 1))
+
+    labels = F.transform(F.sort_array(F.collect_list(F.struct("__n", F.col(label).alias("l")))), lambda x: x["l"])
+    names = numbered.groupBy(*keys).agg(F.aggregate(labels, F.array().cast("array<string>"), add).alias("__names"))
+    return numbered.join(names, keys).withColumn(out, F.element_at("__names", F.col("__n"))).drop("__n", "__names")
 
 
 def batches(df: DataFrame, keys: list[str], order: list[str], size: int, out: str = "batch") -> DataFrame:

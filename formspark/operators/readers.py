@@ -76,11 +76,14 @@ def read_pages(items: DataFrame, reader: Reader, keys: tuple[str, ...] = ("doc",
     return batches(items, list(keys), ["ordinal"], size).groupBy(*keys, "batch").applyInPandas(call, shape)
 
 
-def run(items: DataFrame, cache: DataFrame, reader: Reader, second: Reader | None = None) -> DataFrame:
-    """The cache with what was missing read, structured fields read twice, and arbitration applied.
+def run(items: DataFrame, cache: DataFrame, reader: Reader, second: Reader | None = None, retry: Reader | None = None) -> DataFrame:
+    """The cache with what was missing read, structured fields read twice, arbitration applied, and doubtful values read again.
 
     items(doc, page, field, label, type, ordinal, ink_px, baseline_px); fields
-    without ink are settled without a reader.
+    without ink are settled without a reader.  With ``retry``, on pages where
+    something was missing, what has no value, an invalid one or one that the
+    ink contradicts is read again, structured fields by ``second`` if there is
+    one; a further value counts if it is valid or the first.
     """
     todo = records.unread(items, cache, ["doc", "field"])
     blank = todo.where(~records.needs_reader(F.col("ink_px"))).select("doc", "page", "field", F.lit("").alias("value"), F.lit("ink-gate").alias("source"), F.lit("").alias("model"))
@@ -94,4 +97,23 @@ def run(items: DataFrame, cache: DataFrame, reader: Reader, second: Reader | Non
         swept = records.sweep(both, "first", "second", "type")
         swept = swept.select("doc", "page", "field", "value", "source", F.when(F.col("source") == "ocr-sweep", F.col("model2")).otherwise(F.col("model")).alias("model"), "disputed")
         fresh = fresh.join(swept.select("doc", "field"), ["doc", "field"], "left_anti").unionByName(swept)
-    return cache.unionByName(fresh, allowMissingColumns=True)
+    known = cache.unionByName(fresh, allowMissingColumns=True)
+    return known if retry is None else reread(items.join(todo.select("doc", "page").distinct(), ["doc", "page"], "left_semi"), known, retry, second)
+
+
+def reread(items: DataFrame, known: DataFrame, reader: Reader, second: Reader | None = None) -> DataFrame:
+    """``known`` with values that can't be right read once more; see ``run``."""
+    # readers are called once: what they said is kept, and what is asked next
+    known = known.persist()
+    asked = items.join(known.select("doc", "field", F.col("value").alias("__first"), F.col("source").alias("__from")), ["doc", "field"], "left")
+    asked = asked.withColumns({"__found": records.assess(F.col("__first"), F.col("type")), "__verdict": records.ink_verdict(F.col("ink_px"), F.col("baseline_px"))})
+    reason = records.retry_reason(F.col("__from").isNotNull(), F.coalesce("__from", F.lit("")), F.col("__found"), F.col("__verdict"))
+    bad = asked.withColumn("reason", reason).where("reason is not null").drop("__found", "__verdict", "__from").persist()
+    special = F.col("type").isin(records.rules.READER_TYPES) if second is not None else F.lit(False)
+    again = read_pages(bad.where(~special), reader)
+    if second is not None:
+        again = again.unionByName(read_pages(bad.where(special), second))
+    again = again.withColumnsRenamed({"value": "second", "source": "__s"}).join(bad.select("doc", "field", "type", "__first"), ["doc", "field"]).persist()
+    taken = again.where(records.retry_takes(F.col("second"), F.col("__first"), records.assess(F.col("second"), F.col("type"))))
+    taken = taken.select("doc", "page", "field", F.col("second").alias("value"), F.lit("retry").alias("source"), "model", F.lit(False).alias("disputed"))
+    return known.join(taken.select("doc", "field"), ["doc", "field"], "left_anti").unionByName(taken, allowMissingColumns=True)

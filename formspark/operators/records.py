@@ -36,9 +36,16 @@ def page_problems(inliers: Column, coverage: Column, offset: Column) -> Column:
 
 
 def best_template(df: DataFrame, keys: list[str], inliers: str, template: str, preferred: str) -> DataFrame:
-    """The template with most inliers for each scan; the preferred one wins ties, then the smallest."""
-    order = F.struct(F.col(inliers), (F.col(template) == F.col(preferred)).cast("int").alias("p"), (-F.col(template)).alias("t"))
-    return df.groupBy(*keys).agg(F.max_by(template, order).alias("template"), F.max(inliers).alias("inliers"))
+    """(keys, template, inliers, searched): the preferred template if it has MIN_INLIERS, else that with most.
+
+    Page order is trusted where it holds; a search's ties go to the preferred
+    template, then to the smallest.
+    """
+    own = F.col(template) == F.col(preferred)
+    order = F.struct(F.col(inliers), own.cast("int").alias("p"), (-F.col(template)).alias("t"))
+    best = df.groupBy(*keys).agg(F.max(F.when(own, F.col(inliers))).alias("__own"), F.max(F.when(own, F.col(template))).alias("__preferred"), F.max_by(template, order).alias("__best"), F.max(inliers).alias("__most"))
+    holds = F.coalesce(F.col("__own") >= rules.MIN_INLIERS, F.lit(False))
+    return best.select(*keys, F.when(holds, F.col("__preferred")).otherwise(F.col("__best")).alias("template"), F.when(holds, F.col("__own")).otherwise(F.col("__most")).alias("inliers"), (~holds).alias("searched"))
 
 
 def claims(df: DataFrame, target: str, order: list[str]) -> DataFrame:
@@ -142,53 +149,126 @@ def needs_review(level: Column, valid: Column, problems: Column) -> Column:
     return (level == "low") | ~valid | (F.size(problems) > 0)
 
 
-def assemble(fields: DataFrame, index: DataFrame, reads: DataFrame, pages: DataFrame) -> DataFrame:
-    """One record for each readable field with evidence.
+def assemble(fields: DataFrame, index: DataFrame, reads: DataFrame, pages: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
+    """One record for each readable field with evidence and each measured tick box.
 
-    fields(doc, field, page, section, label, kind, type, ordinal), index(doc,
-    field, ink_hint, ink_px, baseline_px), reads(doc, field, value, source,
-    model, disputed), pages(doc, page, problems).  Fields without evidence
-    drop out; readings and pages may be missing.
+    fields(doc, field, page, section, label, kind, type, ordinal [, group,
+    table, continuation_of, select_mode]), index(doc, field, ink_hint, ink_px,
+    baseline_px), reads(doc, field, value, source, model, disputed), pages(doc,
+    page, problems), ticks(doc, field, checked, score, confidence
+    [, select_mode]).  A text field's group is its table.  Fields without
+    evidence and boxes without a measurement drop out; readings and pages may
+    be missing.
     """
-    df = fields.join(index, ["doc", "field"]).join(reads.withColumnRenamed("value", "reading"), ["doc", "field"], "left").join(pages, ["doc", "page"], "left")
+    for c in ("group", "table", "continuation_of", "select_mode"):
+        if c not in fields.columns:
+            fields = fields.withColumn(c, F.lit(""))
+    pages = pages.select("doc", "page", "problems")
+    tick = F.col("kind") == "checkbox"
+    df = fields.where(~tick).join(index, ["doc", "field"]).join(reads.withColumnRenamed("value", "reading"), ["doc", "field"], "left").join(pages, ["doc", "page"], "left")
     df = df.withColumns({"found": assess(F.col("reading"), F.col("type")), "source": source_name(F.col("source")), "problems": F.coalesce("problems", F.array().cast("array<string>"))})
     level = confidence(F.col("source"), F.col("found"), F.coalesce("disputed", F.lit(False)), F.col("ink_hint"), ink_verdict(F.col("ink_px"), F.col("baseline_px")))
     df = df.withColumn("__level", level)
-    return df.select(
-        "doc", "field", "page", "section", "label", "kind", "type", "ordinal", F.col("found.value").alias("value"), F.col("found.raw").alias("raw_text"), "source", F.coalesce("model", F.lit("")).alias("model"),
-        F.col("__level.confidence").alias("confidence"), F.col("found.valid").alias("valid"), F.col("__level.note").alias("note"), "ink_hint", "ink_px", F.col("problems").alias("page_problems"),
-        needs_review(F.col("__level.confidence"), F.col("found.valid"), F.col("problems")).alias("needs_review"),
+    records = df.select(
+        "doc", "field", "page", "section", "label", F.col("table").alias("group"), "kind", "type", "ordinal", F.col("found.value").alias("value"), F.coalesce("reading", F.lit("")).alias("raw"), "source", F.coalesce("model", F.lit("")).alias("model"),
+        F.col("__level.confidence").alias("confidence"), F.col("found.valid").alias("valid"), F.col("__level.note").alias("note"), F.col("ink_hint").cast("string").alias("ink_hint"), F.col("ink_px").cast("long").alias("ink_px"), "continuation_of", F.lit("").alias("select_mode"),
+        F.col("problems").alias("page_problems"), needs_review(F.col("__level.confidence"), F.col("found.valid"), F.col("problems")).alias("needs_review"),
     )
+    if ticks is None:
+        return records
+    mode = F.coalesce(F.nullif(F.col("measured_mode"), F.lit("")), F.nullif(F.col("select_mode"), F.lit("")), F.lit("one"))
+    measured = ticks if "select_mode" in ticks.columns else ticks.withColumn("select_mode", F.lit(""))
+    boxes = fields.where(tick).join(measured.withColumnRenamed("select_mode", "measured_mode"), ["doc", "field"]).join(pages, ["doc", "page"], "left")
+    boxes = boxes.withColumn("problems", F.coalesce("problems", F.array().cast("array<string>")))
+    return records.unionByName(boxes.select(
+        "doc", "field", "page", "section", "label", "group", "kind", F.lit("boolean").alias("type"), "ordinal", F.when(F.col("checked"), "true").otherwise("false").alias("value"), F.col("score").cast("string").alias("raw"), F.lit("checkbox-cv").alias("source"), F.lit("").alias("model"),
+        "confidence", F.lit(True).alias("valid"), F.lit("").alias("note"), F.lit(None).cast("string").alias("ink_hint"), F.lit(None).cast("long").alias("ink_px"), F.lit("").alias("continuation_of"), mode.alias("select_mode"),
+        F.col("problems").alias("page_problems"), needs_review(F.col("confidence"), F.lit(True), F.col("problems")).alias("needs_review"),
+    ))
+
+
+def ticked(records: DataFrame) -> DataFrame:
+    """(doc, question, option): the ticked option of each question, the last where there are several."""
+    named = records.where("kind = 'checkbox' and value = 'true'").withColumn("question", F.coalesce(F.nullif(F.col("group"), F.lit("")), F.col("label")))
+    return named.groupBy("doc", "question").agg(F.max_by("label", "ordinal").alias("option"))
 
 
 def cross_check(records: DataFrame, doc: str = "doc") -> DataFrame:
-    """(doc, issue): rules that span fields; records(doc, field, type, value, ordinal), and gender where ticked."""
-    first = lambda cond: F.min_by(F.when(cond, F.col("value")), F.when(cond & F.col("value").isNotNull(), F.col("ordinal")))
+    """(doc, issue): rules that span fields.
+
+    records(doc, field, value, ordinal [, kind, group, label]); tick boxes
+    among them give the gender.  The birth date is that of the first page.
+    """
+    text = records.where("kind <> 'checkbox'") if "kind" in records.columns else records
+    first = lambda cond: F.min_by(F.when(cond, F.col("value")), F.when(cond & (F.coalesce(F.col("value"), F.lit("")) != ""), F.col("ordinal")))
     has = lambda s: F.contains(F.col("field"), F.lit(s))
-    wide = records.groupBy(doc).agg(
-        first(has("date_of_issue")).alias("issue"), first(has("date_of_expiry")).alias("expiry"), first(has("date_of_birth")).alias("birth"), first(F.col("type") == "cnic").alias("cnic"),
-        first(has("gender")).alias("gender"), first(has("title_of_account")).alias("title"), first(has("first_name")).alias("given"), first(has("last_name")).alias("family"),
+    wide = text.groupBy(doc).agg(
+        first(has("date_of_issue")).alias("issue"), first(has("date_of_expiry")).alias("expiry"), first(has("date_of_birth") & has("p1")).alias("birth"), first(has("id_no") | has("cnic")).alias("cnic"),
+        first(has("title_of_account")).alias("title"), first(has("first_name")).alias("given"), first(has("last_name")).alias("family"),
     )
-    return issues(wide, [doc])
+    if "kind" in records.columns:
+        gender = ticked(records.withColumnRenamed(doc, "doc")).where("question = 'Gender'").select(F.col("doc").alias(doc), F.col("option").alias("gender"))
+        return issues(wide.join(gender, doc, "left"), [doc])
+    return issues(wide.withColumn("gender", F.lit(None).cast("string")), [doc])
 
 
 def issues(wide: DataFrame, keys: list[str]) -> DataFrame:
     """The rules of ``cross_check`` on one row a document; a date that isn't one says nothing."""
     day = lambda c: F.try_to_timestamp(F.when(F.length(c) == 8, F.col(c)), F.lit("ddMMyyyy"))
+    letters = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
     issue, expiry, birth = day("issue"), day("expiry"), day("birth")
     last = F.right(F.regexp_replace("cnic", "[^0-9]", ""), F.lit(1))
     implied = F.when(last.isin("1", "3", "5", "7", "9"), "male").when(last != "", "female")
-    named = F.contains(squash(F.col("title")), squash(F.col("given"))) | F.contains(squash(F.col("title")), squash(F.col("family")))
+    gender = F.lower(F.btrim("gender"))
+    named = F.contains(letters("title"), letters("given")) | F.contains(letters("title"), letters("family"))
     rules_ = F.array(
-        F.when(expiry <= issue, "Date of Expiry is not after Date of Issue"),
-        F.when(birth >= issue, "Date of Birth is not before Date of Issue"),
-        F.when(F.year(birth) > 2015, F.concat(F.lit("Date of Birth year "), F.year(birth).cast("string"), F.lit(" looks implausible"))),
-        F.when(F.lower("gender").isin("male", "female") & (implied != F.lower("gender")), F.concat(F.lit("CNIC ends in "), last, F.lit(", which means "), implied)),
-        F.when(F.col("title").isNotNull() & F.col("given").isNotNull() & F.col("family").isNotNull() & ~named, "Title of Account matches neither First nor Last name"),
+        F.when(expiry <= issue, rules.ISSUES["expiry"]),
+        F.when(birth >= issue, rules.ISSUES["birth"]),
+        F.when(F.year(birth) > rules.LAST_BIRTH_YEAR, F.format_string(rules.ISSUES["year"], F.year(birth).cast("string"))),
+        F.when(gender.isin("male", "female") & (implied != gender), F.format_string(rules.ISSUES["gender"], last, implied, F.initcap(gender))),
+        F.when(F.col("title").isNotNull() & F.col("given").isNotNull() & F.col("family").isNotNull() & ~named, F.format_string(rules.ISSUES["title"], F.col("title"))),
     )
     return wide.select(*keys, F.explode(F.array_compact(rules_)).alias("issue"))
 
 
+def form_answers(records: DataFrame) -> DataFrame:
+    """(doc, section, n, name, answer): one row a question of ``assemble``'s records; answer is a list.
+
+    A text answer is one string, with its wrapped lines joined; a tick
+    question has its ticked options.  Text comes first, then tick questions,
+    each in order; a name that its section has already gets a number.
+    """
+    from formspark.operators.layout import numbered_labels
+
+    df = records.withColumn("section", F.coalesce(F.nullif(F.col("section"), F.lit("")), F.lit(rules.NO_SECTION)))
+    text = df.where("kind <> 'checkbox'")
+    own = text.select("doc", F.coalesce(F.nullif(F.col("continuation_of"), F.lit("")), F.col("field")).alias("of"), F.coalesce(F.col("continuation_of"), F.lit("")).alias("wrapped"), "ordinal", F.coalesce("value", F.lit("")).alias("value"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct((F.col("wrapped") != "").alias("later"), "ordinal", "value"))), lambda x: x["value"])
+    joined = own.groupBy("doc", "of").agg(joined_parts(parts).alias("answer"))
+    heads = text.where("coalesce(continuation_of, '') = ''").join(joined.withColumnRenamed("of", "field"), ["doc", "field"]).where("answer <> ''")
+    label = F.when(F.coalesce("group", F.lit("")) != "", F.concat("group", F.lit(" - "), "label")).otherwise(F.col("label"))
+    texts = heads.select("doc", "section", F.lit(0).alias("__late"), F.col("ordinal").cast("long").alias("__at"), label.alias("__label"), F.array("answer").alias("answer"))
+    boxes = df.where("kind = 'checkbox'").withColumn("__label", F.coalesce(F.nullif(F.col("group"), F.lit("")), F.col("label")))
+    picked = F.transform(F.sort_array(F.collect_list(F.when(F.col("value") == "true", F.struct("ordinal", "label")))), lambda x: x["label"])
+    ticks = boxes.groupBy("doc", "section", "__label").agg(F.min("ordinal").cast("long").alias("__at"), picked.alias("answer")).where(F.size("answer") > 0)
+    both = texts.unionByName(ticks.select("doc", "section", F.lit(1).alias("__late"), "__at", "__label", "answer"))
+    named = numbered_labels(both, ["doc", "section"], "__label", ["__late", "__at", "__label"])
+    n = F.row_number().over(Window.partitionBy("doc", "section").orderBy("__late", "__at", "__label"))
+    return named.select("doc", "section", n.cast("long").alias("n"), "name", "answer")
+
+
+def result_documents(records: DataFrame, issues_: DataFrame, alignment: DataFrame) -> DataFrame:
+    """(document, fields, answers, cross_check, alignment): the whole result, a row a document."""
+    one = lambda c: F.transform(c, lambda x: x["v"])
+    fields = records.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("ordinal", "field", F.struct(*[c for c in records.columns if c != "doc"]).alias("v")))).alias("f")).select("doc", one(F.col("f")).alias("fields"))
+    sections = form_answers(records).groupBy("doc", "section").agg(F.sort_array(F.collect_list(F.struct("n", F.struct(F.col("name").alias("key"), F.col("answer").alias("value")).alias("v")))).alias("a"))
+    answers = sections.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("section", F.map_from_entries(one(F.col("a")))))).alias("answers"))
+    found = issues_.groupBy("doc").agg(F.sort_array(F.collect_list("issue")).alias("cross_check"))
+    pages = alignment.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct(*[c for c in alignment.columns if c != "doc"]))).alias("alignment"))
+    out = fields.join(answers, "doc", "left").join(found, "doc", "left").join(pages, "doc", "left")
+    return out.withColumnRenamed("doc", "document").withColumn("cross_check", F.coalesce("cross_check", F.array().cast("array<string>")))
+
+
 def answers_view(df: DataFrame, doc: str, section: str, name: str, value: str, order: str) -> DataFrame:
     """(doc, section, answers): a map from name to value, in order."""
     entries = F.transform(F.sort_array(F.collect_list(F.struct(order, F.struct(F.col(name).alias("k"), F.col(value).alias("v")).alias("e")))), lambda x: x["e"])
@@ -255,3 +335,49 @@ def score_values(truth: DataFrame, got: DataFrame, keys: list[str]) -> DataFrame
 
 def rates(scored: DataFrame, keys: list[str]) -> DataFrame:
     return scored.groupBy(*keys).agg(*[F.count_if(F.col(c)).alias(c) for c in ("exact", "normal", "empty_right", "caught")], F.count(F.lit(1)).alias("total"))
+
+
+def folded_truth(truth: DataFrame, got: DataFrame, fields: DataFrame) -> DataFrame:
+    """truth(doc, field, want) with wrapped answers that were read as one folded into their first line.
+
+    A line goes into its parent's truth where the parent was read and the line
+    itself was not; fields(doc, field, continuation_of, ordinal) say which
+    lines go on, got(doc, field, value) what was read.
+    """
+    read = got.select("doc", "field", (F.coalesce("value", F.lit("")) != "").alias("__read"))
+    lines = fields.where("coalesce(continuation_of, '') <> ''").join(truth, ["doc", "field"]).join(read, ["doc", "field"], "left")
+    parents = truth.select("doc", F.col("field").alias("continuation_of")).join(read.withColumnsRenamed({"field": "continuation_of", "__read": "__parent"}), ["doc", "continuation_of"])
+    gone = lines.join(parents, ["doc", "continuation_of"]).where("__parent and not coalesce(__read, false)")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "want"))), lambda x: x["want"])
+    more = gone.groupBy("doc", F.col("continuation_of").alias("field")).agg(parts.alias("__more"))
+    kept = truth.join(gone.select("doc", "field"), ["doc", "field"], "left_anti").join(more, ["doc", "field"], "left")
+    return kept.withColumn("want", F.when(F.col("__more").isNotNull(), joined_parts(F.concat(F.array("want"), F.col("__more")))).otherwise(F.col("want"))).drop("__more")
+
+
+# ---- reports
+
+
+def kind_counts(df: DataFrame, keys: list[str], kind: str, kinds: list[str], total: str | None = None) -> DataFrame:
+    """A row of counts by kind for each key and, where ``total`` names it, one for all."""
+    counts = [F.count_if(F.col(kind) == k).alias(k) for k in kinds]
+    out = df.groupBy(*keys).agg(*counts)
+    return out if total is None else out.unionByName(df.agg(*counts).select(F.lit(total).alias(keys[0]), *(F.lit(None).cast(dict(df.dtypes)[k]).alias(k) for k in keys[1:]), *kinds))
+
+
+def section_summary(df: DataFrame, keys: list[str], filled: Column, flagged: Column) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(filled).alias("filled"), F.count_if(flagged).alias("flagged"))
+
+
+def review_list(df: DataFrame, flagged: Column, order: list[str], most: int = 40) -> DataFrame:
+    """The first flagged records, for a report."""
+    return df.where(flagged).orderBy(*order).limit(most)
+
+
+def without(df: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that the others lack: truth that nothing was read for, ticks that truth doesn't have."""
+    return df.join(others.select(*keys).distinct(), keys, "left_anti")
+
+
+def answers_csv(records: DataFrame) -> DataFrame:
+    """The columns of a CSV result, null where records lack one, in (page, field) order."""
+    return records.orderBy("page", "field").select(*[F.col(c) if c in records.columns else F.lit(None).cast("string").alias(c) for c in rules.CSV_COLUMNS])

@@ -69,10 +69,16 @@ def q_page_gate(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", F.array_join(p, "; ").alias("problems"), (F.size(p) == 0).alias("ok"))
 
 
-@query("""SELECT l_orderkey, l_partkey AS template, CAST(floor(l_quantity / 10) AS BIGINT) AS inliers FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY floor(l_quantity / 10) DESC, CAST(l_partkey = l_orderkey % 2000 AS INT) DESC, l_partkey) AS n FROM lineitem) WHERE n = 1""")
+@query("""WITH p AS (SELECT l_orderkey, l_partkey, CAST(floor(l_quantity) AS BIGINT) AS inliers, min(l_partkey) OVER (PARTITION BY l_orderkey) AS preferred FROM lineitem),
+    o AS (SELECT l_orderkey, preferred, max(inliers) FILTER (l_partkey = preferred) AS own FROM p GROUP BY ALL),
+    b AS (SELECT l_orderkey, l_partkey, inliers, row_number() OVER (PARTITION BY l_orderkey ORDER BY inliers DESC, CAST(l_partkey = preferred AS INT) DESC, l_partkey) AS n FROM p)
+    SELECT b.l_orderkey, CASE WHEN own >= 25 THEN preferred ELSE l_partkey END AS template, CASE WHEN own >= 25 THEN own ELSE inliers END AS inliers, own < 25 AS searched FROM b JOIN o ON o.l_orderkey = b.l_orderkey WHERE n = 1""")
 def q_page_match(t: Tables) -> DataFrame:
-    probes = t.lineitem.select("l_orderkey", "l_partkey", F.floor(F.col("l_quantity") / 10).alias("inliers"), (F.col("l_orderkey") % 2000).alias("preferred"))
-    return records.best_template(probes, ["l_orderkey"], "inliers", "l_partkey", "preferred").select("l_orderkey", "template", "inliers")
+    from pyspark.sql import Window
+
+    preferred = F.min("l_partkey").over(Window.partitionBy("l_orderkey"))
+    probes = t.lineitem.select("l_orderkey", "l_partkey", F.floor(F.col("l_quantity")).alias("inliers"), preferred.alias("preferred"))
+    return records.best_template(probes, ["l_orderkey"], "inliers", "l_partkey", "preferred")
 
 
 @query("SELECT o_orderkey, o_custkey, row_number() OVER w AS claim, first_value(o_orderkey) OVER w AS first_claimer, row_number() OVER w > 1 AS duplicate FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
@@ -164,16 +170,55 @@ def q_assemble(t: Tables) -> DataFrame:
     return _assembled(t).select(F.col("field").alias("o_orderkey"), "page", "value", "source", "confidence", "valid", "needs_review")
 
 
-@query("""WITH d AS (SELECT o_orderkey, min(o_orderdate) AS issue, max(l_shipdate) AS expiry, min(l_shipdate) AS birth, lpad(CAST(o_orderkey AS VARCHAR), 13, '3') AS cnic, CASE o_orderkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'Female' ELSE 'other' END AS gender FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)
-    SELECT o_orderkey, unnest(list_filter([CASE WHEN CAST(expiry AS DATE) <= CAST(issue AS DATE) THEN 'Date of Expiry is not after Date of Issue' END, CASE WHEN CAST(birth AS DATE) >= CAST(issue AS DATE) THEN 'Date of Birth is not before Date of Issue' END,
-        CASE WHEN year(birth) > 2015 THEN 'Date of Birth year ' || year(birth) || ' looks implausible' END,
-        CASE WHEN o_orderkey % 3 < 2 AND lower(gender) <> CASE WHEN o_orderkey % 2 = 1 THEN 'male' ELSE 'female' END THEN 'CNIC ends in ' || o_orderkey % 10 || ', which means ' || CASE WHEN o_orderkey % 2 = 1 THEN 'male' ELSE 'female' END END], lambda x: x IS NOT NULL)) AS issue FROM d""")
+@query("""WITH d AS (SELECT o_orderkey, min(o_orderdate) AS issue, max(l_shipdate) AS expiry, min(l_shipdate) AS birth, any_value(c_name) AS title FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY o_orderkey)
+    SELECT o_orderkey, unnest(list_filter([CASE WHEN CAST(expiry AS DATE) <= CAST(issue AS DATE) THEN 'Date of Expiry is not after Date of Issue' END, CASE WHEN o_orderkey % 4 > 0 AND CAST(birth AS DATE) >= CAST(issue AS DATE) THEN 'Date of Birth is not before Date of Issue' END,
+        CASE WHEN o_orderkey % 4 > 0 AND year(birth) > 2015 THEN 'Date of Birth year ' || year(birth) || ' looks implausible' END,
+        CASE WHEN o_orderkey % 3 < 2 AND (o_orderkey % 3 = 0) <> (o_orderkey % 2 = 1) THEN 'CNIC ends in ' || o_orderkey % 10 || ', which means ' || CASE WHEN o_orderkey % 2 = 1 THEN 'male' ELSE 'female' END || ', but Gender is ticked ' || CASE WHEN o_orderkey % 3 = 0 THEN 'Male' ELSE 'Female' END END,
+        CASE WHEN o_orderkey % 5 <> 0 THEN 'Title of Account ' || chr(39) || title || chr(39) || ' matches neither First nor Last name' END], lambda x: x IS NOT NULL)) AS issue FROM d""")
 def q_cross_check(t: Tables) -> DataFrame:
+    """Orders as forms: dates, an identity number, names and two tick boxes; one birth date in four isn't on page one."""
     day = lambda c: F.date_format(c, "ddMMyyyy")
-    joined = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(day(F.min("o_orderdate")).alias("issue"), day(F.max("l_shipdate")).alias("expiry"), day(F.min("l_shipdate")).alias("birth"))
-    gender = F.when(F.col("o_orderkey") % 3 == 0, "male").when(F.col("o_orderkey") % 3 == 1, "Female").otherwise("other")
-    wide = joined.withColumns({"cnic": F.lpad(F.col("o_orderkey").cast("string"), 13, "3"), "gender": gender, "title": F.lit(None).cast("string"), "given": F.lit(None).cast("string"), "family": F.lit(None).cast("string")})
-    return records.issues(wide, ["o_orderkey"])
+    wide = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    wide = wide.groupBy("o_orderkey").agg(day(F.min("o_orderdate")).alias("issue"), day(F.max("l_shipdate")).alias("expiry"), day(F.min("l_shipdate")).alias("birth"), F.min("c_name").alias("title"))
+    key = F.col("o_orderkey")
+
+    def row(n: int, field, value, kind: str = "text", label: str = "", group: str = ""):  # noqa: ANN001, ANN202
+        field = F.lit(field) if isinstance(field, str) else field
+        return F.struct(F.lit(n).alias("ordinal"), field.alias("field"), value.alias("value"), F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.lit(group).alias("group"))
+
+    rows = F.array(
+        row(1, "p1_date_of_issue", F.col("issue")), row(2, "p1_date_of_expiry", F.col("expiry")), row(3, F.concat(F.when(key % 4 > 0, "p1").otherwise("p2"), F.lit("_date_of_birth")), F.col("birth")), row(4, "p1_id_no", F.lpad(key.cast("string"), 13, "3")),
+        row(5, "p1_title_of_account", F.col("title")), row(6, "p1_first_name", F.when(key % 5 == 0, "Cust 77").otherwise("Zed 1")), row(7, "p1_last_name", F.lit("Qu 9")),
+        row(8, "p1_gender_male", (key % 3 == 0).cast("string"), "checkbox", "Male", "Gender"), row(9, "p1_gender_female", (key % 3 == 1).cast("string"), "checkbox", "Female", "Gender"),
+    )
+    return records.cross_check(wide.select("o_orderkey", F.explode(rows).alias("r")).select("o_orderkey", "r.*"), "o_orderkey")
+
+
+@query("""SELECT user_id AS doc, 'f' || event_id AS field, CASE WHEN value > 50 THEN 'true' ELSE 'false' END AS value, 'checkbox-cv' AS source, CASE WHEN event_id % 5 = 0 THEN 'low' ELSE 'high' END AS confidence, event_type AS "group", CASE WHEN event_id % 2 = 0 THEN 'many' ELSE 'one' END AS select_mode,
+    event_id % 5 = 0 OR event_id % 3 = 2 AS needs_review FROM events WHERE value > 5""")
+def q_assemble_ticks(t: Tables) -> DataFrame:
+    key = [F.col("user_id").alias("doc"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("field")]
+    page = (F.col("event_id") % 3).alias("page")
+    fields = t.events.select(*key, page, F.lit("s").alias("section"), F.col("event_type").alias("label"), F.lit("checkbox").alias("kind"), F.lit("").alias("type"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("group"), F.when(F.col("event_id") % 2 == 0, "many").otherwise("").alias("select_mode"))
+    ticks = t.events.where("value > 5").select(*key, (F.col("value") > 50).alias("checked"), F.col("value").alias("score"), F.when(F.col("event_id") % 5 == 0, "low").otherwise("high").alias("confidence"))
+    index = t.spark.createDataFrame([], "doc bigint, field string, ink_hint string, ink_px bigint, baseline_px bigint")
+    reads = t.spark.createDataFrame([], "doc bigint, field string, value string, source string, model string, disputed boolean")
+    pages = t.events.where("event_id % 3 = 2").select(F.col("user_id").alias("doc"), page, F.array(F.lit("few matches")).alias("problems")).distinct()
+    return records.assemble(fields, index, reads, pages, ticks).select("doc", "field", "value", "source", "confidence", "group", "select_mode", "needs_review")
+
+
+@query("""WITH x AS (SELECT conv_id, turn, text FROM conversations WHERE turn <= 1),
+    w AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS a, max(CASE WHEN turn = 1 THEN text END) AS b FROM x GROUP BY conv_id),
+    f AS (SELECT *, a IS NOT NULL AND b IS NOT NULL AND conv_id % 2 = 0 AND conv_id % 3 = 0 AS fold FROM w)
+    SELECT conv_id AS doc, 'a' AS field, CASE WHEN fold THEN array_to_string(list_filter([trim(rtrim(trim(a), ',')), trim(rtrim(trim(b), ','))], lambda s: s <> ''), ', ') ELSE a END AS want FROM f WHERE a IS NOT NULL
+    UNION ALL SELECT conv_id, 'b', b FROM f WHERE b IS NOT NULL AND NOT fold""")
+def q_folded_truth(t: Tables) -> DataFrame:
+    """First turns as wrapped lines; the second was not read in every third conversation, the first in every other."""
+    names = F.when(F.col("turn") == 0, "a").otherwise("b")
+    lines = t.conversations.where("turn <= 1").groupBy(F.col("conv_id").alias("doc"), names.alias("field")).agg(F.max("text").alias("want")).where("want is not null")
+    got = lines.select("doc", "field", F.when(F.col("field") == "a", F.when(F.col("doc") % 2 == 0, "x").otherwise("")).otherwise(F.when(F.col("doc") % 3 == 0, "").otherwise("y")).alias("value"))
+    fields = lines.select("doc", "field", F.when(F.col("field") == "b", "a").otherwise("").alias("continuation_of"), F.when(F.col("field") == "b", 2).otherwise(1).alias("ordinal"))
+    return records.folded_truth(lines, got, fields)
 
 
 @query("""SELECT user_id, event_type, string_agg(name || '=' || CAST(CAST(value * 100 AS BIGINT) AS VARCHAR), ';' ORDER BY event_id) AS answers FROM (SELECT *, CASE WHEN n = 1 THEN 'a' ELSE 'a (' || n || ')' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events)) GROUP BY user_id, event_type""")
@@ -236,34 +281,35 @@ def q_evaluate_rates(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def q_truth_missing(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id").join(t.labels, "doc_id", "left_anti")
+    return records.without(t.documents.select("doc_id"), t.labels, ["doc_id"])
 
 
 @query("SELECT l.doc_id, quality, toxic FROM labels l WHERE toxic = 1 AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.lang = 'en')")
 def q_spurious(t: Tables) -> DataFrame:
-    return t.labels.where("toxic = 1").join(t.documents.where("lang = 'en'"), "doc_id", "left_anti")
+    return records.without(t.labels.where("toxic = 1"), t.documents.where("lang = 'en'"), ["doc_id"])
 
 
-@query("SELECT o_orderstatus, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority = '2-HIGH') AS high, count(*) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) AS other FROM orders GROUP BY o_orderstatus")
+@query("SELECT coalesce(o_orderstatus, 'TOTAL') AS o_orderstatus, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority = '2-HIGH') AS high, count(*) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) AS other FROM orders GROUP BY GROUPING SETS ((o_orderstatus), ())")
 def q_kind_pivot(t: Tables) -> DataFrame:
     kind = F.when(F.col("o_orderpriority") == "1-URGENT", "urgent").when(F.col("o_orderpriority") == "2-HIGH", "high").otherwise("other")
-    return t.orders.withColumn("kind", kind).groupBy("o_orderstatus").pivot("kind", ["urgent", "high", "other"]).agg(F.count(F.lit(1))).na.fill(0)
+    return records.kind_counts(t.orders.withColumn("kind", kind), ["o_orderstatus"], "kind", ["urgent", "high", "other"], "TOTAL")
 
 
-@query("""SELECT o_orderstatus, count(*) AS total, count(*) FILTER (o_totalprice > 100000) AS filled, count(*) FILTER (o_totalprice > 100000 AND o_custkey % 7 = 0) AS flagged, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS price FROM orders GROUP BY o_orderstatus""")
+@query("""SELECT o_orderstatus, count(*) AS total, count(*) FILTER (o_totalprice > 100000) AS filled, count(*) FILTER (o_totalprice > 100000 AND o_custkey % 7 = 0) AS flagged FROM orders GROUP BY o_orderstatus""")
 def q_section_stats(t: Tables) -> DataFrame:
     filled = F.col("o_totalprice") > 100000
-    return t.orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("total"), F.count_if(filled).alias("filled"), F.count_if(filled & (F.col("o_custkey") % 7 == 0)).alias("flagged"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("price"))
+    return records.section_summary(t.orders, ["o_orderstatus"], filled, filled & (F.col("o_custkey") % 7 == 0))
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_totalprice > 100000 AND o_custkey % 7 = 0 ORDER BY o_orderpriority, o_orderkey LIMIT 40")
 def q_review_topk(t: Tables) -> DataFrame:
-    return t.orders.where((F.col("o_totalprice") > 100000) & (F.col("o_custkey") % 7 == 0)).orderBy("o_orderpriority", "o_orderkey").limit(40).select("o_orderkey", "o_custkey", "o_orderpriority")
+    return records.review_list(t.orders, (F.col("o_totalprice") > 100000) & (F.col("o_custkey") % 7 == 0), ["o_orderpriority", "o_orderkey"]).select("o_orderkey", "o_custkey", "o_orderpriority")
 
 
-@query("SELECT o_orderkey AS field, o_custkey AS page, o_orderstatus AS section, o_orderpriority AS label, o_orderstatus = 'F' AS valid FROM orders")
+@query("""SELECT o_custkey AS page, o_orderstatus AS section, CAST(NULL AS VARCHAR) AS "group", o_orderpriority AS label, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS type, CAST(NULL AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS raw, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS model, CAST(NULL AS VARCHAR) AS confidence,
+    o_orderstatus = 'F' AS valid, CAST(NULL AS VARCHAR) AS needs_review, CAST(NULL AS VARCHAR) AS note, o_orderkey AS field FROM orders""")
 def q_csv_projection(t: Tables) -> DataFrame:
-    return t.orders.select(F.col("o_orderkey").alias("field"), F.col("o_custkey").alias("page"), F.col("o_orderstatus").alias("section"), F.col("o_orderpriority").alias("label"), (F.col("o_orderstatus") == "F").alias("valid")).orderBy("page", "field")
+    return records.answers_csv(t.orders.select(F.col("o_orderkey").alias("field"), F.col("o_custkey").alias("page"), F.col("o_orderstatus").alias("section"), F.col("o_orderpriority").alias("label"), (F.col("o_orderstatus") == "F").alias("valid")))
 
 
 @query("SELECT p_brand, p_type, count(*) AS uses FROM part GROUP BY p_brand, p_type HAVING count(*) > 1")

@@ -68,14 +68,16 @@ def admitted(files: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     return files.withColumn("refused", reason)
 
 
-CSV_COLUMNS = ["field", "page", "section", "label", "group", "kind", "type", "value", "raw", "source", "model", "confidence", "valid", "needs_review", "note"]
-
-
 def write_csv(records: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """Records as CSV in (page, field) order; the first file starts with a byte-order mark, as some readers want."""
-    columns = columns or [c for c in CSV_COLUMNS if c in records.columns]
-    mark = [F.col(c).alias(("﻿" if i == 0 else "") + c) for i, c in enumerate(columns)]
-    records.orderBy("page", "field").select(*mark).write.mode("overwrite").csv(path, header=True)
+    """Records as CSV in (page, field) order; the first file starts with a byte-order mark, as some readers want.
+
+    Without ``columns`` those of a result, empty where records lack one.
+    """
+    have = records.orderBy("page", "field")
+    missing = {c: F.lit(None).cast("string") for c in columns or rules.CSV_COLUMNS if c not in records.columns}
+    have = have.withColumns(missing) if missing else have
+    mark = [F.col(c).alias(("\ufeff" if i == 0 else "") + c) for i, c in enumerate(columns or rules.CSV_COLUMNS)]
+    have.select(*mark).write.mode("overwrite").csv(path, header=True)
 
 
 def write_json(records: DataFrame, path: str) -> None:

@@ -54,10 +54,45 @@ def test_edits_keep_the_first_original_and_revert(spark):
 
 
 def test_cross_check_finds_each_rule(spark):
-    rows = [("d", "p1_date_of_issue", "date", "01012020", 1), ("d", "p1_date_of_expiry", "date", "01012019", 2), ("d", "p1_date_of_birth", "date", "01012021", 3), ("d", "p1_id_no", "cnic", "35810-0234568-4", 4), ("d", "p1_gender", "text", "Male", 5),
-            ("d", "title_of_account", "name", "Ali Khan", 6), ("d", "first_name", "name", "Sara", 7), ("d", "last_name", "name", "Shah", 8), ("e", "p1_date_of_issue", "date", "0101202x", 1)]
-    found = records.cross_check(spark.createDataFrame(rows, "doc string, field string, type string, value string, ordinal int")).collect()
+    rows = [("d", "p1_date_of_issue", "text", "01012020", 1, "", ""), ("d", "p1_date_of_expiry", "text", "01012019", 2, "", ""), ("d", "p1_date_of_birth", "text", "01012021", 3, "", ""), ("d", "p1_id_no", "text", "35810-0234568-4", 4, "", ""), ("d", "p1_m", "checkbox", "true", 5, "Male", "Gender"),
+            ("d", "p1_f", "checkbox", "false", 6, "Female", "Gender"), ("d", "title_of_account", "text", "Ali Khan 12", 7, "", ""), ("d", "first_name", "text", "Sara", 8, "", ""), ("d", "last_name", "text", "Shah", 9, "", ""), ("e", "p1_date_of_issue", "text", "0101202x", 1, "", ""),
+            ("f", "p1_date_of_issue", "text", "01012020", 1, "", ""), ("f", "p2_spouse_date_of_birth", "text", "01012021", 2, "", ""), ("f", "title_of_account", "text", "Al i", 3, "", ""), ("f", "first_name", "text", "Ali 2", 4, "", ""), ("f", "last_name", "text", "x", 5, "", "")]
+    found = records.cross_check(spark.createDataFrame(rows, "doc string, field string, kind string, value string, ordinal int, label string, group string")).collect()
     assert len(found) == 5 and {r["doc"] for r in found} == {"d"}
+    assert "CNIC ends in 4, which means female, but Gender is ticked Male" in {r["issue"] for r in found}
+
+
+def test_names_probe_for_a_free_one(spark):
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(["a", "a", "a (2)", "b", "a"])], "s int, i int, label string")
+    assert [r["name"] for r in layout.numbered_labels(df, ["s"], "label", ["i"]).orderBy("i").collect()] == ["a", "a (2)", "a (2) (2)", "b", "a (3)"]
+
+
+def test_the_expected_page_is_trusted(spark):
+    df = spark.createDataFrame([(1, 1, 30, 1), (1, 2, 100, 1), (2, 1, 24, 1), (2, 2, 24, 1), (2, 3, 90, 1), (3, 2, 5, 2), (3, 1, 5, 2)], "scan int, page int, inliers int, preferred int")
+    got = {r["scan"]: (r["template"], r["inliers"], r["searched"]) for r in records.best_template(df, ["scan"], "inliers", "page", "preferred").collect()}
+    assert got == {1: (1, 30, False), 2: (3, 90, True), 3: (2, 5, True)}
+
+
+def test_whole_results(spark):
+    fields = spark.createDataFrame([("d", "p1_a", 1, "S", "A", "text", "text", 1, "", "T", "", ""), ("d", "p1_b", 1, "S", "B", "text", "text", 2, "", "", "p1_a", ""), ("d", "p1_m", 1, "S", "Male", "checkbox", "", 3, "Gender", "", "", ""), ("d", "p1_f", 1, "S", "Female", "checkbox", "", 4, "Gender", "", "", "")], "doc string, field string, page int, section string, label string, kind string, type string, ordinal int, group string, table string, continuation_of string, select_mode string")
+    index = spark.createDataFrame([("d", "p1_a", "strong", 5000, 0), ("d", "p1_b", "strong", 5000, 0)], "doc string, field string, ink_hint string, ink_px int, baseline_px int")
+    reads = spark.createDataFrame([("d", "p1_a", "one,", "page", "m", False), ("d", "p1_b", "two", "with-parent", "m", False)], "doc string, field string, value string, source string, model string, disputed boolean")
+    pages_ = spark.createDataFrame([("d", 1, ["few matches"])], "doc string, page int, problems array<string>")
+    ticks = spark.createDataFrame([("d", "p1_m", True, 0.2, "high"), ("d", "p1_f", False, 0.0, "high")], "doc string, field string, checked boolean, score double, confidence string")
+    out = records.assemble(fields, index, reads, pages_, ticks)
+    assert out.count() == 4 and out.where("needs_review").count() == 4
+    [whole] = records.result_documents(out, records.cross_check(out), pages_).collect()
+    assert whole["document"] == "d" and len(whole["fields"]) == 4 and whole["cross_check"] == []
+    assert whole["answers"] == {"S": {"T - A": ["one, two"], "Gender": ["Male"]}} and whole["alignment"][0]["problems"] == ["few matches"]
+
+
+def test_doubtful_values_are_read_again(spark):
+    items = [("d", 1, "bad", "Post/Zip Code", "postcode", 2, 5000, 0, "12", "77777"), ("d", 1, "gone", "Notes", "text", 3, 5000, 0, None, "found"), ("d", 2, "kept", "Post/Zip Code", "postcode", 5, 5000, 0, "1", "55555")]
+    df = spark.createDataFrame(items, "doc string, page int, field string, label string, type string, ordinal int, ink_px int, baseline_px int, a string, c string")
+    cache = spark.createDataFrame([("d", 2, "kept", "1", "page", "m", False)], "doc string, page int, field string, value string, source string, model string, disputed boolean")
+    got = {r["field"]: (r["value"], r["source"]) for r in readers.run(df, cache, readers.EchoReader("a"), None, readers.EchoReader("c")).collect()}
+    # a page that nothing was missing on is left as it is
+    assert got == {"bad": ("77777", "retry"), "gone": ("found", "retry"), "kept": ("1", "page")}
 
 
 def test_reading_resumes_and_takes_a_second_opinion(spark):
@@ -83,7 +118,8 @@ def test_sinks_and_missing_sources(spark, tmp_path):
     df = spark.createDataFrame([("b", 1, "v"), ("a", 1, "w")], "field string, page int, value string")
     pages.write_csv(df, str(tmp_path / "csv"))
     raw = next((tmp_path / "csv").glob("*.csv")).read_bytes()
-    assert raw.startswith("﻿field,page,value\n".encode()) and raw.splitlines()[1].startswith(b"a,1")
+    assert raw.startswith("\ufeffpage,section,group,label,kind,type,value,raw,source,model,confidence,valid,needs_review,note,field\n".encode())
+    assert raw.splitlines()[1].startswith(b"1,") and raw.splitlines()[1].endswith(b",a")
     pages.write_pages(df, str(tmp_path / "t"), ["page"])
     pages.write_json(df, str(tmp_path / "j"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
