@@ -44,8 +44,8 @@ from formspark.llm.textscan import hashes_of, mix64, pieces, running_sums
 REMEMBERED = 200_000
 #: Pieces of a group that is packed in one task.
 GROUP = 8192
-#: Bins that give, for each that could be saved; all others take.
-GIVERS = 4
+#: Bins that give first, for each that could be saved; all of them once these find no step.
+FIRST_GIVERS = 4
 #: A bin filled less is emptied and packed again with those of other groups.
 WELL_FILLED = 0.97
 
@@ -267,19 +267,21 @@ class _Search:
 def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
     """Bins after steps that raise the sum of squared fills; never more of them.
 
-    The room of all bins says how many could be saved at most.  GIVERS times
-    as many of the emptiest, and GIVERS more, give as long as they can, the
-    emptiest first; and again while anything changed and a bin could be saved.
+    The emptiest bins give as long as they can, and again while anything
+    changed: FIRST_GIVERS for each bin that the room of all bins could save,
+    and as many more; then all, from when those find no step.  It ends where
+    no bin at all has a step, or none can be saved any more.
     """
     search = _Search(bins, lengths, size)
-    changed = True
-    while changed:
+    changed = few = True
+    while changed or few:
+        few = few and changed  # the first givers alone, as long as they find steps
         changed = False
         saved = search.free() // size  # bins that could be saved at most
         if not saved:
             break
         order = sorted((k for k, b in enumerate(search.bins) if b and search.gap[k]), key=lambda k: (-search.gap[k], k))
-        for giver in order[: GIVERS * (saved + 1)]:
+        for giver in order[: FIRST_GIVERS * (saved + 1)] if few else order:
             while search.bins[giver] and search.gap[giver] and search.step(giver):
                 changed = True
     return [b for b in search.bins if b]

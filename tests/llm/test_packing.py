@@ -151,3 +151,10 @@ def test_ids_equal_the_plain_tokenizer(text):
     assert not rest
     for k, t in enumerate(["pre", text, text + " x"]):
         assert ids[bounds[k] : bounds[k + 1]].tolist() == PLAIN.encode(t, add_special_tokens=False).ids
+
+
+def test_search_ends_where_no_bin_has_a_step():
+    lengths = np.random.default_rng(5).integers(500, 1400, 600)
+    left = packing._Search(packing.pack_lengths(lengths, 2048), lengths, 2048)
+    assert left.free() >= 2048  # bins could be saved still, so only a lack of steps ended it
+    assert not any(left.step(k) for k in range(len(left.bins)) if left.gap[k])
