@@ -14,8 +14,8 @@ own; what is left in badly filled bins of all groups is packed again.
 
 Ids come from the byte-level BPE file given.  A text is cut before each
 white space that follows a character that is surely none, where no token
-can reach across; each distinct cut string is encoded once and remembered
-in a bounded cache.  A long text is encoded in runs between such places.
+can reach across; each distinct cut string is encoded once, new ones of a
+run of texts end to end, and remembered in a bounded cache.  A long text is encoded in runs between such places.
 
 Defined cases: null text is empty, and an empty document is its separator
 alone; null and repeated ids are packed like any other row; extra columns
@@ -60,15 +60,32 @@ class Encoder:
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.size_of = np.zeros(max(ranks.values()) + 1, np.int64)  # bytes of each id
+        self.size_of[list(ranks.values())] = list(map(len, ranks))
         with open(self.file, encoding="utf-8") as lines:
             self.special = [t["content"] for t in json.load(lines)["added_tokens"]]
         self.forget()
 
-    def special_ids(self, text: str) -> list[int]:
-        """Ids of a text with special tokens; the whole tokenizer is loaded only for such."""
+    def _alone(self, raw: bytes) -> np.ndarray:
+        """Ids of one cut string; the whole tokenizer is loaded only for those with special tokens."""
+        text = raw.decode("utf-8", "replace")
+        if not any(s in text for s in self.special):
+            return self.fast.encode_to_numpy(text)
         if self.plain is None:
             self.plain = Tokenizer.from_file(self.file)
-        return self.plain.encode(text, add_special_tokens=False).ids
+        return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _together(self, raw: bytes, ends: np.ndarray) -> list[np.ndarray] | None:
+        """Ids and how many each cut string has, of strings end to end that no token reaches across; None with special tokens."""
+        try:
+            text = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            return None
+        if any(s in text for s in self.special):
+            return None
+        ids = self.fast.encode_to_numpy(text)
+        last = np.searchsorted(np.cumsum(self.size_of[ids]), ends) + 1
+        return [ids, np.diff(last, prepend=0)]
 
     @classmethod
     def of(cls, name: str) -> Encoder:
@@ -77,16 +94,31 @@ class Encoder:
         return cls._made[name]
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        """Known strings are sorted by hash; each has a first place in the pool of ids, and a count."""
+        self.known = np.zeros(0, np.uint64)
         self.first, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        new = [self.special_ids(t) if any(s in t for s in self.special) else self.fast.encode_ordinary(t) for t in texts]
-        count = np.fromiter(map(len, new), np.int64, len(new))
-        first = len(self.pool) + np.concatenate(([0], np.cumsum(count)[:-1]))
-        self.known.update(zip(hashes, range(len(self.first), len(self.first) + len(new)), strict=True))
-        self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, count])
-        self.pool = np.concatenate([self.pool, np.fromiter((i for ids in new for i in ids), np.uint32, int(count.sum()))])
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encodes new strings: at once those that begin and end as cuts ask for, the others one by one."""
+        sizes = ends - starts
+        joins = _space(data[starts]) & _sure(data[ends - 1], data[np.maximum(ends - 2, 0)])
+        inner = np.flatnonzero(joins)
+        found = None
+        if len(inner):
+            found = self._together(data[common.ranges(starts[inner], sizes[inner])].tobytes(), np.cumsum(sizes[inner]))
+        if found is None:
+            inner, found = inner[:0], [np.zeros(0, np.uint32), np.zeros(0, np.int64)]
+        single = np.setdiff1d(np.arange(len(hashes)), inner, assume_unique=True)
+        whole = data.tobytes() if len(single) else b""
+        alone = [self._alone(whole[starts[k] : ends[k]]) for k in single.tolist()]
+        order = np.concatenate([inner, single])
+        count = np.concatenate([found[1], np.fromiter(map(len, alone), np.int64, len(alone))])
+        first = len(self.pool) + np.cumsum(count) - count
+        back = np.argsort(order)
+        place = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, place, hashes)
+        self.first, self.count = np.insert(self.first, place, first[back]), np.insert(self.count, place, count[back])
+        self.pool = np.concatenate([self.pool, found[0], *alone])
 
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(rows, ids, bounds of each row's ids) by runs; a long text is several runs of one row."""
@@ -103,25 +135,30 @@ class Encoder:
             distinct, sample, back = np.unique(hashes, return_index=True, return_inverse=True)
             if len(self.known) > REMEMBERED:
                 self.forget()
-            listed = distinct.tolist()
-            new = [k for k, h in enumerate(listed) if h not in self.known]
-            if new:
-                whole = data.tobytes()
-                self._learn([listed[k] for k in new], [whole[starts[sample[k]] : ends[sample[k]]].decode("utf-8", "replace") for k in new])
-            entry = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))[back]
+            new = ~np.isin(distinct, self.known, assume_unique=True)
+            if new.any():
+                self._learn(distinct[new], data, starts[sample[new]], ends[sample[new]])
+            entry = np.searchsorted(self.known, distinct)[back]
             ids = self.pool[common.ranges(self.first[entry], self.count[entry])]
             total = np.concatenate(([0], np.cumsum(self.count[entry])))
             yield rows, ids, total[np.searchsorted(starts, offsets)]
 
 
+def _space(byte: np.ndarray) -> np.ndarray:
+    return (byte == 0x20) | ((byte >= 0x09) & (byte <= 0x0D))
+
+
+def _sure(byte: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Does a character that is surely no white space end with ``byte``, after ``lead``?"""
+    return ((byte > 0x20) & (byte < 0x7F)) | ((byte >= 0x80) & (lead >= 0xC3) & (lead <= 0xDF))  # or two-byte letters from U+00C0
+
+
 def _may_cut(data: np.ndarray, first: int, last: int) -> np.ndarray:
     """Places from ``first`` to before ``last`` that no token reaches across: a white space after a sure character."""
-    here, before = data[first:last], data[first - 1 : last - 1]
-    space = (here == 0x20) | ((here >= 0x09) & (here <= 0x0D))
-    sure = (before > 0x20) & (before < 0x7F)
+    before = data[first - 1 : last - 1]
     lead = data[max(first - 2, 0) : last - 2] if last > 1 else data[:0]
     lead = np.concatenate([np.zeros(len(before) - len(lead), np.uint8), lead])
-    return space & (sure | ((before >= 0x80) & (lead >= 0xC3) & (lead <= 0xDF)))  # or two-byte letters from U+00C0
+    return _space(data[first:last]) & _sure(before, lead)
 
 
 def _pieces(tokenizer: str, size: int, separator: int, groups: int, with_ids: bool):
