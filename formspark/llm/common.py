@@ -243,17 +243,29 @@ def small(df: DataFrame, weight: int = 1) -> DataFrame:
 
 #: A node with this share of all links, and so many of them, is a hub: there can be two thousand at most.
 HUB, HUB_LINKS = 1000, 200
+#: Links, 16 bytes each, that one task joins; more are joined by distributed rounds.
+TASK_LINKS = 1 << 20
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the classes of all links of a partition."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if held:
+        node, root = forest(*map(np.concatenate, zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "root"])
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of each linked node but the roots; links are (src, dst) longs.
 
-    Alternating large-star and small-star rounds of aggregates, combined
-    before they are dealt, and equi-joins against one row a node.  The links
-    of hubs, which would meet in one task, don't take part in the join: a hub
-    has a thousandth of all links, so two thousand hubs at most come to the
-    driver with their smallest neighbours and are broadcast.  Lineage is cut
-    every round.
+    TASK_LINKS links at most are joined in one task, as each round of the
+    others writes files for every task of several shuffles, however few the
+    links.  More are joined by alternating large-star and small-star rounds
+    of aggregates, combined before they are dealt, and equi-joins against one
+    row a node.  The links of hubs, which would meet in one task, don't take
+    part in the join: a hub has a thousandth of all links, so two thousand
+    hubs at most come to the driver with their smallest neighbours and are
+    broadcast.  Lineage is cut every round.
     """
 
     def large_star(e: DataFrame, total: int) -> DataFrame:
@@ -276,7 +288,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
 
-    e = cut(links.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    e = cut(links.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")))
+    if e.count() <= TASK_LINKS:
+        return cut(e.coalesce(1).mapInArrow(tidy(_joined), "node long, root long"))
+    e = cut(e.distinct())
     before = state(e)
     for n in range(most_rounds):
         if not before[0]:
