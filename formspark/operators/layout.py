@@ -8,9 +8,10 @@ column; nothing relies on the order of a DataFrame.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,18 +95,36 @@ def numbered_ids(df: DataFrame, base: Column, order: list[str], out: str = "id")
 def numbered_labels(df: DataFrame, keys: list[str], label: str, order: list[str], out: str = "name") -> DataFrame:
     """Each label, in order, or label (2), label (3) .. : the first of these that its group doesn't have yet.
 
-    A group is a form's section, so the names so far are one array.
+    Only labels that are alike but for such endings can get in each other's
+    way.  Where all labels of a group's family are equal the number is the
+    row's place, by a window; the rows of the others are taken one by one, in
+    order, and the state is one family's names.
     """
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    numbered = df.withColumn("__n", n)
-
-    def add(names: Column, one: Column) -> Column:
-        tries = F.transform(F.sequence(F.lit(1), F.size(names) + 1), lambda i: F.when(i == 1, one).otherwise(F.concat(one, F.lit(" ("), i.cast("string"), F.lit(")"))))
-        return F.concat(names, F.slice(F.filter(tries, lambda x: ~F.array_contains(names, x)), 1, 1))
-
-    labels = F.transform(F.sort_array(F.collect_list(F.struct("__n", F.col(label).alias("l")))), lambda x: x["l"])
-    names = numbered.groupBy(*keys).agg(F.aggregate(labels, F.array().cast("array<string>"), add).alias("__names"))
-    return numbered.join(names, keys).withColumn(out, F.element_at("__names", F.col("__n"))).drop("__n", "__names")
+    family = Window.partitionBy(*keys, "__family")
+    marked = df.withColumn("__family", F.regexp_replace(label, r"( \([0-9]+\))+\z", ""))
+    marked = marked.withColumns({"__mixed": F.coalesce(F.min(label).over(family) != F.max(label).over(family), F.lit(False)), "__n": F.row_number().over(family.orderBy(*order))})
+    place = F.when(F.col("__n") == 1, F.col(label)).otherwise(F.concat(label, F.lit(" ("), F.col("__n").cast("string"), F.lit(")")))
+    mixed = marked.where("__mixed").repartition(*keys, "__family").sortWithinPartitions(*keys, "__family", "__n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken: set[str] = set()
+        following: dict[str, int] = {}
+        for batch in batches:
+            names = []
+            for n, one in zip(batch.column("__n").to_pylist(), batch.column(label).to_pylist(), strict=True):
+                if n == 1:
+                    taken, following = set(), {}
+                i = following.get(one, 1)
+                while (name := one if i == 1 else f"{one} ({i})") in taken:
+                    i += 1
+                taken.add(name)
+                following[one] = i + 1
+                names.append(name)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], [*batch.schema.names, "__name"])
+
+    scanned = mixed.mapInArrow(run, T.StructType([*mixed.schema.fields, T.StructField("__name", T.StringType())]))
+    both = marked.where("not __mixed").withColumn("__name", place).unionByName(scanned)
+    return both.withColumn(out, F.col("__name")).drop("__family", "__mixed", "__n", "__name")
 
 
 def batches(df: DataFrame, keys: list[str], order: list[str], size: int, out: str = "batch") -> DataFrame:

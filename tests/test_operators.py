@@ -67,6 +67,22 @@ def test_names_probe_for_a_free_one(spark):
     assert [r["name"] for r in layout.numbered_labels(df, ["s"], "label", ["i"]).orderBy("i").collect()] == ["a", "a (2)", "a (2) (2)", "b", "a (3)"]
 
 
+def test_names_of_large_groups_null_labels_and_null_groups(spark):
+    rng = np.random.default_rng(4)
+    labels = [str(x) for x in rng.choice(["a", "a (2)", "a (2) (2)", "a (3)", "a (x)", "b", "b (2) ", "(2)"], 600)]
+    rows = [(1, i, x) for i, x in enumerate(labels)] + [(2, i, "c") for i in range(20_000)] + [(None, 0, "d"), (None, 1, "d"), (3, 0, None), (3, 1, "e"), (3, 2, None), (3, 3, "e")]
+    got = {(r["s"], r["i"]): r["name"] for r in layout.numbered_labels(spark.createDataFrame(rows, "s int, i int, label string"), ["s"], "label", ["i"]).collect()}
+    taken = set()
+    for i, x in enumerate(labels):
+        n = 1
+        while (name := x if n == 1 else f"{x} ({n})") in taken:
+            n += 1
+        taken.add(name)
+        assert got[1, i] == name
+    assert len(got) == len(rows) and got[2, 0] == "c" and all(got[2, i] == f"c ({i + 1})" for i in range(1, 20_000))
+    assert [got[k] for k in [(None, 0), (None, 1), (3, 0), (3, 1), (3, 2), (3, 3)]] == ["d", "d (2)", None, "e", None, "e (2)"]
+
+
 def test_the_expected_page_is_trusted(spark):
     df = spark.createDataFrame([(1, 1, 30, 1), (1, 2, 100, 1), (2, 1, 24, 1), (2, 2, 24, 1), (2, 3, 90, 1), (3, 2, 5, 2), (3, 1, 5, 2)], "scan int, page int, inliers int, preferred int")
     got = {r["scan"]: (r["template"], r["inliers"], r["searched"]) for r in records.best_template(df, ["scan"], "inliers", "page", "preferred").collect()}
