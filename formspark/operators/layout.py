@@ -8,8 +8,10 @@ column; nothing relies on the order of a DataFrame.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -237,22 +239,59 @@ def carried_questions(df: DataFrame, keys: list[str], order: list[str], probe: s
 
 
 def column_labels(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Unlabelled cells of a ruled table get their column's label and row number; later cells see earlier labels."""
+    """Unlabelled cells of a ruled table get their column's label and row number; later cells see earlier labels.
+
+    Cells of equal left edge and width are one column.  A column keeps its
+    labelled cells by height, so a cell looks once into each column beside
+    its own and not at all cells; labels are counted by what stands before
+    each " (row" in them.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import re
 
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        labels = pdf["label"].fillna("").tolist()
-        for i, cell in pdf.iterrows():
-            if labels[i]:
+        labels, top = pdf["label"].fillna("").tolist(), pdf["y0"].tolist()
+        left = pdf["x0"].to_numpy(float)
+        wide = pdf["x1"].to_numpy(float) - left
+        placed = np.isfinite(left) & np.isfinite(wide) & pdf["y0"].notna().to_numpy()
+        edges, of = np.unique(np.stack([left[placed], wide[placed]], axis=1), axis=0, return_inverse=True)  # by left edge
+        column = np.full(len(pdf), -1)
+        column[placed] = of.ravel()
+        column = column.tolist()
+        beside: dict[int, list[int]] = {}
+        heights: list[list] = [[] for _ in edges]
+        first: list[dict] = [{} for _ in edges]
+        rows: dict[str, int] = {}
+
+        def enter(i: int) -> None:
+            for m in re.finditer(r" \(row", labels[i]):
+                rows[labels[i][: m.start()]] = rows.get(labels[i][: m.start()], 0) + 1
+            c = column[i]
+            if c >= 0:
+                if top[i] not in first[c]:
+                    bisect.insort(heights[c], top[i])
+                first[c][top[i]] = min(i, first[c].get(top[i], i))
+
+        for i in np.flatnonzero(np.array(labels, object) != "").tolist():
+            enter(i)
+        for i, c in enumerate(column):
+            if labels[i] or c < 0:
                 continue
-            above = pdf[(abs(pdf.x0 - cell.x0) < 6) & (abs((pdf.x1 - pdf.x0) - (cell.x1 - cell.x0)) < 6) & (pdf.y0 < cell.y0)]
-            above = [j for j in above.index if labels[j]]
-            if above:
-                head = max(above, key=lambda j: (pdf.y0[j], -j))
-                base = re.sub(r"\s*\(row [0-9]+\)$", "", labels[head])
-                labels[i] = f"{base} (row {sum(x.startswith(base + ' (row') for x in labels) + 2})"
+            if c not in beside:
+                a, b = np.searchsorted(edges[:, 0], (edges[c, 0] - 7, edges[c, 0] + 7))
+                beside[c] = (a + np.flatnonzero((abs(edges[a:b] - edges[c]) < 6).all(axis=1))).tolist()
+            head = None
+            for other in beside[c]:
+                k = bisect.bisect_left(heights[other], top[i])
+                if k:
+                    y = heights[other][k - 1]
+                    if head is None or (y, -first[other][y]) > head:
+                        head = (y, -first[other][y])
+            if head:
+                base = re.sub(r"\s*\(row [0-9]+\)$", "", labels[-head[1]])
+                labels[i] = f"{base} (row {rows.get(base, 0) + 2})"
+                enter(i)
         return pdf.assign(label=labels)
 
     return df.groupBy(*keys).applyInPandas(run, df.schema)

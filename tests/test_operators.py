@@ -1,3 +1,6 @@
+import re
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -83,6 +86,31 @@ def test_names_of_large_groups_null_labels_and_null_groups(spark):
     assert [got[k] for k in [(None, 0), (None, 1), (3, 0), (3, 1), (3, 2), (3, 3)]] == ["d", "d (2)", None, "e", None, "e (2)"]
 
 
+CELLS = "page int, n int, x0 double, x1 double, y0 double, label string"
+
+
+def test_columns_take_the_nearest_label_above(spark):
+    rng = np.random.default_rng(6)
+    texts = ["", "", "", "", None, "head", "head (row 7)", "rate (row one)", "head (row 2) (row 3)", " (row 4)"]
+    cells = [(1, i, float(rng.choice([0, 3, 6, 8.5, 20])), float(rng.choice([40, 44, 46, 52])), float(rng.integers(0, 60)), texts[rng.integers(0, len(texts))]) for i in range(400)] + [(1, 900, float("nan"), 40.0, 5.0, "lost"), (1, 901, 0.0, 40.0, float("nan"), ""), (1, 902, float("inf"), 40.0, 70.0, "")]
+    got = {r["n"]: r["label"] for r in layout.column_labels(spark.createDataFrame(cells, CELLS), ["page"], ["y0", "n"]).collect()}
+    cells = sorted(cells, key=lambda c: (np.isnan(c[4]), c[4], c[1]))
+    labels = [c[5] or "" for c in cells]
+    for i, (_, _, x0, x1, y0, _) in enumerate(cells):
+        above = [j for j, (_, _, a, b, y, _) in enumerate(cells) if abs(a - x0) < 6 and abs((b - a) - (x1 - x0)) < 6 and y < y0 and labels[j]]
+        if not labels[i] and above:
+            base = re.sub(r"\s*\(row [0-9]+\)$", "", labels[max(above, key=lambda j: (cells[j][4], -j))])
+            labels[i] = f"{base} (row {sum(x.startswith(base + ' (row') for x in labels) + 2})"
+    assert got == {c[1]: x for c, x in zip(cells, labels, strict=True)}
+
+
+def test_columns_of_a_large_page(spark):
+    cells = [(1, i, float(i % 50), i % 50 + 40.0, float(i // 50), "top" if i < 50 else "") for i in range(30_000)]
+    began = time.monotonic()
+    got = {r["n"]: r["label"] for r in layout.column_labels(spark.createDataFrame(cells, CELLS), ["page"], ["y0", "n"]).collect()}
+    assert time.monotonic() - began < 20 and all(got[i] == f"top (row {i - 48})" for i in range(50, 30_000))
+
+
 def test_the_expected_page_is_trusted(spark):
     df = spark.createDataFrame([(1, 1, 30, 1), (1, 2, 100, 1), (2, 1, 24, 1), (2, 2, 24, 1), (2, 3, 90, 1), (3, 2, 5, 2), (3, 1, 5, 2)], "scan int, page int, inliers int, preferred int")
     got = {r["scan"]: (r["template"], r["inliers"], r["searched"]) for r in records.best_template(df, ["scan"], "inliers", "page", "preferred").collect()}
