@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from formspark.llm import common
 from formspark.llm.textscan import mix64
@@ -31,6 +32,10 @@ MOST_PIVOTS = 8192
 CHUNK_BYTES = 4 << 20
 #: Rows compared at a time.
 STRIP = 1024
+#: What angles of single precision may be off, in radians.
+SLACK = 5e-3
+#: Bytes of the blocks of a partition: two of these meet in a task.  Vectors with links that a task holds.
+PARTITION_BYTES, HELD = 64 << 20, 1 << 19
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -66,10 +71,10 @@ def _batches(width: int, work, names: list[str]):
     return common.tidy(run)
 
 
-def _blobs(x: np.ndarray) -> pa.Array:
-    """Rows of doubles as binary values."""
-    x = np.ascontiguousarray(x, np.float64)
-    offsets = np.arange(0, x.size * 8 + 1, 8 * x.shape[1], dtype=np.int32)
+def _blobs(x: np.ndarray, kind=np.float64) -> pa.Array:
+    """Rows of doubles, or floats, as binary values."""
+    x = np.ascontiguousarray(x, kind)
+    offsets = np.arange(0, x.nbytes + 1, x.itemsize * x.shape[1], dtype=np.int32)
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(x)])
 
 
@@ -104,76 +109,103 @@ def _radii(pivots, width: int):
     return _batches(width, work, ["cell", "reach", "own"])
 
 
-def _replicas(pivots, reach, blocks, width: int, angle: float):
-    """Each vector in its own cell and, before it in order, where a partner can be.
-
-    The metric is the angle.  A partner y of x lies in cell q, so by the
-    triangle inequality angle(x, q) <= angle(y, q) + angle and, as y is no
-    nearer to x's pivot p, angle(x, q) <= angle(x, p) + 2 angle; also
-    angle(x, q) <= reach of q + angle.  Cells with a smaller number than x's
-    are enough: the pair meets where the smaller one's vector is at home.
-    """
+def _homes(pivots, blocks, width: int, kind):
+    """Each vector, once, with its cell and its block there."""
 
     def work(ids: np.ndarray, x: np.ndarray) -> Iterator[list]:
-        p = pivots.value
-        few = max(1, CHUNK_BYTES // (8 * len(p)))  # distances to all pivots at a time
+        few = max(1, CHUNK_BYTES // (8 * len(pivots.value)))  # distances to all pivots at a time
         for a in range(0, len(ids), few):
-            yield from some(ids[a : a + few], _units(x[a : a + few]), p)
-
-    def some(ids: np.ndarray, u: np.ndarray, p: np.ndarray) -> Iterator[list]:
-        far = np.arccos(np.clip(u @ p.T, -1, 1))
-        home = far.argmin(axis=1)
-        slack = 1e-9
-        wanted = (far <= far[np.arange(len(home)), home][:, None] + 2 * angle + slack) & (far <= reach.value[None, :] + angle + slack)
-        wanted &= np.arange(len(p))[None, :] < home[:, None]
-        wanted[np.arange(len(home)), home] = True
-        row, cell = np.nonzero(wanted)
-        native = cell == home[row]
-        parts = blocks.value[cell]
-        own = (mix64(ids[row].view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
-        # a native meets its block and the blocks after it, a guest all of the cell's blocks
-        many = np.where(native, parts - own, parts)
-        first = np.where(native, own, 0)
-        step = max(1, CHUNK_BYTES // (8 * width + 32))  # copies at a time
-        edges = np.searchsorted(np.cumsum(many), np.arange(step, int(many.sum()) + step, step))
-        begin = 0
-        for end in np.minimum(edges + 1, len(many)):
-            at = slice(begin, end)
-            begin = end
-            again = np.repeat(np.arange(at.start, at.stop), many[at])
-            block = common.ranges(first[at], many[at])
-            home_here = native[again] & (block == own[again])
-            if len(again):
-                yield [pa.array(ids[row[again]]), pa.array(cell[again].astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(home_here), _blobs(u[row[again]])]
-
-    return _batches(width, work, ["id", "cell", "block", "home", "vector"])
-
-
-def _linked(width: int, cosine: float):
-    """Links of a block: its own vectors among themselves and with the guests."""
+            own, y = ids[a : a + few], x[a : a + few]
+            cell = (_units(y) @ pivots.value.T).argmax(axis=1)
+            block = mix64(own.view(np.uint64)) % blocks.value[cell].astype(np.uint64)
+            yield [pa.array(own), pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32)), _blobs(y, kind)]
+
+    return _batches(width, work, ["id", "cell", "block", "vector"])
+
+
+def _packed(pivots, reach, angle: float):
+    """One row a block: its ids, its vectors, and for each cell whether a partner can be there.
+
+    The metric is the angle: vectors of cells p and q are no nearer than the
+    pivots' angle less both cells' reach.
+    """
 
     def run(t: pa.Table) -> pa.Table:
-        ids, home = t.column("id").to_numpy(), t.column("home").to_numpy()
-        order = np.lexsort((ids, ~home))
-        ids, home = ids[order], home[order]
-        x = _matrix(t.column("vector").combine_chunks(), width)[order]
-        n = int(home.sum())
-        small = x.astype(np.float32)
-        count, labels = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for a in range(0, n, STRIP):
-            b = min(n, a + STRIP)
-            rough = small[a:b] @ small[a:].T >= cosine - 1e-4
-            i, j = np.nonzero(rough)
-            ahead = j > i  # a vector of the block with later ones of the block, and with each guest
-            i, j = i[ahead] + a, j[ahead] + a
-            for c in range(0, len(i), 1 << 19):
-                p, q = i[c : c + (1 << 19)], j[c : c + (1 << 19)]
-                true = (np.einsum("ij,ij->i", x[p], x[q]) >= cosine) & (ids[p] != ids[q])
-                p, q = p[true], q[true]
-                count += np.bincount(p, minlength=len(ids)) + np.bincount(q, minlength=len(ids))
-                labels = common.join_labels(labels, p, q)
-        some = np.flatnonzero(count)
-        return pa.table({"id": ids[some], "n": count[some], "dst": ids[labels[some]]})
+        cell, block = t.column("cell")[0].as_py(), t.column("block")[0].as_py()
+        apart = np.arccos(np.clip(pivots.value @ pivots.value[cell], -1, 1))
+        meets = apart <= reach.value[cell] + reach.value + angle + SLACK
+        meets[cell] = True
+        row = {"at": [cell << 32 | block], "cell": [cell], "meets": [meets.tolist()], "ids": [t.column("id").to_numpy().tobytes()], "vectors": [b"".join(t.column("vector").to_pylist())]}
+        return pa.table(row, pa.schema([("at", pa.int64()), ("cell", pa.int32()), ("meets", pa.list_(pa.bool_())), ("ids", pa.binary()), ("vectors", pa.binary())]))
+
+    return common.tidy(run)
+
+
+def _tally(ids: np.ndarray, counts: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same counts and classes: an id a row, and links of a spanning forest."""
+    found, back = np.unique(ids, return_inverse=True)
+    return found, np.bincount(back, counts, len(found)).astype(np.int64), *common.forest(a, b)
+
+
+def _linked(pivots, reach, width: int, kind, cosine: float):
+    """(id, n, dst): how many links each vector has in pairs of blocks, and one of a spanning forest."""
+    angle = math.acos(cosine)
+
+    def loaded(ids: pa.Scalar, vectors: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.frombuffer(vectors.as_buffer(), kind).reshape(-1, width)
+        small = (x / np.abs(x).max(axis=1, keepdims=True)).astype(np.float32)
+        return np.frombuffer(ids.as_buffer(), np.int64), x, small / np.linalg.norm(small, axis=1, keepdims=True)
+
+    def facing(small: np.ndarray, home: int, cell: int) -> np.ndarray:
+        """Vectors of cell ``home`` that can have a partner in another.
+
+        A partner y is no nearer to x's pivot than to its own, so x is within
+        the angle and y's reach of y's pivot, and no further from it than from
+        its own by more than two angles.
+        """
+        own, far = np.arccos(np.clip(small @ pivots.value[[home, cell]].astype(np.float32).T, -1, 1)).T
+        return np.flatnonzero((far <= reach.value[cell] + angle + SLACK) & (far <= own + 2 * angle + SLACK))
+
+    def links(one: tuple, other: tuple, same: bool, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        (ids, x, small), (others, y, near) = one, other
+        near = near if len(j) == len(near) else near[j]
+        for a in range(0, len(i), STRIP):
+            strip = small[i[a : a + STRIP]]
+            p, q = np.nonzero(strip @ near.T >= cosine - 1e-4)
+            p, q = i[p + a], j[q]
+            if same:
+                p, q = p[q > p], q[q > p]
+            for c in range(0, len(p), 1 << 17):
+                r, s = p[c : c + (1 << 17)], q[c : c + (1 << 17)]
+                true = (np.einsum("ij,ij->i", _units(x[r].astype(np.float64)), _units(y[s].astype(np.float64))) >= cosine) & (ids[r] != others[s])
+                if true.any():
+                    yield ids[r[true]], others[s[true]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = (np.zeros(0, np.int64),) * 4
+        held, left, at = none, None, None
+
+        def rows(ids: np.ndarray, counts: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            dst = ids.copy()
+            dst[np.searchsorted(ids, a)] = b
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts), pa.array(dst)], ["id", "n", "dst"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                first, second, p, q = (batch.column(c)[k].as_py() for c in ("at", "at2", "cell", "cell2"))
+                if first != at:
+                    left, at = loaded(batch.column("ids")[k], batch.column("vectors")[k]), first
+                right = left if first == second else loaded(batch.column("ids2")[k], batch.column("vectors2")[k])
+                i, j = (np.arange(len(left[0])), np.arange(len(right[0]))) if p == q else (facing(left[2], p, q), facing(right[2], q, p))
+                for a, b in links(left, right, first == second, i, j) if len(i) and len(j) else ():
+                    ids = np.concatenate([a, b])
+                    fresh = _tally(ids, np.ones(len(ids)), a, b)
+                    held = _tally(*map(np.concatenate, zip(held, fresh, strict=True)))
+                    if len(held[0]) > HELD:
+                        yield rows(*held)
+                        held = none
+        if len(held[0]):
+            yield rows(*held)
 
     return common.tidy(run)
 
@@ -181,18 +213,21 @@ def _linked(width: int, cosine: float):
 def near_duplicates(vectors: DataFrame, id_col: str, vector_col: str, cosine: float = 0.9) -> DataFrame:
     """(id, n_links, component_id, kept) of every row: links are pairs of cosine ``cosine`` or more.
 
-    An exact range join in the angle: pivots part the vectors into cells, the
-    triangle inequality says which vectors also go to other cells, and cells
-    join on their own, a large cell by blocks.  Tasks send counts and the
-    links of a spanning forest, so a family of k copies costs k rows, not
-    its k * k pairs.
+    An exact range join in the angle: pivots part the vectors into cells, a
+    large cell into blocks, and each vector is dealt once, to its block.  The
+    triangle inequality says which cells meet, and which vectors of these.
+    Blocks meet by a product of partitions, which are read again and not
+    copied, so disk grows with the vectors where nothing can be ruled out
+    too.  Tasks send counts and the links of a spanning forest, so a family
+    of k copies costs k rows, not its k * k pairs.
     """
     common.lean(vectors.sparkSession)
     good, widths = usable(vectors, id_col, vector_col)
     ids = vectors.select(F.col(id_col).cast("long").alias("id"))
     if not widths:
         return ids.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    links = _united([_links(good.where(F.size("vector") == w), w, cosine) for w in widths])
+    kind = np.float32 if vectors.schema[vector_col].dataType.elementType == T.FloatType() else np.float64
+    links = _united([_links(good.where(F.size("vector") == w), w, cosine, kind) for w in widths])
     roots = common.components(links.select(F.col("id").alias("src"), "dst"))
     counts = links.groupBy("id").agg(F.sum("n").alias("n_links"))
     out = ids.join(counts, "id", "left").join(roots, F.col("id") == F.col("node"), "left")
@@ -200,17 +235,27 @@ def near_duplicates(vectors: DataFrame, id_col: str, vector_col: str, cosine: fl
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
-def _links(good: DataFrame, width: int, cosine: float) -> DataFrame:
-    """(id, n, dst) of vectors of one length: how many links a block found for it, and one of a spanning forest."""
-    spark, angle = good.sparkSession, math.acos(cosine)
-    pivots = spark.sparkContext.broadcast(_pivots(good, good.count()))
+def _links(good: DataFrame, width: int, cosine: float, kind) -> DataFrame:
+    """(id, n, dst) of vectors of one length: how many links a task found for it, and one of a spanning forest."""
+    spark, angle, rows = good.sparkSession, math.acos(cosine), good.count()
+    pivots = spark.sparkContext.broadcast(_pivots(good, rows))
     cells = good.mapInArrow(_radii(pivots, width), "cell long, reach double, own long").groupBy("cell").agg(F.max("reach"), F.sum("own")).collect()  # a row a pivot
     reach, blocks = np.full(len(pivots.value), -1.0), np.ones(len(pivots.value), np.int64)
     for c, r, n in cells:
         reach[c], blocks[c] = r, math.ceil(n / BLOCK)
     reach, blocks = spark.sparkContext.broadcast(reach), spark.sparkContext.broadcast(blocks)
-    dealt = good.mapInArrow(_replicas(pivots, reach, blocks, width, angle), "id long, cell int, block int, home boolean, vector binary")
-    return common.cut(dealt.groupBy("cell", "block").applyInArrow(_linked(width, cosine), "id long, n long, dst long"))
+    dealt = good.mapInArrow(_homes(pivots, blocks, width, kind), "id long, cell int, block int, vector binary")
+    packed = common.cut(dealt.groupBy("cell", "block").applyInArrow(_packed(pivots, reach, angle), "at long, cell int, meets array<boolean>, ids binary, vectors binary"))
+    common.release(spark)
+    # two partitions a task: enough of these for all cores, and bounded bytes each
+    size = np.dtype(kind).itemsize * width + 8
+    parts = max(math.ceil(math.sqrt(4 * spark.sparkContext.defaultParallelism)), math.ceil(rows * size / PARTITION_BYTES))
+    one = packed.coalesce(parts)
+    other = one.select(*[F.col(c).alias(c + "2") for c in one.columns])
+    # of the two orders of a pair of blocks one, by hash
+    chosen = (F.col("at") == F.col("at2")) | ((F.col("at") < F.col("at2")) == (F.pmod(F.xxhash64(F.col("at").bitwiseXOR(F.col("at2"))), F.lit(2)) == 0)) & (F.col("at") != F.col("at2"))
+    pairs = one.hint("shuffle_replicate_nl").join(other, chosen & F.get("meets", F.col("cell2"))).select("at", "cell", "ids", "vectors", "at2", "cell2", "ids2", "vectors2")
+    return common.cut(pairs.mapInArrow(_linked(pivots, reach, width, kind, cosine), "id long, n long, dst long"))
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,3 +138,21 @@ def test_hilbert_curve_visits_neighbours():
     assert sorted(place) == list(range(side**3))
     walk = points[np.argsort(place)]
     assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_vectors_without_structure_are_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL", 40)
+    monkeypatch.setattr(vectors, "BLOCK", 40)
+    x = np.random.default_rng(8).normal(size=(1500, 64)).astype(np.float32)
+    x[1000:1020] = x[:20] * 2
+    df = spark.createDataFrame(rows_of(x), SCHEMA)
+    sc = spark.sparkContext
+
+    def written():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    found = vectors.near_duplicates(df, "vec_id", "embedding")
+    assert found.where("n_links > 0").count() == 40 and found.where("not kept").count() == 20
+    assert written() - before < 3 * x.nbytes  # copies for every cell within reach: some 25 times
