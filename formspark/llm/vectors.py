@@ -171,7 +171,7 @@ def _linked(pivots, reach, width: int, kind, cosine: float):
         near = near if len(j) == len(near) else near[j]
         for a in range(0, len(i), STRIP):
             strip = small[i[a : a + STRIP]]
-            p, q = np.nonzero(strip @ near.T >= cosine - 1e-4)
+            p, q = np.divmod(np.flatnonzero(strip @ near.T >= cosine - 1e-4), len(near))  # of two dimensions nonzero takes as long as the product
             p, q = i[p + a], j[q]
             if same:
                 p, q = p[q > p], q[q > p]
